@@ -1,0 +1,30 @@
+"""Size checks before a side of a join is treated as small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate for a DataFrame, or None where it cannot be read."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """True if Catalyst itself would broadcast this side."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = plan_bytes(df)
+    return size is not None and 0 < size <= int(limit)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hash a scan over the cores by a unique key if it has fewer splits than cores.
+
+    A table of many files or row groups passes through untouched.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores, key) if splits < cores else scan

@@ -1,0 +1,244 @@
+"""A mail corpus derived from general tables that hold no mail.
+
+Each document becomes one mail. Scalar columns are plain SQL that Spark and
+other engines read alike, so the same text can feed a check in another engine.
+Two page keys per document give its anchors; every document has its own key, so
+the lookups spread evenly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from lurewatch.plans.sizing import fits_broadcast, spread
+from lurewatch.schema import ANCHOR, FILE, HOP
+
+# Columns of `mail` over `documents`.
+MAIL_SQL = {
+    "email_id": "doc_id",
+    "message_id": "CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat('<m', doc_id, '@', CASE doc_id % 5 WHEN 0 THEN 'mail.company.com' WHEN 1 THEN 'bulk.example.net' ELSE 'company.com' END, '>') END",
+    "subject": "CASE doc_id % 14 WHEN 0 THEN 'Urgent: action required' WHEN 1 THEN 'Invoice attached' WHEN 2 THEN 'Pilne: konto zostanie zablokowane' WHEN 3 THEN 'Security alert' WHEN 4 THEN '' ELSE 'Team lunch' END",
+    "from_address": "CASE doc_id % 26 WHEN 12 THEN '' ELSE concat('user', doc_id % 50, '@', CASE doc_id % 26 WHEN 0 THEN 'micros0ft.com' WHEN 1 THEN 'paypa1.com' WHEN 2 THEN 'microsoft-login-verify.com' WHEN 3 THEN 'gmail.com' WHEN 4 THEN 'bulk.example.net' WHEN 5 THEN 'outlook.com' WHEN 6 THEN 'shop.co.uk' WHEN 7 THEN 'github.com' WHEN 8 THEN 'a1legro.pl' WHEN 9 THEN 'shipping-security.com' WHEN 10 THEN 'aol.com' WHEN 11 THEN 'mail.company.com' ELSE 'company.com' END) END",
+    "from_display_name": "CASE doc_id % 15 WHEN 0 THEN 'Microsoft Security' WHEN 1 THEN 'Accounting Department' WHEN 2 THEN 'PayPal' WHEN 3 THEN 'boss@company.com' WHEN 4 THEN 'User Groups' WHEN 5 THEN '' ELSE 'John Smith' END",
+    "reply_to": "CASE doc_id % 8 WHEN 0 THEN 'reply@company.com' WHEN 2 THEN 'help@evil.example' WHEN 5 THEN 'x@github.com' ELSE '' END",
+    "return_path": "CASE doc_id % 9 WHEN 0 THEN 'bounce@shady.net' WHEN 2 THEN 'b@github.com' WHEN 4 THEN 'b@mail.company.com' WHEN 6 THEN '' ELSE 'bounce@company.com' END",
+    "to_header": "CASE doc_id % 5 WHEN 4 THEN '' ELSE concat('user', doc_id % 70, '@corp.example, desk@corp.example') END",
+    "cc_header": "CASE WHEN doc_id % 3 = 0 THEN concat('cc', doc_id % 9, '@corp.example') ELSE '' END",
+    "date_raw": "CASE doc_id % 9 WHEN 0 THEN 'not-a-date' WHEN 1 THEN '' ELSE 'Mon, 15 Jan 2024 10:30:00 +0000' END",
+    "date": "CASE WHEN doc_id % 9 > 1 THEN TIMESTAMP '2024-01-15 10:30:00' END",
+    "relay": "concat('mx', doc_id % 5, '.relay.example')",
+    "authentication_results": "CASE doc_id % 16 WHEN 0 THEN '' WHEN 2 THEN 'mx; spf=fail; dkim=none; dmarc=fail' WHEN 3 THEN 'mx; SPF = SoftFail; dkim=fail; dmarc=none' WHEN 4 THEN 'mx; spf=none; dkim=none; dmarc=none' WHEN 5 THEN 'mx; spf=fail; dkim=pass; dmarc=pass' WHEN 6 THEN 'mx; spf=neutral' WHEN 7 THEN 'mx; dmarc=fail' ELSE 'mx; spf=pass; dkim=pass; dmarc=pass' END",
+    "text_body": "CASE WHEN doc_id % 10 = 9 THEN '' ELSE concat(text, CASE doc_id % 17 WHEN 0 THEN ' click here to verify your identity within 24 hours' WHEN 1 THEN ' buy gift cards and send me the codes' WHEN 2 THEN ' please enable macros' WHEN 3 THEN ' payment is due, contact the billing department' WHEN 4 THEN ' zweryfikuj swoje konto natychmiast' WHEN 5 THEN ' visit IT support, password: hunter2' WHEN 6 THEN ' see http://bit.ly/ab?x=1. and https://github.com/login).' WHEN 7 THEN ' https://t.ly/x or https://t.ly/x!' ELSE '' END) END",
+    "filename": "CASE WHEN doc_id % 3 = 1 THEN CASE doc_id % 11 WHEN 0 THEN 'report.pdf' WHEN 1 THEN 'invoice.pdf.exe' WHEN 2 THEN 'sheet.xlsm' WHEN 3 THEN 'archive.tar.gz' WHEN 4 THEN 'README' WHEN 5 THEN 'image.png' WHEN 6 THEN 'a.js.txt' WHEN 7 THEN 'disk.ISO' WHEN 8 THEN 'notes.docm.vbs.pdf' WHEN 9 THEN 'page.html' ELSE 'table.csv' END END",
+    "content_type": "CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'image/png' ELSE 'application/msword' END",
+    "size_bytes": "n_chars",
+}
+
+# Columns of one anchor; {page} and {url} name the columns of its page.
+VISIBLE_SQL = "CASE {page} % 9 WHEN 0 THEN 'https://login.microsoft.com/verify' WHEN 1 THEN 'paypal.com' WHEN 2 THEN 'Click here' WHEN 3 THEN {url} WHEN 4 THEN 'PayPal.com' ELSE 'Read more' END"
+HREF_SQL = (
+    "CASE (doc_id + {page}) % 37"
+    " WHEN 0 THEN 'http://192.168.1.100/verify?token=a1'"
+    " WHEN 1 THEN 'https://bit.ly/fake-ms'"
+    " WHEN 2 THEN 'https://t.ly/x'"
+    " WHEN 3 THEN 'https://xn--pple-43d.com/login'"
+    " WHEN 4 THEN 'https://login.secure.verify.evil.com/page'"
+    " WHEN 5 THEN 'HTTP://EXAMPLE.com:8080/A%20B?q=1'"
+    " WHEN 6 THEN 'https://u@micros0ft.com/acc%6Funt'"
+    " WHEN 7 THEN 'http://cafe/x'"
+    " WHEN 8 THEN 'mailto:a@b.c'"
+    " WHEN 9 THEN '#top'"
+    " WHEN 10 THEN 'https://a_b.com/p%zz?x=1+2#frag'"
+    " WHEN 11 THEN 'http://[2001:DB8::1]:80/wallet;v=1'"
+    " WHEN 12 THEN 'https://paypal-login.example/a;b/c;update?d=e'"
+    " WHEN 13 THEN '//cdn.go0gle.com/p%3Fq'"
+    " ELSE {url} END"
+)
+
+BOUNDARY = "lurewatch-part"
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def documents_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, split finer where their file alone would keep cores idle."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
+def mail_columns(*names: str) -> list[Column]:
+    return [F.expr(MAIL_SQL[n]).alias(n) for n in names]
+
+
+def _with_page_anchors(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Look up both pages of each document; add `anchors`, ordered by page."""
+    n = pages.select(F.count(F.lit(1))).scalar()
+    columns = documents.columns
+    documents = documents.withColumns(
+        {"_k1": F.col("doc_id") % n, "_k2": (F.col("doc_id") * 7) % n}
+    )
+    found = []
+    for i in (1, 2):
+        page, url = f"_page{i}", f"_url{i}"
+        side = pages.select(F.col("page_id").alias(page), F.col("url").alias(url))
+        documents = documents.join(side, F.col(f"_k{i}") == F.col(page), "left")
+        anchor = F.struct(
+            F.col(page).alias("pos"),
+            F.expr(VISIBLE_SQL.format(page=page, url=url)).alias("visible_text"),
+            F.expr(HREF_SQL.format(page=page, url=url)).alias("href"),
+        )
+        found.append(F.when(F.col(page).isNotNull(), anchor))
+    both = F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    return documents.select(*columns, both.alias("anchors"))
+
+
+def anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """`(email_id, anchors)` without touching any text."""
+    documents = table(spark, folder, "documents").select("doc_id")
+    return _with_page_anchors(documents, table(spark, folder, "pages")).withColumnRenamed(
+        "doc_id", "email_id"
+    )
+
+
+def mail_without_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """Mails with every field that needs no lookup; unread columns are pruned."""
+    return _finish(documents_spread(spark, folder), F.array().cast(f"array<{ANCHOR}>"))
+
+
+def mail(spark: SparkSession, folder: str) -> DataFrame:
+    """The parsed mails: one row per document, in the shape `parse_mail` gives."""
+    documents = documents_spread(spark, folder)
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    if fits_broadcast(pages):
+        # small pages: both lookups happen where the documents are read
+        joined = _with_page_anchors(documents, pages)
+    else:
+        # large pages: only keys travel to the pages, texts move once at most
+        found = _with_page_anchors(documents.select("doc_id"), pages)
+        joined = documents.join(found, "doc_id", "left")
+    return _finish(joined, F.col("anchors"))
+
+
+def _finish(documents: DataFrame, anchors: Column) -> DataFrame:
+    scalars = [n for n in MAIL_SQL if n not in ("to_header", "cc_header", "relay", "filename", "content_type", "size_bytes")]
+    split = lambda name: F.filter(
+        F.split(F.expr(MAIL_SQL[name]), ", "), lambda a: a != ""
+    )
+    hop = F.concat(F.lit("from "), F.expr(MAIL_SQL["relay"]), F.lit(" by in.company.com"))
+    attachment = F.struct(
+        *[F.expr(MAIL_SQL[n]).alias(n) for n in ("filename", "content_type")],
+        F.expr(MAIL_SQL["size_bytes"]).cast("bigint").alias("size_bytes"),
+        F.sha2(_file_content().cast("binary"), 256).alias("sha256"),
+    )
+    plain = F.transform(
+        anchors, lambda a: F.struct(a["visible_text"].alias("visible_text"), a["href"].alias("href"))
+    ).cast(f"array<{ANCHOR}>")
+    rows = documents.select(
+        *mail_columns(*scalars),
+        split("to_header").alias("to"),
+        split("cc_header").alias("cc"),
+        F.array(
+            F.struct(
+                F.expr(MAIL_SQL["relay"]).alias("from_host"),
+                F.lit("in.company.com").alias("by_host"),
+                F.lit("").alias("timestamp"),
+                hop.alias("raw"),
+            )
+        ).cast(f"array<{HOP}>").alias("received_hops"),
+        plain.alias("anchors"),
+        F.array_compact(
+            F.array(F.when(F.expr(MAIL_SQL["filename"]).isNotNull(), attachment))
+        ).cast(f"array<{FILE}>").alias("files"),
+        F.lit(None).cast("string").alias("parse_error"),
+    )
+    tag = lambda a: F.concat(
+        F.lit('<p><a href="'), _escape(a["href"]), F.lit('">'), _escape(a["visible_text"]), F.lit("</a></p>")
+    )
+    body = F.concat(
+        F.lit("<html><body>\n"), F.array_join(F.transform("anchors", tag), "\n"), F.lit("\n</body></html>")
+    )
+    return rows.withColumns(
+        {
+            "html_body": F.when(F.size("anchors") > 0, body).otherwise(""),
+            "html_text": F.array_join(F.transform("anchors", lambda a: a["visible_text"]), "\n"),
+        }
+    )
+
+
+def _file_content() -> Column:
+    return F.repeat(F.lit("x"), F.expr(MAIL_SQL["size_bytes"]).cast("int"))
+
+
+def _escape(text: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def raw_mail(spark: SparkSession, folder: str) -> DataFrame:
+    """The same mails as RFC 822 bytes, in the shape a file scan gives, with `email_id`."""
+    return render_mail(mail(spark, folder)).select(
+        "email_id",
+        mail_path(F.col("email_id")).alias("path"),
+        F.timestamp_seconds(F.lit(1705314600)).alias("modificationTime"),
+        F.octet_length("content").cast("bigint").alias("length"),
+        "content",
+    )
+
+
+def mail_path(email_id: Column) -> Column:
+    return F.concat(F.lit("maildrop/"), email_id % 16, F.lit("/m"), email_id, F.lit(".eml"))
+
+
+def render_mail(mails: DataFrame) -> DataFrame:
+    """Add `content`, the mail as bytes: text part, HTML part, attachments."""
+    header = lambda name, value: F.when(
+        value != "", F.concat(F.lit(f"{name}: "), value, F.lit("\n"))
+    ).otherwise("")
+    shown = F.when(
+        F.col("from_display_name") != "", F.concat(F.lit('"'), F.col("from_display_name"), F.lit('" '))
+    ).otherwise("")
+    sender = F.when(
+        (F.col("from_display_name") != "") | (F.col("from_address") != ""),
+        F.concat(shown, F.lit("<"), F.col("from_address"), F.lit(">")),
+    ).otherwise("")
+    bracketed = lambda name: F.when(
+        F.col(name) != "", F.concat(F.lit("<"), F.col(name), F.lit(">"))
+    ).otherwise("")
+    part = lambda headers, body: F.concat(
+        F.lit(f"--{BOUNDARY}\n"), headers, F.lit("\n\n"), body, F.lit("\n")
+    )
+    text_part = part(
+        F.lit('Content-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: 8bit'),
+        F.col("text_body"),
+    )
+    html_part = part(
+        F.lit('Content-Type: text/html; charset="utf-8"\nContent-Transfer-Encoding: 8bit'),
+        F.col("html_body"),
+    )
+    file_part = lambda a: part(
+        F.concat(
+            F.lit("Content-Type: "), a["content_type"],
+            F.lit('\nContent-Disposition: attachment; filename="'), a["filename"], F.lit('"'),
+        ),
+        F.repeat(F.lit("x"), a["size_bytes"].cast("int")),
+    )
+    content = F.concat(
+        header("Return-Path", bracketed("return_path")),
+        F.concat_ws("", F.transform("received_hops", lambda h: F.concat(F.lit("Received: "), h["raw"], F.lit("\n")))),
+        header("Authentication-Results", F.col("authentication_results")),
+        header("From", sender),
+        header("To", F.array_join("to", ", ")),
+        header("Cc", F.array_join("cc", ", ")),
+        header("Subject", F.col("subject")),
+        header("Date", F.col("date_raw")),
+        header("Message-ID", F.col("message_id")),
+        header("Reply-To", F.col("reply_to")),
+        F.lit(f'MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="{BOUNDARY}"\n\n'),
+        text_part,
+        F.when(F.col("html_body") != "", html_part).otherwise(""),
+        F.concat_ws("", F.transform("files", file_part)),
+        F.lit(f"--{BOUNDARY}--\n"),
+    )
+    return mails.withColumn("content", F.encode(content, "UTF-8"))
