@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lurewatch.functions.arrays import first_of, string_array
+
 # Python's str.strip() and \s cover Unicode blanks and \x1c-\x1f.
 BLANK = r"[\s\x1c-\x1f]"
 
@@ -48,12 +50,9 @@ def first_label(domain: Column) -> Column:
 
 
 def contains_first(text: Column, words: list[str], also=None) -> Column:
-    """The first of `words` found in `text` (and passing `also(word)`), else NULL."""
-    if not words:
-        return F.lit(None).cast("string")
-    return F.coalesce(
-        *[
-            F.when(text.contains(w) if also is None else text.contains(w) & also(w), F.lit(w))
-            for w in words
-        ]
-    )
+    """The first of `words` found in `text` (and passing `also(word)`), else NULL.
+
+    `text` is read once per word: hand in a plain column or bind it with `let`.
+    """
+    holds = lambda word: text.contains(word) if also is None else text.contains(word) & also(word)
+    return first_of(string_array(words), holds)

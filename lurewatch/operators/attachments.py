@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lurewatch.functions.arrays import present, string_array
+from lurewatch.functions.arrays import list_map, present, string_map
 from lurewatch.functions.text import fill, strip
 from lurewatch.operators.finding import finding
 from lurewatch.rules import RuleSet
@@ -20,9 +20,7 @@ def _location(att: Column) -> Column:
 
 def severity_map(rules: RuleSet) -> Column:
     """Extension to severity as one constant map; unknown extensions give NULL."""
-    if not rules.extensions:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for pair in rules.extensions.items() for x in pair])
+    return string_map(rules.extensions)
 
 
 def double_extension(att: Column, rules: RuleSet) -> Column:
@@ -90,13 +88,7 @@ def hidden_extension(att: Column, rules: RuleSet) -> Column:
 def mime_mismatch(att: Column, rules: RuleSet) -> Column:
     """Types outside the table are never a mismatch."""
     declared = strip(F.substring_index(F.lower(att["content_type"]), ";", 1))
-    allowed = F.create_map(
-        *[
-            x
-            for mime, extensions in MIME_EXTENSIONS.items()
-            for x in (F.lit(mime), string_array(extensions))
-        ]
-    )[declared]
+    allowed = list_map(MIME_EXTENSIONS)[declared]
     description, advice = MESSAGES["mime_mismatch"]
     return present(
         F.when(

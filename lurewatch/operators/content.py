@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.functions.arrays import string_array
+from lurewatch.functions.arrays import sql_text, string_array, string_map
 from lurewatch.functions.text import fill
 from lurewatch.operators.finding import finding
 from lurewatch.rules import RuleSet
@@ -44,12 +44,11 @@ def found_phrases(text: Column, rules: RuleSet) -> Column:
     wanted = list(dict.fromkeys(p.lower() for g in rules.signals for p in g.phrases))
     if not wanted:
         return string_array([])
-    table = F.array(
-        *[
-            F.struct(F.lit(stem).alias("stem"), string_array(group).alias("phrases"))
-            for stem, group in stems(wanted)
-        ]
+    structs = ", ".join(
+        f"named_struct('stem', {sql_text(stem)}, 'phrases', array({', '.join(map(sql_text, group))}))"
+        for stem, group in stems(wanted)
     )
+    table = F.expr(f"array({structs})")
     likely = F.filter(table, lambda s: text.contains(s["stem"]))
     return F.flatten(
         F.transform(likely, lambda s: F.filter(s["phrases"], lambda p: text.contains(p)))
@@ -63,16 +62,17 @@ def with_signals(mail: DataFrame, rules: RuleSet) -> DataFrame:
     mail = mail.withColumn("_found", found_phrases(F.col("searchable"), rules))
     groups = []
     for g in rules.signals:
-        # shown as written in the rules, compared in lower case
-        written = F.array(
-            *[F.struct(F.lit(p).alias("shown"), F.lit(p.lower()).alias("key")) for p in g.phrases]
-        )
-        matched = F.filter(written, lambda p: F.array_contains(F.col("_found"), p["key"]))
+        matched = F.array_intersect(string_array([p.lower() for p in g.phrases]), "_found")
+        shown = {p.lower(): p for p in g.phrases if p != p.lower()}
+        if shown:
+            # reported as written in the rules
+            written = string_map(shown)
+            matched = F.transform(matched, lambda p: F.coalesce(written[p], p))
         groups.append(
             F.struct(
                 F.lit(g.key).alias("key"),
                 F.lit(g.severity).alias("severity"),
-                F.transform(matched, lambda p: p["shown"]).alias("phrases"),
+                matched.alias("phrases"),
             )
         )
     schema = "array<struct<key:string,severity:string,phrases:array<string>>>"
@@ -84,10 +84,7 @@ def with_signals(mail: DataFrame, rules: RuleSet) -> DataFrame:
 
 def signal_finding(signal: Column) -> Column:
     text = lambda i, default: F.coalesce(
-        *[
-            F.when(signal["key"] == key, F.lit(message[i]))
-            for key, message in SIGNAL_MESSAGES.items()
-        ],
+        string_map({key: message[i] for key, message in SIGNAL_MESSAGES.items()})[signal["key"]],
         F.lit(default),
     )
     found = finding(

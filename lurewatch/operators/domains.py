@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.functions.arrays import derive, string_array
+from lurewatch.functions.arrays import derive, sql_text, string_array
 from lurewatch.functions.text import base_domain, fill, first_label
 from lurewatch.operators.finding import finding
 from lurewatch.rules import RuleSet
@@ -38,18 +38,13 @@ def domain_label(domain: Column) -> Column:
 
 def brand_array(rules: RuleSet) -> Column:
     """The brands as one constant array of structs, in rule order."""
+    structs = ", ".join(
+        f"named_struct('idx', {i}, 'domain', {sql_text(b.domain)}, "
+        f"'name', {sql_text(b.name)}, 'label', {sql_text(b.label)})"
+        for i, b in enumerate(rules.brands)
+    )
     schema = "array<struct<idx:int,domain:string,name:string,label:string>>"
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("idx"),
-                F.lit(b.domain).alias("domain"),
-                F.lit(b.name).alias("name"),
-                F.lit(b.label).alias("label"),
-            )
-            for i, b in enumerate(rules.brands)
-        ]
-    ).cast(schema)
+    return F.expr(f"CAST(array({structs}) AS {schema})")
 
 
 def has_domain_keyword(label: Column) -> Column:

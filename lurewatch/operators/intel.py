@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lurewatch.functions.arrays import rows_of
 from lurewatch.functions.urls import base64_url_id
 from lurewatch.rules.fixed import (
     HASH_TAG_LIMIT,
@@ -62,7 +63,7 @@ def _judge(joined: DataFrame, with_suspicious: bool = True) -> DataFrame:
 def domain_verdicts(mail: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row per distinct link domain."""
     domains = (
-        mail.select(F.explode("links").alias("l"))
+        rows_of(mail, item="links", name="l")
         .select(F.col("l.domain").alias("domain"))
         .filter("domain <> ''")
         .distinct()
@@ -84,7 +85,7 @@ def hash_verdicts(mail: DataFrame, verdicts: DataFrame) -> DataFrame:
     table in a join adaptive execution may broadcast or split.
     """
     files = (
-        mail.select("email_id", F.posexplode("attachments").alias("pos", "a"))
+        rows_of(mail, "email_id", item="attachments", pos="pos", name="a")
         .select("email_id", "pos", F.col("a.filename").alias("filename"), F.col("a.sha256").alias("sha256"))
         .filter("sha256 <> ''")
     )
@@ -116,7 +117,7 @@ def url_threats(mail: DataFrame, threats: DataFrame) -> DataFrame:
 
 def _distinct_hrefs(mail: DataFrame) -> DataFrame:
     return (
-        mail.select(F.explode("links").alias("l"))
+        rows_of(mail, item="links", name="l")
         .select(F.col("l.href").alias("url"))
         .filter("url <> ''")
         .distinct()

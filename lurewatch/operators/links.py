@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lurewatch.functions.arrays import let
 from lurewatch.functions.text import contains_first, fill
 from lurewatch.operators.finding import finding
 from lurewatch.rules import RuleSet
@@ -114,21 +115,25 @@ def deep_subdomain(link: Column, rules: RuleSet) -> Column:
 
 
 def url_keyword(link: Column, rules: RuleSet) -> Column:
-    keyword = contains_first(F.lower(F.concat(link["path"], link["query"])), URL_KEYWORDS)
+    keyword = let(
+        F.lower(F.concat(link["path"], link["query"])),
+        lambda address: contains_first(address, URL_KEYWORDS),
+    )
     description, advice = MESSAGES["link_keyword"]
-    return F.when(
-        keyword.isNotNull(),
+    found = lambda word: F.when(
+        word.isNotNull(),
         finding(
             CATEGORY,
             "low",
-            fill("Suspicious keyword in URL: '{}'", keyword),
+            fill("Suspicious keyword in URL: '{}'", word),
             _url(link),
             _location(link),
-            (fill(description, keyword), advice),
+            (fill(description, word), advice),
             confidence=0.5,
             tags=("url-keyword",),
         ),
     )
+    return let(keyword, found)
 
 
 LINK_RULES = {

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lurewatch.functions.arrays import rows_of
+
 DASH = "—"
 
 
@@ -16,7 +18,7 @@ def _flags(*named: tuple[Column, str]) -> Column:
 
 
 def inspect_links(mail: DataFrame) -> DataFrame:
-    return mail.select("email_id", F.posexplode("links").alias("pos", "l")).select(
+    return rows_of(mail, "email_id", item="links", pos="pos", name="l").select(
         "email_id",
         "pos",
         F.substring(_or_dash(F.col("l.visible_text")), 1, 25).alias("text"),
@@ -31,7 +33,7 @@ def inspect_links(mail: DataFrame) -> DataFrame:
 
 
 def inspect_attachments(mail: DataFrame) -> DataFrame:
-    return mail.select("email_id", F.posexplode("attachments").alias("pos", "a")).select(
+    return rows_of(mail, "email_id", item="attachments", pos="pos", name="a").select(
         "email_id",
         "pos",
         F.col("a.filename").alias("filename"),
@@ -46,7 +48,7 @@ def inspect_attachments(mail: DataFrame) -> DataFrame:
 
 def findings_long(analyzed: DataFrame) -> DataFrame:
     """One row per finding."""
-    return analyzed.select("email_id", F.explode("findings").alias("f")).select("email_id", "f.*")
+    return rows_of(analyzed, "email_id", item="findings", name="f").select("email_id", "f.*")
 
 
 def findings_listing(analyzed: DataFrame) -> DataFrame:

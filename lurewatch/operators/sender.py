@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lurewatch.functions.arrays import let
 from lurewatch.functions.text import contains_first, fill
 from lurewatch.operators.finding import finding
 from lurewatch.rules.fixed import BRAND_NAME_COUNT, FREE_MAIL_DOMAINS, IMPERSONATION_NAMES
@@ -21,7 +22,12 @@ def _shown() -> Column:
 def display_impersonation() -> Column:
     """The first listed name shown to the reader but absent from the domain."""
     sender = F.col("from_domain")
-    name = contains_first(_shown(), IMPERSONATION_NAMES, also=lambda n: ~sender.contains(n))
+    name = let(
+        _shown(),
+        lambda shown: contains_first(
+            shown, IMPERSONATION_NAMES, also=lambda n: ~sender.contains(n)
+        ),
+    )
     description, advice = MESSAGES["display_name"]
     return F.when(
         (sender != "") & name.isNotNull(),
@@ -38,7 +44,9 @@ def display_impersonation() -> Column:
 
 def brand_on_free_mail() -> Column:
     sender = F.col("from_domain")
-    brand = contains_first(_shown(), IMPERSONATION_NAMES[:BRAND_NAME_COUNT])
+    brand = let(
+        _shown(), lambda shown: contains_first(shown, IMPERSONATION_NAMES[:BRAND_NAME_COUNT])
+    )
     description, advice = MESSAGES["brand_free_mail"]
     return F.when(
         sender.isin(FREE_MAIL_DOMAINS) & brand.isNotNull(),

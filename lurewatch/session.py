@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # build large plans without a stack trace per column
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # mails are large values: few rows per Arrow batch, bounded in bytes as well
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),

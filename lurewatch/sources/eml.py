@@ -286,3 +286,24 @@ def _files(message: Message) -> list[dict]:
                 "sha256": hashlib.sha256(payload).hexdigest(),
             })
     return files
+
+
+def read_html_column(pages: DataFrame, column: str = "html") -> DataFrame:
+    """Replace an HTML column by its `anchors` and visible `html_text`; other columns stay."""
+    kept = [f for f in pages.schema.fields if f.name != column]
+    added = T.StructType.fromDDL(f"anchors array<{ANCHOR}>, html_text string")
+    arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in added.fields])
+    names = [f.name for f in kept]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for markup in batch.column(column):
+                anchors, text = html.read_html(markup.as_py() or "")
+                rows.append(_storable({"anchors": anchors, "html_text": text}))
+            out = pa.RecordBatch.from_pylist(rows, schema=arrow)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), *out.columns], names=[*names, *arrow.names]
+            )
+
+    return pages.mapInArrow(read, T.StructType([*kept, *added.fields]))
