@@ -74,7 +74,12 @@ def domain_verdicts(mail: DataFrame, verdicts: DataFrame) -> DataFrame:
 def url_verdicts(mail: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row per distinct link; `verdicts` is keyed by `url_id`."""
     urls = _distinct_hrefs(mail).withColumn("url_id", base64_url_id(F.col("url")))
-    return _judge(urls.join(verdicts, "url_id", "left"))
+    return _judge(urls.join(verdicts, "url_id", "left")).withColumns(
+        {
+            "reputation": F.coalesce("reputation", F.lit(0)),
+            "categories": F.coalesce("categories", F.array().cast("array<string>")),
+        }
+    )
 
 
 def hash_verdicts(mail: DataFrame, verdicts: DataFrame) -> DataFrame:
