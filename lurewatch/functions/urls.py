@@ -20,7 +20,7 @@ IP_HOST = r"(?U)\A(\d{1,3}\.){3}\d{1,3}\z|\A\[?[0-9a-fA-F:]+\]?\z"
 PUNYCODE_LABEL = r"(\A|\.)xn--"
 SHOWN_URL = r"(?U)https?://([^/\s\x1c-\x1f]+)"
 SHOWN_HOST = r"(?:www\.)?([a-zA-Z0-9-]+\.[a-zA-Z]{2,})"
-BRACKET_HOST = r"(?i)\A\[([0-9a-f.]*:[0-9a-f:.]*(%[^\]]*)?|v[0-9a-f]+\..+)\](:.*)?\z"
+BRACKET_HOST = r"(?i)\A([0-9a-f.]*:[0-9a-f:.]*(%.*)?|v[0-9a-f]+\..+)\z"
 
 
 def percent_decode(url: Column) -> Column:
@@ -116,6 +116,8 @@ def link_facts(links: Column) -> Column:
     )
 
     def facts(l: Column) -> Column:
+        # such a URL cannot be read; Python raises an error for it
+        bracketed = F.regexp_extract(l["_authority"], r"\[([^\]]*)", 1)
         opens, closes = l["_authority"].contains("["), l["_authority"].contains("]")
         return F.struct(
             l["visible_text"].alias("visible_text"),
@@ -132,7 +134,7 @@ def link_facts(links: Column) -> Column:
             .otherwise(display_domain(l["visible_text"]))
             .alias("display_domain"),
             l["domain"].alias("target_domain"),
-            ((opens != closes) | (opens & closes & ~l["_hostport"].rlike(BRACKET_HOST))).alias(
+            ((opens != closes) | (opens & closes & ~bracketed.rlike(BRACKET_HOST))).alias(
                 "is_malformed"
             ),
         )

@@ -81,10 +81,10 @@ SAMPLE_SQL = {
 HOST_SQL = "lower(split_part(split_part(split_part(url, '/', 3), '?', 1), '#', 1))"
 KNOWN_HOSTS_SQL = "(VALUES ('bit.ly', 3, 0, 60, 7), ('t.ly', 1, 0, 60, 9), ('micros0ft.com', 5, 2, 50, 13), ('xn--pple-43d.com', 0, 2, 60, 8), ('cafe', 0, 0, 0, 0)) AS t(domain, malicious, suspicious, harmless, undetected)"
 HOST_VOTES_SQL = {
-    "malicious": "length(domain) % 5",
-    "suspicious": "length(domain) % 4",
+    "malicious": "CAST(length(domain) % 5 AS INT)",
+    "suspicious": "CAST(length(domain) % 4 AS INT)",
     "harmless": "60",
-    "undetected": "length(domain)",
+    "undetected": "CAST(length(domain) AS INT)",
 }
 URL_VOTES_SQL = {
     "malicious": "CAST(page_id % 6 AS INT)",
