@@ -1,13 +1,13 @@
 """Wording rules over subject and body.
 
-Phrases that start with the same word share a stem (their common beginning).
-A body is searched for the stems first and for a phrase only if its stem is
-there, which halves the passes over bodies that hold no lure.
+Phrases share stems: pieces of text that several of them contain. A body is
+searched for the stems first and for a phrase only if its stem is there, which
+takes a third of the passes over a body that holds no lure.
 """
 
 from __future__ import annotations
 
-import os
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,12 +31,23 @@ def with_searchable_text(mail: DataFrame) -> DataFrame:
     return mail.withColumn("searchable", F.lower(text))
 
 
-def stems(phrases: list[str]) -> list[tuple[str, list[str]]]:
-    """Phrases grouped by first word, each group with its common beginning."""
-    groups: dict[str, list[str]] = {}
-    for phrase in phrases:
-        groups.setdefault(phrase.split(" ")[0], []).append(phrase)
-    return [(os.path.commonprefix(group), group) for group in groups.values()]
+def stems(phrases: list[str], shortest: int = 5) -> list[tuple[str, list[str]]]:
+    """Phrases grouped by a piece all of a group contain; most shared, then longest, first."""
+    groups, left = [], list(phrases)
+    while left:
+        shared = Counter(
+            piece
+            for p in left
+            for piece in {p[i:j] for i in range(len(p)) for j in range(i + shortest, len(p) + 1)}
+        )
+        stem, times = max(
+            shared.items(), key=lambda s: (s[1], len(s[0]), s[0]), default=(left[0], 1)
+        )
+        if times == 1:
+            return groups + [(p, [p]) for p in left]
+        groups.append((stem, [p for p in left if stem in p]))
+        left = [p for p in left if stem not in p]
+    return groups
 
 
 def found_phrases(text: Column, rules: RuleSet) -> Column:
