@@ -473,10 +473,6 @@ def _redacted(column: str) -> str:
     return column
 
 
-_judged = """found, coalesce(malicious, 0) AS malicious, coalesce(suspicious, 0) AS suspicious,
-  coalesce(malicious + suspicious + harmless + undetected, 0) AS total"""
-
-
 def judge(source: str, key: str, votes: str) -> str:
     return f"SELECT s.*, v.* EXCLUDE ({key}, malicious, suspicious, harmless, undetected), v.malicious IS NOT NULL AS found, coalesce(v.malicious, 0) AS malicious, coalesce(v.suspicious, 0) AS suspicious, coalesce(v.malicious + v.suspicious + v.harmless + v.undetected, 0) AS total FROM {source} s LEFT JOIN {votes} v USING ({key})"
 
