@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,12 +38,8 @@ def local_session(cpus: int | str = "*", app: str = "lurewatch", **settings: str
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's `spark.checkpoint.dir`.
 
-    Only where that is unset and Spark runs locally, as in tests, a temporary
-    folder serves; a cluster must name a folder all executors reach.
+    Where that is unset, below `spark.sql.warehouse.dir`, which a session always
+    has and all executors reach.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors reach")
-        root = tempfile.mkdtemp(prefix="lurewatch-")
-    return os.path.join(root.rstrip("/"), "lurewatch", f"{purpose}-{uuid.uuid4().hex[:12]}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/lurewatch/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from datetime import datetime
 
 import pytest
@@ -18,7 +19,8 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     os.environ["TZ"] = "UTC"
-    session = local_session(4)
+    scratch = tempfile.mkdtemp(prefix="lurewatch-tests-")
+    session = local_session(4, **{"spark.sql.warehouse.dir": scratch})
     yield session
     session.stop()
 
