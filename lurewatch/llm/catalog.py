@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, decontaminate, oracle, pii, simhash, tokenfile
-from lurewatch.llm.common import documents
+from lurewatch.llm import bpe, decontaminate, langid, oracle, pii, simhash, tokenfile
+from lurewatch.llm.common import documents, remainder
 from lurewatch.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,15 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    model = langid.train(langid.training_rows(docs))
+    found = langid.add_language(docs.select("doc_id", "text"), model)
+    held_out = (remainder("doc_id", 3) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", langid.rejected(model).alias("rejected"), "cross_entropy")
+
+
 @query
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
