@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, decontaminate, langid, oracle, pii, simhash, tokenfile
+from lurewatch.llm import bpe, decontaminate, langid, oracle, pii, quality, simhash, tokenfile, toxicity
 from lurewatch.llm.common import documents, remainder
 from lurewatch.session import shared_folder
 
@@ -73,6 +73,24 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    held_out = remainder("doc_id", 4) == 2
+    lexicon = toxicity.learn(docs, documents(spark, folder, "labels"), "toxic", ~held_out)
+    found = toxicity.add_score(docs, lexicon)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    model = quality.train(docs, documents(spark, folder, "labels"), "quality", ~held_out)
+    found = quality.add_score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
     target = shared_folder(spark, "token-ids")
