@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, decontaminate, langid, oracle, pii, quality, simhash, tokenfile, toxicity
+from lurewatch.llm import bpe, brown, decontaminate, langid, mih, oracle, pii, quality, simhash, tokenfile, toxicity
 from lurewatch.llm.common import documents, remainder
 from lurewatch.session import shared_folder
 
@@ -34,6 +34,20 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return mih.nearest(documents(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op3_brown(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    held_out = remainder("doc_id", 7) == 2
+    found = brown.score(docs, docs.filter(~held_out))
+    columns = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    return found.select("doc_id", held_out.alias("held_out"), *columns[1:])
+
+
 @query
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "lang")

@@ -25,7 +25,7 @@ MAX_ROWS = 30_000
 #: Fixed number of shards, so that a model does not depend on the cluster.
 SHARDS = 8
 PASSES = 6
-ALPHA, BETA, L1, L2 = 1.0, 0.1, 0.005, 0.01
+ALPHA, BETA, L1, L2 = 2.0, 0.1, 0.005, 0.01
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 AGAIN = np.uint64(0x5851F42D4C957F2D)
 KINDS = np.array([0 if b in b" \t\n\r\x0b\x0c" else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
