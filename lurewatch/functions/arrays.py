@@ -70,3 +70,17 @@ def list_map(pairs: Mapping[str, Iterable[str]]) -> Column:
         f"{sql_text(k)}, array({', '.join(map(sql_text, v))})" for k, v in pairs.items()
     )
     return F.expr(f"map({items})")
+
+
+def join_splittable(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join on `key` for which both sides are dealt out anew.
+
+    Adaptive execution splits a hot key only between two exchanges made for the
+    join. A side that is already dealt out by the key, such as the outcome of
+    another join or an aggregate, has none; the key's hash as a second key asks
+    for one. A NULL key finds nothing.
+    """
+    mark = "_key_hash"
+    return left.withColumn(mark, F.xxhash64(key)).join(
+        right.withColumn(mark, F.xxhash64(key)), [key, mark], "left"
+    ).drop(mark)

@@ -7,6 +7,8 @@ and brackets are dropped from the host.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from lurewatch.functions.arrays import derive, let, string_array
@@ -20,7 +22,35 @@ SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
 IP_HOST = r"(?U)\A(\d{1,3}\.){3}\d{1,3}\z|\A\[?[0-9a-fA-F:]+\]?\z"
 SHOWN_URL = r"(?U)https?://([^/\s\x1c-\x1f]+)"
 SHOWN_HOST = r"(?:www\.)?([a-zA-Z0-9-]+\.[a-zA-Z]{2,})"
-BRACKET_HOST = r"(?i)\A([0-9a-f.]*:[0-9a-f:.]*(%.*)?|v[0-9a-f]+\..+)\z"
+#: Signs that a host must not hold, also not after compatibility normalization.
+NOT_IN_HOST = "/?#@:"
+
+
+def _bracket_host() -> str:
+    """What may stand in brackets: an IPv6 address, with an optional zone, or a later kind."""
+    group, part = "[0-9a-fA-F]{1,4}", "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    dotted = rf"{part}(\.{part}){{3}}"
+    forms = [rf"({group}:){{7}}{group}", rf"({group}:){{6}}{dotted}"]
+    for before in range(8):
+        # a double colon stands for one group at least
+        after = 7 - before
+        left = rf"{group}(:{group}){{{before - 1}}}" if before else ""
+        right = [rf"({group}(:{group}){{0,{after - 1}}})?"] if after else [""]
+        if after >= 2:
+            right.append(rf"({group}:){{0,{after - 2}}}{dotted}")
+        forms.append(rf"{left}::({'|'.join(right)})")
+    return rf"(?s)\A(({'|'.join(forms)})(%[^%]+)?|v[0-9a-fA-F]+\..+)\z"
+
+
+def _unfolding_signs() -> str:
+    """A class of the characters whose compatibility form holds one of NOT_IN_HOST."""
+    codes = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    found = [c for c in codes if any(s in unicodedata.normalize("NFKC", chr(c)) for s in NOT_IN_HOST)]
+    return "[" + "".join(rf"\x{{{c:x}}}" for c in found) + "]"
+
+
+BRACKET_HOST = _bracket_host()
+UNFOLDING = _unfolding_signs()
 
 
 def percent_decode(url: Column) -> Column:
@@ -67,6 +97,18 @@ def is_flagged_shortener(domain: Column) -> Column:
     return F.lower(domain).isin(FLAGGED_SHORTENERS)
 
 
+def _is_refused(authority: Column) -> Column:
+    """Whether Python refuses a URL for its authority: brackets, or signs that normalization brings out."""
+    opens, closes = authority.contains("["), authority.contains("]")
+    bracketed = F.regexp_extract(authority, r"\[([^\]]*)", 1)
+    return (opens != closes) | (opens & closes & ~bracketed.rlike(BRACKET_HOST)) | authority.rlike(UNFOLDING)
+
+
+def _authority(url: Column) -> Column:
+    rest = F.regexp_replace(url, SCHEME, "")
+    return F.when(rest.startswith("//"), F.regexp_extract(rest, r"\A//([^/?#]*)", 1)).otherwise("")
+
+
 def link_facts(links: Column) -> Column:
     """Parts and flags for an array of `struct<visible_text, href, from_text>`."""
     # plain string functions where they do: patterns cost ten times as much
@@ -137,9 +179,9 @@ def link_facts(links: Column) -> Column:
     )
 
     def facts(l: Column) -> Column:
-        # such a URL cannot be read; Python raises an error for it
-        opens, closes = l["_authority"].contains("["), l["_authority"].contains("]")
-        bracketed = F.regexp_extract(l["_authority"], r"\[([^\]]*)", 1)
+        # such a URL cannot be read; Python raises an error for it. It reads the URL as it is written, too
+        changed = l["href"].contains("%")
+        written = _authority(without_controls(l["href"]))
         return F.struct(
             l["visible_text"].alias("visible_text"),
             l["href"].alias("href"),
@@ -155,9 +197,7 @@ def link_facts(links: Column) -> Column:
             .otherwise(display_domain(l["visible_text"]))
             .alias("display_domain"),
             l["domain"].alias("target_domain"),
-            ((opens != closes) | (opens & closes & ~bracketed.rlike(BRACKET_HOST))).alias(
-                "is_malformed"
-            ),
+            (_is_refused(l["_authority"]) | (changed & _is_refused(written))).alias("is_malformed"),
         )
 
     return F.transform(links, facts)

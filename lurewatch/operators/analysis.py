@@ -121,8 +121,11 @@ def run_analysis(
 
 
 def severity_points(severity: Column) -> Column:
+    """Points of a severity; one that does not exist, or NULL, fails the job."""
+    unknown = F.concat(F.lit("unknown severity: "), F.coalesce(severity, F.lit("NULL")))
     return F.coalesce(
-        *[F.when(severity == name, F.lit(points)) for name, points in SEVERITY_POINTS.items()]
+        *[F.when(severity == name, F.lit(points)) for name, points in SEVERITY_POINTS.items()],
+        F.raise_error(unknown).cast("int"),
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.functions.arrays import rows_of
+from lurewatch.functions.arrays import join_splittable, rows_of
 from lurewatch.functions.urls import base64_url_id
 from lurewatch.rules.fixed import (
     HASH_TAG_LIMIT,
@@ -83,24 +83,21 @@ def url_verdicts(mail: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def hash_verdicts(mail: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row per attachment with a hash; `verdicts` is keyed by `sha256`, with `tags`.
+    """One row per attachment with a hash; `verdicts` has one row per `sha256`, with `tags`.
 
-    Copies of one file can be a large share of all attachments, so the verdicts
-    are fetched for distinct hashes; the attachments then meet that smaller
-    table in a join adaptive execution may broadcast or split.
+    Copies of one file can be a large share of all attachments. They meet the
+    verdicts in one join whose two sides are both dealt out for it, so adaptive
+    execution can split the hot hash.
     """
     files = (
         rows_of(mail, "email_id", item="attachments", pos="pos", name="a")
         .select("email_id", "pos", F.col("a.filename").alias("filename"), F.col("a.sha256").alias("sha256"))
         .filter("sha256 <> ''")
     )
-    looked_up = _judge(
-        files.select("sha256").distinct().join(verdicts, "sha256", "left"), with_suspicious=False
-    ).withColumn(
+    return _judge(join_splittable(files, verdicts, "sha256"), with_suspicious=False).withColumn(
         "categories",
         F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, HASH_TAG_LIMIT),
-    )
-    return files.join(looked_up.drop("tags"), "sha256")
+    ).drop("tags")
 
 
 def url_threats(mail: DataFrame, threats: DataFrame) -> DataFrame:

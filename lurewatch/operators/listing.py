@@ -21,7 +21,7 @@ def inspect_links(mail: DataFrame) -> DataFrame:
     return rows_of(mail, "email_id", item="links", pos="pos", name="l").select(
         "email_id",
         "pos",
-        F.substring(_or_dash(F.col("l.visible_text")), 1, 25).alias("text"),
+        _or_dash(F.col("l.visible_text")).alias("text"),
         F.col("l.domain").alias("domain"),
         _flags(
             (F.col("l.is_ip_based"), "IP"),
@@ -59,6 +59,6 @@ def findings_listing(analyzed: DataFrame) -> DataFrame:
         F.upper("severity").alias("severity"),
         "title",
         F.replace("category", F.lit("_"), F.lit(" ")).alias("category"),
-        F.substring("description", 1, 80).alias("description"),
-        F.substring(_or_dash(F.col("evidence")), 1, 40).alias("evidence"),
+        "description",
+        _or_dash(F.col("evidence")).alias("evidence"),
     )

@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lurewatch.functions.arrays import join_splittable
 from lurewatch.rules.fixed import QUIZ_GRADES
 
 SAMPLE_SCHEMA = (
@@ -46,9 +47,9 @@ def sample_listing(samples: DataFrame) -> DataFrame:
 def grade(answers: DataFrame, samples: DataFrame) -> DataFrame:
     """Add `correct`, `explanation` and `indicators` to `(sample_id, user_answer, ...)`.
 
-    Answers pile up on popular samples, so the join is left to Catalyst: it
-    broadcasts the samples when they are small, and adaptive execution splits a
-    hot sample's answers when they are not.
+    Answers pile up on popular samples: Catalyst broadcasts the samples when they
+    are small, and adaptive execution splits a hot sample's answers when they are
+    not, however the samples were made.
     """
     key = samples.select(
         F.col("id").alias("sample_id"),
@@ -57,7 +58,7 @@ def grade(answers: DataFrame, samples: DataFrame) -> DataFrame:
         F.col("indicators").alias("_indicators"),
     )
     known = F.col("_label").isNotNull()
-    return answers.join(key, "sample_id", "left").select(
+    return join_splittable(answers, key, "sample_id").select(
         *answers.columns,
         F.coalesce(F.col("user_answer") == F.col("_label"), F.lit(False)).alias("correct"),
         F.when(known, F.col("_explanation"))
@@ -86,10 +87,35 @@ def quiz_score(graded: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def quiz_score_with_total(graded: DataFrame, by: str) -> DataFrame:
+    """Totals per group and, where `of_all` is true, over all answers; the answers are read once.
+
+    A group whose key is NULL stays apart from the total.
+    """
+    counts = graded.rollup(by).agg(
+        (F.grouping(by) == 1).alias("of_all"),
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("correct")).alias("correct"),
+    )
+    return counts.select(
+        by,
+        "of_all",
+        "total",
+        "correct",
+        (F.col("total") - F.col("correct")).alias("incorrect"),
+        score_percent(F.col("correct"), F.col("total")).alias("score_percent"),
+    )
+
+
 def quiz_verdict(percent: Column) -> Column:
     return F.coalesce(*[F.when(percent >= bound, F.lit(text)) for bound, text in QUIZ_GRADES])
 
 
+def mail_of_samples(samples: DataFrame, mail: DataFrame) -> DataFrame:
+    """The mails that are samples, before anything costly is done with them; both have `eml_filename`."""
+    return mail.join(samples.select("eml_filename"), "eml_filename", "left_semi")
+
+
 def sample_analysis(samples: DataFrame, analyzed: DataFrame) -> DataFrame:
     """The rules' outcome beside each sample's label; `analyzed` has `eml_filename`."""
     outcome = analyzed.select(

@@ -159,13 +159,14 @@ def sample_table(spark, folder):
     )
 
 
-def _stored(spark: SparkSession, folder: str, analyzed: DataFrame | None = None) -> DataFrame:
-    """Analyses with the time of their event as creation time."""
-    analyzed = _analyzed(spark, folder) if analyzed is None else analyzed
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Analyses with the time of their event as creation time; it is looked up before the analysis."""
     created = table(spark, folder, "events").select(
         F.col("event_id").alias("email_id"), F.col("ts").alias("created")
     )
-    return store.to_stored(analyzed.join(created, "email_id"), F.col("created"))
+    mail = derived.mail(spark, folder).join(created, "email_id", "left")
+    analyzed = _with_filename(corpus.analyze_mail(mail))
+    return store.to_stored(analyzed, F.col("created"))
 
 
 def _summary_text(stored: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def _summary_text(stored: DataFrame) -> DataFrame:
 def analysis_sink(spark, folder):
     """Store all analyses, then read the table back."""
     target = shared_folder(spark, "analyses")
-    store.store_analyses(_stored(spark, folder), target)
+    store.store_analyses(_stored(spark, folder), target, "documents")
     back = store.read_analyses(spark, target)
     return back.select(
         *store.SUMMARY_COLUMNS[:-1],
@@ -218,11 +219,9 @@ def mail_stream(spark, folder):
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     )
 
-    def analyze(batch: DataFrame) -> DataFrame:
-        mail = derived.mail_of(batch, table(spark, folder, "pages"))
-        return store.to_stored(_with_filename(corpus.analyze_mail(mail)))
-
-    store_stream(arriving, analyze, target, f"{target}-checkpoint").awaitTermination()
+    mail = derived.mail_of(arriving, table(spark, folder, "pages"))
+    stored = store.to_stored(_with_filename(corpus.analyze_mail(mail)))
+    store_stream(stored, target, f"{target}-checkpoint").awaitTermination()
     return _summary_text(store.read_analyses(spark, target))
 
 
@@ -604,10 +603,7 @@ def quiz_grade(spark, folder):
 @query
 def quiz_score(spark, folder):
     """Per user, and over everyone as the row without a user."""
-    graded = _graded(spark, folder)
-    return training.quiz_score(graded, "user_id").unionByName(
-        training.quiz_score(graded), allowMissingColumns=True
-    )
+    return training.quiz_score_with_total(_graded(spark, folder), "user_id").drop("of_all")
 
 
 @query
@@ -630,8 +626,9 @@ def _sample_file(mail: DataFrame) -> DataFrame:
 
 @query
 def sample_analysis(spark, folder):
-    analyzed = _sample_file(corpus.analyze_mail(derived.mail(spark, folder)))
-    outcome = training.sample_analysis(derived.samples(spark, folder), analyzed)
+    samples = derived.samples(spark, folder)
+    mail = training.mail_of_samples(samples, _sample_file(derived.mail(spark, folder)))
+    outcome = training.sample_analysis(samples, corpus.analyze_mail(mail))
     return outcome.select(
         "id", "is_phishing", "risk_score", "risk_level", "finding_count",
         F.array_join("top_contributors", " | ").alias("top_contributors"),
@@ -640,8 +637,9 @@ def sample_analysis(spark, folder):
 
 @query
 def sample_detail(spark, folder):
-    mail = _sample_file(mailfacts.normalize_mail(derived.mail(spark, folder)))
-    detail = training.sample_detail(derived.samples(spark, folder), mail)
+    samples = derived.samples(spark, folder)
+    mail = training.mail_of_samples(samples, _sample_file(derived.mail(spark, folder)))
+    detail = training.sample_detail(samples, mailfacts.normalize_mail(mail))
     return detail.select(
         "id", "title", "description", "difficulty",
         F.array_join("tags", ",").alias("tags"),

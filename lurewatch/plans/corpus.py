@@ -10,9 +10,11 @@ from lurewatch.operators.analysis import DEFAULT_ANALYZERS, Analyzer, run_analys
 from lurewatch.operators.listing import DASH
 from lurewatch.operators.mailfacts import normalize_mail
 from lurewatch.rules import RuleSet
-from lurewatch.sources.eml import accepted, content_key, file_name, parse_mail, scan_mail
+from lurewatch.sources.eml import content_key, file_name, parse_mail, scan_mail
 
 FLAG_THRESHOLD = 50
+#: Characters of a column that listings show.
+SHOWN_LENGTHS = {"from_address": 25, "subject": 30, "error": 20, "text": 25, "description": 80, "evidence": 40}
 
 
 def analyze_mail(
@@ -37,8 +39,8 @@ def analyze_raw(
 
 
 def analyze_folder(spark: SparkSession, directory: str, rules: RuleSet | None = None) -> DataFrame:
-    """Every mail file below a directory that passes the intake gate."""
-    return analyze_raw(accepted(scan_mail(spark, directory)), rules)
+    """Every mail file below a directory; the limits of the intake gate are for uploads only."""
+    return analyze_raw(scan_mail(spark, directory), rules)
 
 
 def corpus_scan(analyzed: DataFrame, threshold: float = FLAG_THRESHOLD) -> DataFrame:
@@ -47,17 +49,25 @@ def corpus_scan(analyzed: DataFrame, threshold: float = FLAG_THRESHOLD) -> DataF
     ok = lambda value, otherwise: F.when(failed, otherwise).otherwise(value)
     subject = F.when(F.col("subject") == "", DASH).otherwise(F.col("subject"))
     return analyzed.select(
+        *(["path"] if "path" in analyzed.columns else []),
+        "email_id",
         "filename",
-        ok(F.substring("from_address", 1, 25), F.lit(DASH)).alias("from_address"),
-        ok(F.substring(subject, 1, 30), F.lit(DASH)).alias("subject"),
+        ok(F.col("from_address"), F.lit(DASH)).alias("from_address"),
+        ok(subject, F.lit(DASH)).alias("subject"),
         ok(F.col("risk_score"), F.lit(None)).alias("risk_score"),
         ok(F.upper("risk_level"), F.lit("ERROR")).alias("risk_level"),
         ok(F.col("finding_count"), F.lit(None)).alias("finding_count"),
-        F.substring("parse_error", 1, 20).alias("error"),
+        F.col("parse_error").alias("error"),
         ok(F.col("risk_score") >= threshold, F.lit(False)).alias("flagged"),
     )
 
 
+def shortened(listing: DataFrame) -> DataFrame:
+    """A listing as a terminal shows it: long texts cut. Tables keep them whole."""
+    present = {c: n for c, n in SHOWN_LENGTHS.items() if c in listing.columns}
+    return listing.withColumns({c: F.substring(c, 1, n) for c, n in present.items()})
+
+
 def scan_summary(scan: DataFrame) -> DataFrame:
     """How many files, how many above the threshold, how many failed."""
     return scan.agg(

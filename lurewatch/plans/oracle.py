@@ -591,8 +591,8 @@ def _flag_list(*named: tuple[str, str]) -> str:
     return f"CASE WHEN {joined} = '' THEN '—' ELSE {joined} END"
 
 
-_scan = """SELECT file AS filename, substr(from_address, 1, 25) AS from_address,
-  substr(CASE WHEN subject = '' THEN '—' ELSE subject END, 1, 30) AS subject, risk_score,
+_scan = """SELECT concat('maildrop/', email_id % 16, '/m', email_id, '.eml') AS path, email_id, file AS filename, from_address,
+  CASE WHEN subject = '' THEN '—' ELSE subject END AS subject, risk_score,
   upper(risk_level) AS risk_level, finding_count, CAST(NULL AS VARCHAR) AS error,
   risk_score >= 50 AS flagged FROM result"""
 
@@ -716,14 +716,14 @@ QUERIES: dict[str, str] = {
     "corpus_scan": _scan,
     "corpus_scan_summary": f"""SELECT count(*) AS files, count(*) FILTER (flagged) AS flagged,
         count(*) FILTER (risk_level = 'ERROR') AS errors FROM ({_scan})""",
-    "inspect_links": f"""SELECT email_id, CAST(pos AS INTEGER) AS pos, substr({_or_dash('visible_text')}, 1, 25) AS text, domain,
+    "inspect_links": f"""SELECT email_id, CAST(pos AS INTEGER) AS pos, {_or_dash('visible_text')} AS text, domain,
         {_flag_list(('is_ip_based', 'IP'), ('is_shortened', 'Short'), ('NOT uses_https', 'HTTP'), ('is_punycode', 'Punycode'))} AS flags
       FROM link""",
     "inspect_attachments": f"""SELECT email_id, pos, filename, extension, printf('%.1f KB', size_bytes / 1024) AS size,
         {_flag_list(('has_double', 'Double ext'), ('is_suspicious', 'Suspicious'))} AS flags FROM attachment""",
     "findings_listing": f"""SELECT email_id, ordinal, upper(severity) AS severity, title,
-        replace(category, '_', ' ') AS category, substr(description, 1, 80) AS description,
-        substr({_or_dash('evidence')}, 1, 40) AS evidence FROM finding""",
+        replace(category, '_', ' ') AS category, description,
+        {_or_dash('evidence')} AS evidence FROM finding""",
     "analysis_summary": f"SELECT {_id} AS {_summary} FROM result",
     "report_json": f"SELECT m.email_id, {_json_report()} AS report FROM r_mail m",
     "report_markdown": f"SELECT m.email_id, {_markdown()} AS report FROM r_mail m",

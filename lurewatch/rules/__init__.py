@@ -59,7 +59,8 @@ class RuleSet:
     @classmethod
     def from_directory(cls, directory: str | Path) -> RuleSet:
         """Read brands, link_shorteners, suspicious_extensions and
-        content_patterns (`.yml`). A file that is missing leaves its set empty."""
+        content_patterns (`.yml`). A file that is missing leaves its set empty;
+        a severity that does not exist raises ValueError."""
         import yaml
 
         def load(name: str):
@@ -75,17 +76,25 @@ class RuleSet:
             ),
             shorteners=tuple(load("link_shorteners").get("shorteners", [])),
             extensions={
-                str(e).lower(): group["severity"]
-                for group in load("suspicious_extensions").values()
+                str(e).lower(): _severity(group["severity"], "suspicious_extensions.yml", name)
+                for name, group in load("suspicious_extensions").items()
                 for e in group["extensions"]
             },
             signals=tuple(
-                SignalGroup(k, g.get("severity", "medium"), tuple(g.get("patterns", [])))
+                SignalGroup(
+                    k, _severity(g.get("severity", "medium"), "content_patterns.yml", k), tuple(g.get("patterns", []))
+                )
                 for k, g in load("content_patterns").items()
             ),
         )
 
 
+def _severity(value, file: str, group: str) -> str:
+    if value not in fixed.SEVERITY_POINTS:
+        raise ValueError(f"{file}, {group}: unknown severity {value!r}; one of {', '.join(fixed.SEVERITY_POINTS)}")
+    return value
+
+
 def rule_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
     """All rules as rows `(rule_set, idx, rule_key, rule_value)`; `idx` is the order."""
     rows: list[tuple[str, int, str, str]] = []

@@ -28,13 +28,21 @@ def local_session(cpus: int | str = "*", app: str = "lurewatch", **settings: str
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
     )
-    for key, value in {**SETTINGS, **settings}.items():
+    spread = {} if cpus == "*" else {"spark.lurewatch.spread": str(cpus)}
+    for key, value in {**SETTINGS, **spread, **settings}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def with_settings(spark: SparkSession) -> SparkSession:
+    """Applies SETTINGS to a session that was made elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's `spark.checkpoint.dir`.
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lurewatch.functions.urls import base64_url_id
-from lurewatch.plans.sizing import fits_broadcast, spread
 from lurewatch.schema import ANCHOR, FILE, HOP
 
 # Columns of `mail` over `documents`.
@@ -96,6 +95,7 @@ URL_VOTES_SQL = {
 THREAT_SQL = "CASE page_id % 4 WHEN 0 THEN 'MALWARE' WHEN 1 THEN 'SOCIAL_ENGINEERING' ELSE 'UNWANTED_SOFTWARE' END"
 OTHER_THREAT_SQL = "CASE WHEN page_id % 8 = 1 THEN 'POTENTIALLY_HARMFUL_APPLICATION' ELSE 'SOCIAL_ENGINEERING' END"
 
+SPREAD = "spark.lurewatch.spread"
 BOUNDARY = "lurewatch-part"
 
 
@@ -104,8 +104,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents_spread(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents, split finer where their file alone would keep cores idle."""
-    return spread(table(spark, folder, "documents"), "doc_id")
+    """The documents, dealt out to as many tasks as the session's SPREAD asks for.
+
+    That is for small tables in one file, whose single split would keep cores idle;
+    where it is not set, as on a cluster, nothing is shuffled.
+    """
+    documents = table(spark, folder, "documents")
+    tasks = spark.conf.get(SPREAD, None)
+    return documents.repartition(int(tasks), "doc_id") if tasks else documents
 
 
 def mail_columns(*names: str) -> list[Column]:
@@ -154,15 +160,7 @@ def mail(spark: SparkSession, folder: str) -> DataFrame:
 
 def mail_of(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """The mails of some documents, as they arrive."""
-    pages = pages.select("page_id", "url")
-    if fits_broadcast(pages):
-        # small pages: both lookups happen where the documents are read
-        joined = _with_page_anchors(documents, pages)
-    else:
-        # large pages: only keys travel to the pages, texts move once at most
-        found = _with_page_anchors(documents.select("doc_id"), pages)
-        joined = documents.join(found, "doc_id", "left")
-    return _finish(joined, F.col("anchors"))
+    return _finish(_with_page_anchors(documents, pages.select("page_id", "url")), F.col("anchors"))
 
 
 def _finish(documents: DataFrame, anchors: Column) -> DataFrame:

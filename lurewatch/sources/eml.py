@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lurewatch.rules.fixed import MAIL_SUFFIX, MAX_MAIL_BYTES
 from lurewatch.schema import ANCHOR, FILE, HOP
 from lurewatch.sources import html
+from lurewatch.sources.mailfiles import read_files
 
 KEPT_HEADERS = 4096
 KEPT_LENGTH = 1024
@@ -43,18 +44,13 @@ PARSED_SCHEMA = (
 
 
 def scan_mail(spark: SparkSession, directory: str) -> DataFrame:
-    """All `.eml` files below a directory: path, modificationTime, length, content."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{MAIL_SUFFIX}")
-        .option("recursiveFileLookup", "true")
-        .load(directory)
-    )
+    """All `.eml` files below a directory, whatever their names begin with: path, modificationTime, length, content."""
+    return read_files(spark, directory, MAIL_SUFFIX)
 
 
 def scan_any(spark: SparkSession, directory: str) -> DataFrame:
     """All files below a directory, for the intake gate to judge."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    return read_files(spark, directory)
 
 
 def file_name(path) -> F.Column:
@@ -81,7 +77,8 @@ def accepted(files: DataFrame, max_bytes: int = MAX_MAIL_BYTES) -> DataFrame:
 
 def content_key() -> F.Column:
     """The surrogate key of a mail; copies in other places stay apart."""
-    return F.sha2(F.concat(F.col("content"), F.encode(F.col("path"), "UTF-8")), 256)
+    content = F.coalesce(F.col("content"), F.lit(b""))
+    return F.sha2(F.concat(content, F.encode(F.col("path"), "UTF-8")), 256)
 
 
 def parse_mail(raw: DataFrame, content: str = "content") -> DataFrame:
@@ -156,7 +153,7 @@ def _arrow_type(spark_type: T.DataType) -> pa.DataType:
     return plain[spark_type.simpleString()]
 
 
-def parse_bytes(raw: bytes, policy: EmailPolicy | None = None) -> dict:
+def parse_bytes(raw: bytes | None, policy: EmailPolicy | None = None) -> dict:
     """One mail as a dict of PARSED_SCHEMA; every field has a default."""
     row = {
         "message_id": "", "subject": "", "from_address": "", "from_display_name": "",
@@ -164,6 +161,8 @@ def parse_bytes(raw: bytes, policy: EmailPolicy | None = None) -> dict:
         "received_hops": [], "authentication_results": "", "text_body": "", "html_body": "",
         "html_text": "", "anchors": [], "files": [], "raw_headers": [], "parse_error": None,
     }
+    if raw is None:
+        return row | {"parse_error": "the file is too large to read"}
     try:
         message = email.message_from_bytes(raw, policy=policy or mail_policy())
         row.update(_headers(message))
@@ -289,9 +288,12 @@ def _files(message: Message) -> list[dict]:
 
 
 def read_html_column(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Replace an HTML column by its `anchors` and visible `html_text`; other columns stay."""
+    """Replace an HTML column by its `anchors` and visible `html_text`; other columns stay.
+
+    `html_error` says why a text could not be read; it has no anchors then.
+    """
     kept = [f for f in pages.schema.fields if f.name != column]
-    added = T.StructType.fromDDL(f"anchors array<{ANCHOR}>, html_text string")
+    added = T.StructType.fromDDL(f"anchors array<{ANCHOR}>, html_text string, html_error string")
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in added.fields])
     names = [f.name for f in kept]
 
@@ -299,8 +301,11 @@ def read_html_column(pages: DataFrame, column: str = "html") -> DataFrame:
         for batch in batches:
             rows = []
             for markup in batch.column(column):
-                anchors, text = html.read_html(markup.as_py() or "")
-                rows.append(_storable({"anchors": anchors, "html_text": text}))
+                try:
+                    (anchors, text), error = html.read_html(markup.as_py() or ""), None
+                except ValueError as refused:
+                    anchors, text, error = [], "", str(refused)
+                rows.append(_storable({"anchors": anchors, "html_text": text, "html_error": error}))
             out = pa.RecordBatch.from_pylist(rows, schema=arrow)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), *out.columns], names=[*names, *arrow.names]

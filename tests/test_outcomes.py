@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +65,47 @@ def test_folder_scan_with_a_broken_mail(spark, tmp_path):
     assert (summary.files, summary.flagged, summary.errors) == (3, 1, 1)
 
 
+def test_folder_scan_loses_no_mail(spark, tmp_path):
+    for name in ("a.eml", "_b.eml", ".c.eml", "_sub/d.eml", "sub/a.eml", ".hidden/e.eml"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(MAILS["simple"])
+    (tmp_path / "big.eml").write_bytes(MAILS["simple"] + b"x" * (11 * 1024 * 1024))
+    rows = corpus_scan(analyze_folder(spark, str(tmp_path))).collect()
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in rows) == sorted(
+        ["a.eml", "_b.eml", ".c.eml", "_sub/d.eml", "sub/a.eml", ".hidden/e.eml", "big.eml"]
+    )
+    assert len({r.email_id for r in rows}) == len(rows)
+    assert analyze_folder(spark, str(tmp_path / "_sub")).count() == 1
+
+
+def test_an_unknown_severity_fails(spark, tmp_path):
+    from lurewatch.operators.analysis import severity_points
+    from lurewatch.rules import RuleSet
+
+    (tmp_path / "content_patterns.yml").write_text("urgent:\n  severity: severe\n  patterns: [x]\n")
+    with pytest.raises(ValueError, match="content_patterns.yml, urgent"):
+        RuleSet.from_directory(tmp_path)
+    for severity in (F.lit("severe"), F.lit(None).cast("string")):
+        with pytest.raises(Exception, match="unknown severity"):
+            spark.range(1).select(severity_points(severity)).collect()
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<a href=u>y"])
+def test_open_elements_cost_no_more_than_input_and_output(unit):
+    from lurewatch.sources import html
+
+    def seconds(n):
+        start = time.process_time()
+        try:
+            html.read_html(unit * n)
+        except ValueError as error:
+            assert "link text" in str(error)
+        return time.process_time() - start
+
+    small = min(seconds(5_000) for _ in range(3))
+    assert seconds(100_000) < 60 * max(small, 0.01)
+
+
 def test_long_and_nested_scores_agree(spark):
     from conftest import SMALL
     from lurewatch.operators.analysis import severity_points

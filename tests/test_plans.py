@@ -5,11 +5,14 @@ from __future__ import annotations
 import contextlib
 import io
 
+import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
+
+from lurewatch.operators import intel, training
 from lurewatch.plans import catalog
 from lurewatch.plans.corpus import analyze_mail, analyze_raw, corpus_scan
-from lurewatch.plans.sizing import fits_broadcast, spread
-from lurewatch.sources import derived
+from lurewatch.sources import derived, store
 from lurewatch.sources.derived import table
 
 
@@ -60,25 +63,67 @@ def test_body_is_lowered_once(spark):
     assert body_loops == []
 
 
-def test_large_lookup_sides_are_not_broadcast(spark):
-    pages = table(spark, SMALL, "pages").select("page_id", "url")
-    documents = table(spark, SMALL, "documents")
-    assert fits_broadcast(pages)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
-        assert not fits_broadcast(pages)
-        far = derived.mail_of(documents, table(spark, SMALL, "pages"))
-        assert "BroadcastHashJoin" not in plan(far)
-        rows = sorted(far.collect(), key=lambda r: r.email_id)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    near = derived.mail_of(documents, table(spark, SMALL, "pages"))
-    assert rows == sorted(near.collect(), key=lambda r: r.email_id)
-
-
-def test_spread_leaves_enough_splits_alone(spark):
-    many = spark.range(0, 100, 1, 64).withColumnRenamed("id", "doc_id")
-    assert spread(many, "doc_id") is many
-    few = spark.range(0, 100, 1, 1)
-    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+@pytest.fixture
+def skewed(spark):
+    """Settings under which a hot key of a small table shows."""
+    hot = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in hot}
+    for k, v in hot.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def final_plan(frame) -> str:
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_sample_is_split(skewed):
+    answers = skewed.range(0, 20000, 1, 8).select(
+        "id", F.when(F.col("id") % 5 > 0, 1).otherwise(F.col("id")).alias("sample_id"), F.lit(True).alias("user_answer")
+    )
+    ids = skewed.range(500)
+    samples = ids.join(skewed.range(400), "id").select(
+        "id", (F.col("id") % 2 == 0).alias("is_phishing"), F.lit("e").alias("explanation"),
+        F.array(F.lit("i")).alias("indicators"),
+    )
+    graded = training.grade(answers, samples)
+    assert "skew=true" in final_plan(graded)
+    assert graded.count() == 20000
+
+
+def test_hot_hash_is_split(skewed):
+    item = F.struct(
+        F.lit("f").alias("filename"), F.when(F.col("id") % 5 > 0, "hot").otherwise(F.col("id").cast("string")).alias("sha256")
+    )
+    mail = skewed.range(0, 20000, 1, 8).select(F.col("id").alias("email_id"), F.array(item).alias("attachments"))
+    verdicts = skewed.range(100).groupBy(F.col("id").cast("string").alias("sha256")).agg(
+        *[F.lit(1).alias(v) for v in ("malicious", "suspicious", "harmless", "undetected")]
+    ).withColumn("tags", F.array(F.lit("t")))
+    judged = intel.hash_verdicts(mail, verdicts)
+    assert "skew=true" in final_plan(judged)
+    assert judged.count() == 20000
+
+
+def test_few_ids_do_not_shuffle_the_store(spark, tmp_path):
+    stored = spark.range(0, 1000, 1, 4).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("subject"))
+    stored.write.parquet(str(tmp_path / "s"))
+    found = store.analysis_details(
+        spark.read.parquet(str(tmp_path / "s")), spark.createDataFrame([("3",), ("none",)], "id string")
+    )
+    p = plan(found)
+    assert "BroadcastHashJoin" in p and "LeftSemi" in p
+    assert sorted((r.id, r.found) for r in found.collect()) == [("3", True), ("none", False)]
+
+
+def test_samples_are_chosen_before_the_analysis(spark):
+    p = plan(catalog.queries()["sample_analysis"](spark, SMALL))
+    assert "LeftSemi" in p

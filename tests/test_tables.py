@@ -58,9 +58,27 @@ def test_stream_twice_equals_one_batch(spark, tmp_path):
     got = {r.filename: (r.risk_score, r.finding_count) for r in streamed.collect()}
     assert got == {r.filename: (r.risk_score, r.finding_count) for r in batch.collect()}
     assert streamed.count() == len(names)
-    rejected = spark.read.parquet(f"{kept}-rejected/batch_id=*").collect()
-    assert {(os.path.basename(r.path), r.reject_reason) for r in rejected} == {
-        ("notes.txt", "not_eml"), ("huge.eml", "too_large")}
+    refused = store.read_failures(spark, kept).collect()
+    assert {(r.filename, r.error, r.status) for r in refused} == {
+        ("notes.txt", "not_eml", "rejected"), ("huge.eml", "too_large", "rejected")}
+
+
+def test_streams_share_a_store_and_record_failures(spark, tmp_path):
+    kept = str(tmp_path / "kept")
+    for name, mail in (("one", "simple"), ("two", "phishing_links")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{mail}.eml").write_bytes(MAILS[mail])
+    (tmp_path / "two" / "broken.eml").write_bytes(
+        b"From: a@b.example\nContent-Type: text/html\n\n<a href='http://[bad/x'>x</a>"
+    )
+    for name in ("one", "two", "two"):
+        watch_drop_folder(spark, str(tmp_path / name), kept, str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+    back = store.read_analyses(spark, kept)
+    assert {r.filename for r in back.select("filename").collect()} == {"simple.eml", "phishing_links.eml"}
+    failed = store.read_failures(spark, kept).collect()
+    assert [(r.filename, r.status) for r in failed] == [("broken.eml", "failed")]
+    headers = back.filter("filename = 'simple.eml'").select("email.raw_headers").first()[0]
+    assert "From" in headers
 
 
 def test_store_history_and_detail(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote, urlparse
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -41,26 +42,32 @@ def test_parts_match_the_standard_library(spark):
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.text("hHtps:/?#;@%+.-_2Fa1 é&=", max_size=24), min_size=40, max_size=80))
+@given(st.lists(st.text("hHtps:/?#;@%+.-_2Fa1 é&=[]℀５BD", max_size=24), min_size=40, max_size=80))
 def test_parts_of_arbitrary_text(spark, tails):
     hrefs = [prefix + t for t in tails for prefix in ("", "https://", "http://h")]
     for href, r in zip(hrefs, facts(spark, hrefs)):
         try:
             want = expected(href)
         except ValueError:
+            assert r.is_malformed, repr(href)
             continue
+        assert not r.is_malformed, repr(href)
         assert (r.scheme, r.domain, r.path, r.query, r.uses_https) == want, repr(href)
 
 
 def test_malformed(spark):
-    bad = ["http://[::1/x", "http://::1]/x", "http://[nope]/x", "http://u@[1.2.3.4]:5/x"]
+    bad = [
+        "http://[::1/x", "http://::1]/x", "http://[nope]/x", "http://u@[1.2.3.4]:5/x", "http://%5B::1]/x",
+        "http://\u2100.example/x", "http://[1::2::3]/", "http://[1:2:3:4:5:6:7::8]/", "http://[::1%25]/", "http://[::1.2.3.04]/",
+    ]
     for href, r in zip(bad, facts(spark, bad)):
         assert r.is_malformed, href
-        try:
-            urlparse(href)
-            raise AssertionError(f"{href} is fine")
-        except ValueError:
-            pass
+        with pytest.raises(ValueError):
+            expected(href)
+    good = ["http://[::]/", "http://[1:2:3:4:5:6:7::]/", "http://[::ffff:1.2.3.4]/", "http://[v1a.x]/", "http://\u00bd.example/"]
+    for href, r in zip(good, facts(spark, good)):
+        expected(href)
+        assert not r.is_malformed, href
 
 
 def test_flags(spark):
