@@ -11,8 +11,6 @@ of one array; long pieces have a tree of their own.
 from __future__ import annotations
 
 import base64
-import unicodedata
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -20,67 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lurewatch.llm.common import add_from_text, once
+from lurewatch.llm.pieces import PieceTable, grouped
 
 NONE = np.int64(1) << 40
 #: Pieces up to this many bytes are merged together, longer ones one at a time.
 SHORT = 64
-#: Encoded pieces a worker remembers, in each of two generations.
-REMEMBERED = 300_000
 AT_ONCE = 1 << 11
 
-# --- cutting text into pieces -----------------------------------------------------
-
-LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
-
-
-def _classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space, other."""
-    table = np.zeros(0x110000, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    for code in range(0x110000):
-        table[code] = kinds.get(unicodedata.category(chr(code))[0], OTHER)
-    #: The property White_Space.
-    for code in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        table[code] = SPACE
-    return table
-
-
-def cut(text: str) -> list[str]:
-    """The matches of public_tokenizers.PATTERN, found from classes of characters.
-
-    A piece starts where the class changes; a single space (U+0020) before a piece
-    belongs to it; of more white space all but the last character is a piece; an
-    English contraction that starts a piece is a piece.
-    """
-    if not text:
-        return []
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    kind = once("classes", 0, _classes)[codes]
-    n = len(kind)
-    space = kind == SPACE
-    start = np.empty(n, bool)
-    start[0] = True
-    start[1:] = kind[1:] != kind[:-1]
-    # a run of white space before something else: its last character stands alone, or leads the next piece
-    last = np.flatnonzero(space[:-1] & ~space[1:])
-    blank = codes[last] == 32
-    start[last] = True
-    start[last[blank] + 1] = False
-    quotes = np.flatnonzero(codes == 39)
-    if len(quotes):
-        quotes = quotes[start[quotes]]
-        for at in quotes.tolist():
-            pair = text[at + 1 : at + 3]
-            size = 2 if pair[:1] in ("s", "t", "m", "d") else 3 if pair in ("re", "ve", "ll") else 0
-            if size:
-                if at + size < n:
-                    # what follows starts a piece, unless it is the space of a piece that starts later
-                    start[at + size] = True
-                start[at + 1 : at + size] = False
-    begins = np.flatnonzero(start).tolist()
-    return [text[a:b] for a, b in zip(begins, [*begins[1:], n])]
-
-
 # --- ranks -------------------------------------------------------------------------
 
 
@@ -243,62 +187,6 @@ def merge(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
     return found
 
 
-class Remembered:
-    """Results per piece, of bounded number: a full generation becomes the old one."""
-
-    def __init__(self, make, limit: int = REMEMBERED):
-        self.make, self.limit = make, limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, pieces: list[str]) -> list[bytes]:
-        """The result of each piece."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, pieces))
-        missing = {p for p, known in zip(pieces, found) if known is None}
-        if not missing:
-            return found
-        new = []
-        for piece in missing:
-            known = self.old.get(piece)
-            if known is None:
-                new.append(piece)
-            else:
-                self.young[piece] = known
-        self.young.update(zip(new, self.make(new)))
-        return list(map(self.young.__getitem__, pieces))
-
-
-def as_bytes(ids: list[list[int]]) -> list[bytes]:
-    """Each list as little-endian 32-bit integers, so that lists are joined as bytes."""
-    flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-    ends = np.cumsum([4 * len(x) for x in ids]).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-
-
-def joined(texts: list[str], known: Remembered) -> list[np.ndarray]:
-    """The ids of each text, from the results of its pieces."""
-    pieces = [cut(t) for t in texts]
-    found = known.of(list(chain.from_iterable(pieces)))
-    ends = np.cumsum([len(p) for p in pieces]).tolist()
-    return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends[:-1]], ends)]
-
-
-def grouped(texts: list[str | None], characters: int = 1 << 20):
-    """Texts in groups of bounded length, one text at least."""
-    some: list[str] = []
-    held = 0
-    for text in texts:
-        some.append(text or "")
-        held += len(some[-1])
-        if held >= characters:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
-
-
 def add_tokens(
     docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded"
 ) -> DataFrame:
@@ -311,12 +199,10 @@ def add_tokens(
 
     def compute():
         ranks = once("ranks", path, lambda: Ranks.load(path))
-        known = once("pieces", path, lambda: Remembered(
-            lambda new: as_bytes(merge([p.encode("utf-8", "surrogatepass") for p in new], ranks))
-        ))
+        known = once("pieces", path, lambda: PieceTable(lambda new: merge(new, ranks)))
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            return _arrays([x for some in grouped(texts) for x in joined(some, known)], ranks, decoded is not None)
+            return _arrays([x for some in grouped(texts) for x in known.ids_of(some)], ranks, decoded is not None)
 
         return work
 

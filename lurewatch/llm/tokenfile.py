@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from lurewatch.llm.bpe import Remembered, as_bytes, grouped, joined
 from lurewatch.llm.common import once
+from lurewatch.llm.pieces import PieceTable, grouped
 
 #: Fixed by the format: ids per word for the selectors 1 to 14, each of 60 // count bits.
 COUNTS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -94,17 +94,16 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def _tokens(path: str) -> Remembered:
+def _tokens(path: str) -> PieceTable:
     """Ids of pieces by the tokenizers library; a piece is encoded once as long as it is remembered."""
     from tokenizers import Tokenizer
 
     model, letters = Tokenizer.from_file(path).model, _byte_letters()
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        spelled = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for p in pieces]
-        return as_bytes([[t.id for t in model.tokenize(x)] for x in spelled])
+    def encode(pieces: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
 
-    return Remembered(encode)
+    return PieceTable(encode)
 
 
 def write_tokens(
@@ -143,7 +142,7 @@ def write_tokens(
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
             for some in grouped(batch.column(1).to_pylist()):
-                for found in joined(some, known):
+                for found in known.ids_of(some):
                     held.append(found)
                     names.append(next(ids))
                     count += len(found) + 1
