@@ -183,7 +183,9 @@ def exchange(pairs: np.ndarray, own: int, classes: int = CLASSES, passes: int =
             cross = table[own_cell, own_cell]
             gain = rows.sum(axis=1) + columns.sum(axis=1) - rows[own_cell, own_cell] - columns[own_cell, own_cell]
             gain += f(cross + after[:classes] + before[:classes] + self_) - f(cross)
-            left, right = table.sum(axis=1)[:classes], table.sum(axis=0)[:classes]
+            # what other words say before and after the word counts for their classes wherever it goes
+            left = table.sum(axis=1)[:classes] + before[:classes]
+            right = table.sum(axis=0)[:classes] + after[:classes]
             gain -= f(left + after.sum() + self_) - f(left) + f(right + before.sum() + self_) - f(right)
             new = int(np.argmax(gain))
             if gain[new] <= gain[old] + 1e-6:
