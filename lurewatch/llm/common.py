@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lurewatch.session import shared_folder
 
+SLICE_ROWS = 512
 _BUILT: dict[str, tuple[Any, Any]] = {}
 
 
@@ -37,6 +38,13 @@ def drop_clashing(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.select(*[F.col(f"`{c}`") for c in frame.columns if c.lower() not in taken])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def add_from_text(
     frame: DataFrame, text: str, fields: str, compute: Callable[[], Callable[[list[str | None]], list[pa.Array]]]
 ) -> DataFrame:
@@ -52,7 +60,7 @@ def add_from_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = compute()
-        for batch in batches:
+        for batch in slices(batches):
             results = work(batch.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *results], names=[*batch.schema.names, *added.names])
 

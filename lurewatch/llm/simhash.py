@@ -294,21 +294,14 @@ def links(distinct: DataFrame, partitions: list[tuple[list[int], int]], distance
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the smallest node reachable.
 
-    Alternates large-star and small-star until nothing changes. Minima are
+    Alternates large-star and small-star until only stars are left. Minima are
     aggregated before they are shuffled, and are written, so that joins on a hot
     root can be split.
     """
     edges = scratch(
         edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links"
     )
-    before = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
-        if state.n == 0 or state == before:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
-                edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
-            )
-        before = state
+    while not _is_star_forest(edges):
         both = edges.unionAll(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = scratch(both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("u"), F.least("v", "m").alias("m")), "large-star")
         large = scratch(edges.join(least, "u").select("v", F.col("m").alias("u")).filter("u < v").distinct(), "large-star-links")
@@ -319,6 +312,15 @@ def components(edges: DataFrame) -> DataFrame:
             .select("x.v", F.col("x.m").alias("u")).filter("u < v").distinct(),
             "small-star-links",
         )
+    roots = edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots)
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, and no such smaller node has one itself."""
+    many = edges.groupBy("v").count().filter("count > 1").select("v")
+    inner = edges.select("v").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    return many.unionAll(inner).isEmpty()
 
 
 def group_of_prints(distinct: DataFrame, distance: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -18,9 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lurewatch.llm.common import once
+from lurewatch.llm.common import once, slices
 from lurewatch.llm.pieces import PieceTable, grouped
 
 #: Fixed by the format: ids per word for the selectors 1 to 14, each of 60 // count bits.
@@ -137,7 +137,7 @@ def write_tokens(
             }
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = iter(batch.column(0).to_pylist())
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
@@ -156,7 +156,9 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document: doc_id, start (ids of all documents before it), token_ids.
+    """One row per document: doc_id, start (ids of all documents before it), token_ids, ids_crc32.
+
+    ids_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
 
     Starts are sums over the lengths in the index. The driver sees one number per
     shard; blocks of a shard follow one another in its file, and are decoded where
@@ -175,25 +177,14 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids = unpack(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8"))
                 ends = np.cumsum([0, *row["lengths"]], dtype=np.int64)
+                raw = ids.astype("<u4").tobytes()
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int64)))
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["before"] + ends[:-1]), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "token_ids"])
-
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, token_ids array<bigint>")
-
-
-def add_checksum(tokens: DataFrame) -> DataFrame:
-    """Adds ids_crc32: the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("token_ids"))
-            ids = lists.flatten().to_numpy().astype("<u4")
-            ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
-            sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], names=[*batch.schema.names, "ids_crc32"])
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["before"] + ends[:-1]), lists, pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "token_ids", "ids_crc32"])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("ids_crc32", T.LongType())]))
+    return placed.mapInArrow(run, "doc_id bigint, start bigint, token_ids array<bigint>, ids_crc32 bigint")
