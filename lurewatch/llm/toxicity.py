@@ -33,7 +33,9 @@ LEAST_DOCUMENTS = 4
 LEAST_SHARE = 0.01
 LEAST_WEIGHT = 1.5
 #: Least log-likelihood ratio of an entry against one that does not depend on the label.
-LEAST_EVIDENCE = 25.0
+LEAST_EVIDENCE = 15.0
+#: A beginning of words says nothing of its own if one word makes up this share of it.
+ONE_WORD = 0.8
 
 #: Letters of other scripts that look like Latin ones, and signs and digits written for letters.
 LOOK_ALIKE = {
@@ -90,13 +92,13 @@ class Lexicon:
 
 def automaton(lexicon: Lexicon) -> ahocorasick.Automaton | None:
     built = ahocorasick.Automaton()
-    for entry, weight in lexicon.weights.items():
+    for place, (entry, weight) in enumerate(lexicon.weights.items()):
         key = " " + entry[:-1] if entry.endswith("*") else f" {entry} "
-        built.add_word(key, (len(key), weight))
+        built.add_word(key, (len(key), weight, place))
     for phrase in lexicon.exceptions:
         key = fold(phrase)
         if key.strip():
-            built.add_word(key, (len(key), None))
+            built.add_word(key, (len(key), None, -1))
     if not len(built):
         return None
     built.make_automaton()
@@ -104,23 +106,27 @@ def automaton(lexicon: Lexicon) -> ahocorasick.Automaton | None:
 
 
 def measure(built: ahocorasick.Automaton | None, text: str | None) -> tuple[float, int]:
-    """Sum of the weights found, one for each word, and the number of words."""
+    """Sum of the weights found, and the number of words.
+
+    A word counts for the weightiest entry that it is or begins with; an entry that
+    recurs adds its weight times the logarithm of its number.
+    """
     line = fold(text)
     words = line.count(" ") - 1
     if built is None or words < 1:
         return 0.0, max(words, 0)
-    best: dict[int, float] = {}
+    best: dict[int, tuple[float, int]] = {}
     spared: list[tuple[int, int]] = []
-    for end, (size, weight) in built.iter(line):
+    for end, (size, weight, place) in built.iter(line):
         begin = end - size + 1
         if weight is None:
             spared.append((begin, end))
-        elif weight > best.get(begin, 0.0):
-            best[begin] = weight
+        elif (weight, place) > best.get(begin, (0.0, -1)):
+            best[begin] = weight, place
     for begin, end in spared:
         for at in [a for a in best if begin <= a < end]:
             del best[at]
-    return sum(best.values()), words
+    return sum(weight * (1 + np.log(n)) for (weight, _), n in Counter(best.values()).items()), words
 
 
 def inputs(total: float, words: int) -> tuple[float, float]:
@@ -173,6 +179,15 @@ def fit(rows: list[tuple[float, float, int]]) -> tuple[float, float, float]:
     return tuple(float(w) for w in weights)
 
 
+def without_single_words(found: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """The weights of the entries, without beginnings that owe their count to one word that is an entry itself."""
+    most: dict[str, int] = {}
+    for entry, (_, count) in found.items():
+        for n in STEMS if not entry.endswith("*") else ():
+            most[entry[:n] + "*"] = max(count, most.get(entry[:n] + "*", 0))
+    return {e: w for e, (w, count) in found.items() if most.get(e, 0) < ONE_WORD * count}
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, max_rows: int = MAX_ROWS,
     max_entries: int = MAX_ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS,
@@ -195,9 +210,10 @@ def learn(
             + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0)
         )
         often = F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n[1])
-        found = entry_counts(teach).filter(often).select("entry", weight.alias("w"), evidence.alias("e"))
+        found = entry_counts(teach).filter(often).select("entry", "toxic", weight.alias("w"), evidence.alias("e"))
         found = found.filter((F.col("w") >= LEAST_WEIGHT) & (F.col("e") >= LEAST_EVIDENCE))
-        weights = {r.entry: r.w for r in found.orderBy(F.desc("e"), "entry").limit(max_entries).collect()}
+        chosen = found.orderBy(F.desc("e"), "entry").limit(max_entries).collect()
+        weights = without_single_words({r.entry: (r.w, r.toxic) for r in chosen})
     lexicon = Lexicon(weights, exceptions, None)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 

@@ -209,7 +209,9 @@ def test_folding_and_exceptions():
     assert toxicity.fold(None) == toxicity.fold("!?") == " "
     lexicon = toxicity.Lexicon({"trash": 2.0, "iowe*": 3.0}, ("trash can",), (0.0, 1.0, 1.0))
     built = toxicity.automaton(lexicon)
-    assert toxicity.measure(built, "Tr4sh! the trash can, loweiss lowe") == (8.0, 6)
+    assert toxicity.measure(built, "Tr4sh! the trash can, loweiss lowe") == (2.0 + 3.0 * (1 + np.log(2)), 6)
+    assert toxicity.without_single_words({"trash": (2.0, 9), "tras*": (1.0, 10), "iowe*": (3.0, 8), "ioweiei": (2.0, 2)}) == {
+        "trash": 2.0, "iowe*": 3.0, "ioweiei": 2.0}
     assert toxicity.measure(built, "trashy alowe") == (0.0, 2)
     assert toxicity.measure(built, "") == (0.0, 0)
     assert toxicity.automaton(toxicity.Lexicon({}, (), None)) is None
