@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lurewatch.llm import bpe, decontaminate, langid, pii, simhash
 from lurewatch.llm.common import documents
@@ -33,8 +33,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
-    return pii.mask_personal_data(docs)
+    """Documents with personal data masked; `n_chars` is that of the masked text."""
+    masked = pii.mask_personal_data(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
