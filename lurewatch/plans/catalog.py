@@ -102,15 +102,16 @@ def mail_intake_gate(spark, folder):
 @query
 def mail_parse(spark, folder):
     parsed = eml.parse_mail(derived.raw_mail(spark, folder))
-    hop = F.get("received_hops", F.lit(0))
+    hops = F.transform("received_hops", lambda h: F.concat(h["from_host"], F.lit(" > "), h["by_host"]))
     return parsed.select(
         "email_id", "message_id", "subject", "from_address", "from_display_name", "reply_to",
         "return_path",
         F.array_join("to", ", ").alias("to_list"),
         F.array_join("cc", ", ").alias("cc_list"),
         "date", "date_raw",
-        hop["from_host"].alias("hop_from"),
-        hop["by_host"].alias("hop_by"),
+        F.array_join(hops, ", ").alias("hops"),
+        # a repeated header shows its first value as often as it is there
+        F.array_join(F.try_element_at(F.col("raw_headers"), F.lit("X-Tag")), ", ").alias("tags"),
         "authentication_results", "text_body", "html_text",
         F.size("anchors").alias("anchor_count"),
         F.element_at(F.col("raw_headers"), "MIME-Version")[0].alias("mime_version"),

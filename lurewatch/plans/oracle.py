@@ -604,23 +604,29 @@ _star = lambda column: rf"""CASE WHEN NOT contains({column}, '@') THEN {column}
 _spans = {(b + a): None for b, subs in fixed.CHAR_SUBSTITUTES.items() for a in subs}
 
 _header = lambda name, value: f"CASE WHEN {value} <> '' THEN concat({text(name + ': ')}, {value}, chr(10)) ELSE '' END"
+_body_start = f"CASE WHEN email_id % 5 = 2 THEN {text(f'--{derived.INNER}{chr(10)}Content-Type: ')} ELSE {text(f'--{derived.BOUNDARY}{chr(10)}Content-Type: ')} END"
 _part_start = text(f"--{derived.BOUNDARY}\nContent-Type: ")
 _anchor_tag = f"concat('<p><a href=\"', {_html('href')}, '\">', {_html('visible_text')}, '</a></p>')"
 WITH["bytes"] = f"""
   SELECT email_id, strlen(concat(
     {_header('Return-Path', "CASE WHEN return_path <> '' THEN '<' || return_path || '>' ELSE '' END")},
     'Received: from ', relay, ' by in.company.com', chr(10),
+    CASE WHEN email_id % 4 = 0 THEN concat('Received: from origin.example by ', relay, chr(10)) ELSE '' END,
     {_header('Authentication-Results', 'authentication_results')},
     CASE WHEN from_display_name <> '' OR from_address <> '' THEN concat('From: ',
       CASE WHEN from_display_name <> '' THEN concat('"', from_display_name, '" ') ELSE '' END,
       '<', from_address, '>', chr(10)) ELSE '' END,
-    {_header('To', 'to_header')}, {_header('Cc', 'cc_header')}, {_header('Subject', 'subject')},
+    {_header('To', 'to_header')}, {_header('Cc', 'cc_header')}, {_header('Subject', "CASE WHEN email_id % 7 = 3 AND subject <> '' THEN concat('=?utf-8?B?', base64(encode(subject)), '?=') ELSE subject END")},
+    CASE WHEN email_id % 3 = 0 THEN concat('X-Tag: one', chr(10), 'X-Tag: two', chr(10)) ELSE '' END,
     {_header('Date', 'date_raw')}, {_header('Message-ID', 'message_id')}, {_header('Reply-To', 'reply_to')},
     {text(f'MIME-Version: 1.0{chr(10)}Content-Type: multipart/mixed; boundary="{derived.BOUNDARY}"{chr(10)}{chr(10)}')},
-    {_part_start}, {text(f'text/plain; charset="utf-8"{chr(10)}Content-Transfer-Encoding: 8bit{chr(10)}{chr(10)}')},
-    text_body, chr(10),
-    {_part_start}, {text(f'text/html; charset="utf-8"{chr(10)}Content-Transfer-Encoding: 8bit{chr(10)}{chr(10)}')},
+    CASE WHEN email_id % 5 = 2 THEN {text(f'--{derived.BOUNDARY}{chr(10)}Content-Type: multipart/alternative; boundary="{derived.INNER}"{chr(10)}{chr(10)}')} ELSE '' END,
+    {_body_start}, {text(f'text/plain; charset="utf-8"{chr(10)}Content-Transfer-Encoding: ')},
+    CASE WHEN email_id % 6 = 0 THEN 'base64' ELSE '8bit' END, chr(10), chr(10),
+    CASE WHEN email_id % 6 = 0 THEN base64(encode(text_body)) ELSE text_body END, chr(10),
+    {_body_start}, {text(f'text/html; charset="utf-8"{chr(10)}Content-Transfer-Encoding: 8bit{chr(10)}{chr(10)}')},
     '<html><body>', chr(10), tags, chr(10), '</body></html>', chr(10),
+    CASE WHEN email_id % 5 = 2 THEN {text(f'--{derived.INNER}--{chr(10)}')} ELSE '' END,
     CASE WHEN filename IS NOT NULL THEN concat({_part_start}, content_type, chr(10),
       'Content-Disposition: attachment; filename="', filename, '"', chr(10), chr(10),
       repeat('x', CAST(size_bytes AS INTEGER)), chr(10)) ELSE '' END,
@@ -637,8 +643,9 @@ QUERIES: dict[str, str] = {
           WHEN length > {fixed.MAX_MAIL_BYTES} THEN 'too_large' END AS reject_reason
         FROM (SELECT {derived.UPLOAD_PATH_SQL} AS path, {derived.UPLOAD_LENGTH_SQL} AS length FROM documents))""",
     "mail_parse": """SELECT email_id, message_id, subject, from_address, from_display_name, reply_to,
-        return_path, to_header AS to_list, cc_header AS cc_list, date, date_raw, relay AS hop_from,
-        'in.company.com' AS hop_by, authentication_results, text_body, html_text,
+        return_path, to_header AS to_list, cc_header AS cc_list, date, date_raw, 
+        concat(relay, ' > in.company.com', CASE WHEN email_id % 4 = 0 THEN concat(', origin.example > ', relay) ELSE '' END) AS hops,
+        CASE WHEN email_id % 3 = 0 THEN 'one, one' END AS tags, authentication_results, text_body, html_text,
         CAST(anchor_count AS INTEGER) AS anchor_count, '1.0' AS mime_version, filename,
         CASE WHEN filename IS NOT NULL THEN size_bytes END AS size_bytes,
         CASE WHEN filename IS NOT NULL THEN sha256(repeat('x', CAST(size_bytes AS INTEGER))) END AS sha256,

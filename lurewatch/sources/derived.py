@@ -97,6 +97,7 @@ OTHER_THREAT_SQL = "CASE WHEN page_id % 8 = 1 THEN 'POTENTIALLY_HARMFUL_APPLICAT
 
 SPREAD = "spark.lurewatch.spread"
 BOUNDARY = "lurewatch-part"
+INNER = "lurewatch-body"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -168,7 +169,13 @@ def _finish(documents: DataFrame, anchors: Column) -> DataFrame:
     split = lambda name: F.filter(
         F.split(F.expr(MAIL_SQL[name]), ", "), lambda a: a != ""
     )
-    hop = F.concat(F.lit("from "), F.expr(MAIL_SQL["relay"]), F.lit(" by in.company.com"))
+    hop = lambda sender, by: F.struct(
+        sender.alias("from_host"),
+        by.alias("by_host"),
+        F.lit("").alias("timestamp"),
+        F.concat(F.lit("from "), sender, F.lit(" by "), by).alias("raw"),
+    )
+    relay = F.expr(MAIL_SQL["relay"])
     attachment = F.struct(
         *[F.expr(MAIL_SQL[n]).alias(n) for n in ("filename", "content_type")],
         F.expr(MAIL_SQL["size_bytes"]).cast("bigint").alias("size_bytes"),
@@ -181,12 +188,10 @@ def _finish(documents: DataFrame, anchors: Column) -> DataFrame:
         *mail_columns(*scalars),
         split("to_header").alias("to"),
         split("cc_header").alias("cc"),
-        F.array(
-            F.struct(
-                F.expr(MAIL_SQL["relay"]).alias("from_host"),
-                F.lit("in.company.com").alias("by_host"),
-                F.lit("").alias("timestamp"),
-                hop.alias("raw"),
+        F.array_compact(
+            F.array(
+                hop(relay, F.lit("in.company.com")),
+                F.when(F.col("doc_id") % 4 == 0, hop(F.lit("origin.example"), relay)),
             )
         ).cast(f"array<{HOP}>").alias("received_hops"),
         plain.alias("anchors"),
@@ -252,14 +257,23 @@ def render_mail(mails: DataFrame) -> DataFrame:
     part = lambda headers, body: F.concat(
         F.lit(f"--{BOUNDARY}\n"), headers, F.lit("\n\n"), body, F.lit("\n")
     )
+    number = F.col("email_id")
+    encoded = lambda value: F.translate(F.base64(F.encode(value, "UTF-8")), "\r\n", "")
+    in_base64 = number % 6 == 0
     text_part = part(
-        F.lit('Content-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: 8bit'),
-        F.col("text_body"),
+        F.concat(
+            F.lit('Content-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: '),
+            F.when(in_base64, "base64").otherwise("8bit"),
+        ),
+        F.when(in_base64, encoded(F.col("text_body"))).otherwise(F.col("text_body")),
     )
     html_part = part(
         F.lit('Content-Type: text/html; charset="utf-8"\nContent-Transfer-Encoding: 8bit'),
         F.col("html_body"),
     )
+    nested = number % 5 == 2
+    # the bodies of every fifth mail are alternatives, one level down
+    inner = lambda body: F.when(nested, F.replace(body, F.lit(f"--{BOUNDARY}\nContent"), F.lit(f"--{INNER}\nContent"))).otherwise(body)
     file_part = lambda a: part(
         F.concat(
             F.lit("Content-Type: "), a["content_type"],
@@ -274,13 +288,22 @@ def render_mail(mails: DataFrame) -> DataFrame:
         header("From", sender),
         header("To", F.array_join("to", ", ")),
         header("Cc", F.array_join("cc", ", ")),
-        header("Subject", F.col("subject")),
+        header(
+            "Subject",
+            F.when(
+                (number % 7 == 3) & (F.col("subject") != ""),
+                F.concat(F.lit("=?utf-8?B?"), encoded(F.col("subject")), F.lit("?=")),
+            ).otherwise(F.col("subject")),
+        ),
+        F.when(number % 3 == 0, "X-Tag: one\nX-Tag: two\n").otherwise(""),
         header("Date", F.col("date_raw")),
         header("Message-ID", F.col("message_id")),
         header("Reply-To", F.col("reply_to")),
         F.lit(f'MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="{BOUNDARY}"\n\n'),
-        text_part,
-        F.when(F.col("html_body") != "", html_part).otherwise(""),
+        F.when(nested, F.lit(f'--{BOUNDARY}\nContent-Type: multipart/alternative; boundary="{INNER}"\n\n')).otherwise(""),
+        inner(text_part),
+        F.when(F.col("html_body") != "", inner(html_part)).otherwise(""),
+        F.when(nested, F.lit(f"--{INNER}--\n")).otherwise(""),
         F.concat_ws("", F.transform("files", file_part)),
         F.lit(f"--{BOUNDARY}--\n"),
     )
