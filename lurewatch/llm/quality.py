@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,12 +21,12 @@ from lurewatch.llm.common import add_from_text, once, scratch
 from lurewatch.llm.labelled import labelled_sample
 from lurewatch.llm.simhash import LOWER
 
-BITS = 18
+BITS = 16
 #: Rows a model learns from, at most about this many: a bounded sample by a hash of the id.
 MAX_ROWS = 30_000
 #: Fixed number of shards, so that a model does not depend on the cluster.
 SHARDS = 8
-PASSES = 6
+PASSES = 4
 ALPHA, BETA, L1, L2 = 2.0, 0.1, 0.005, 0.01
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 AGAIN = np.uint64(0x5851F42D4C957F2D)
@@ -116,16 +118,34 @@ def score(weights: np.ndarray, text: str | None) -> float:
     return sigmoid(float(weights[where] @ values))
 
 
-def _one_pass(sent):
-    """Learns a shard's rows in an order of its own, from the model sent."""
+def _pack(table: pa.Table) -> pa.Table:
+    """A shard's rows as one, in an order of its own."""
+    table = table.sort_by([("turn", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
+    w, v = (table[c].combine_chunks() for c in ("w", "v"))
+    row = {
+        "sizes": pa.array([w.value_lengths().to_pylist()], pa.list_(pa.int32())),
+        "labels": pa.array([table["label"].to_pylist()], pa.list_(pa.int32())),
+        "w": pa.array([w.flatten().to_numpy().astype("<i4").tobytes()], pa.binary()),
+        "v": pa.array([v.flatten().to_numpy().astype("<f4").tobytes()], pa.binary()),
+    }
+    return pa.table(row)
 
-    def one_pass(table: pa.Table) -> pa.Table:
-        own = Model(sent.value.z.copy(), sent.value.n.copy())
-        for row in table.sort_by([("turn", "ascending"), ("doc_id", "ascending"), ("label", "ascending")]).to_batches():
-            for w, v, y in zip(row.column("w"), row.column("v"), row.column("label").to_pylist()):
-                own.learn(w.values.to_numpy(), v.values.to_numpy().astype(np.float64), y)
-        where = np.flatnonzero(own.n).astype(np.int32)
-        return pa.table({"i": where, "z": own.z[where], "n": own.n[where], "shards": np.full(len(where), 1, np.int32)})
+
+def _one_pass(sent):
+    """Learns each shard from the model sent; a row for each coordinate it has met."""
+
+    def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                own = Model(sent.value.z.copy(), sent.value.n.copy())
+                w, v = np.frombuffer(shard["w"], "<i4"), np.frombuffer(shard["v"], "<f4").astype(np.float64)
+                at = 0
+                for size, label in zip(shard["sizes"], shard["labels"]):
+                    own.learn(w[at : at + size], v[at : at + size], label)
+                    at += size
+                where = np.flatnonzero(own.n).astype(np.int32)
+                columns = [where, own.z[where].astype(np.float32), own.n[where].astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "z", "n"])
 
     return one_pass
 
@@ -133,7 +153,7 @@ def _one_pass(sent):
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int = MAX_ROWS, passes: int = PASSES) -> Model:
     """A model from labelled documents that `allowed` lets in (a condition on doc_id).
 
-    The vectors of the sample are written once. In each pass every shard starts
+    The vectors of the sample are dealt out to the shards once. In each pass every shard starts
     from the same model; what comes back is one average per coordinate, whose number
     is fixed. Without labelled rows the model is empty and every score is 0.5.
     """
@@ -151,12 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int
 
     vectors = add_from_text(sample, "text", "w array<int>, v array<float>", compute)
     shard = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).cast("int")
-    vectors = scratch(vectors.select(shard.alias("shard"), F.xxhash64("doc_id", F.lit(2)).alias("turn"), "doc_id", "label", "w", "v"), "quality-vectors")
+    vectors = vectors.select(shard.alias("shard"), F.xxhash64("doc_id", F.lit(2)).alias("turn"), "doc_id", "label", "w", "v")
+    packed = vectors.groupBy("shard").applyInArrow(_pack, "sizes array<int>, labels array<int>, w binary, v binary")
+    shards = scratch(packed, "quality-shards")
     model = Model.empty()
     for _ in range(passes):
         sent = docs.sparkSession.sparkContext.broadcast(model)
-        moved = vectors.groupBy("shard").applyInArrow(_one_pass(sent), "i int, z double, n double, shards int")
-        table = moved.groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.sum("shards").alias("k")).toArrow()
+        moved = shards.mapInArrow(_one_pass(sent), "i int, z float, n float")
+        table = moved.groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("k")).toArrow()
         # a coordinate is averaged over the shards that have met it
         i, k = table["i"].to_numpy(), table["k"].to_numpy()
         model = Model.empty()
