@@ -167,7 +167,7 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     top = max(d["doc_id"] for d in docs)
     added = [
         (top + 1, docs[0]["text"]), (top + 2, item), (top + 3, "1234 !!"), (top + 4, None),
-        (top + 5, docs[1]["text"] + " mail me at someone@mail.example.org please, this is new text and long enough to differ"),
+        (top + 5, " ".join(reversed(docs[3]["text"].split())) + " mail me at someone@mail.example.org please"),
     ]
     extra = [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": len(t or "")} for i, t in added]
     schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
