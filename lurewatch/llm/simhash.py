@@ -147,9 +147,11 @@ def allocate(costs: list[list[float]], units: int) -> tuple[float, list[int]]:
 
 def plan(count: int, together: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """The partitions to look up: their bits and the largest distance within each."""
-    rates = np.diag(together) / max(count, 1)
+    # no fewer than a pair, or all plans would cost nothing
+    count = max(count, 2)
+    rates = np.diag(together) / count
     spread = np.sqrt(np.clip(rates * (1 - rates), 1e-9, None))
-    correlation = (together / max(count, 1) - np.outer(rates, rates)) / np.outer(spread, spread)
+    correlation = (together / count - np.outer(rates, rates)) / np.outer(spread, spread)
     np.fill_diagonal(correlation, 1)
     units = distance + 1
     choices = []

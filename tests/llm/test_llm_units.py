@@ -96,6 +96,11 @@ def test_allocation_is_the_best(costs, units):
     assert total == sum(c[u] for c, u in zip(costs, given_))
 
 
+def test_a_plan_for_nothing_is_small():
+    parts = simhash.plan(0, np.zeros((64, 64)), 3)
+    assert len(parts) == 4 and all(radius == 0 for _, radius in parts)
+
+
 @pytest.mark.parametrize("count", [100, 10**6, 10**10])
 def test_any_two_linked_fingerprints_meet_in_a_partition(count):
     rng = np.random.default_rng(count)
