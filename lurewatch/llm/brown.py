@@ -94,7 +94,7 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, common: int = COMMON) -> Vocabulary:
-    """The common words: all that occur at least so often that no more than `common` do."""
+    """The common words: all that occur at least twice, and so often that no more than `common` do."""
     sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     # the least count is found on a scale of 64 steps per power of two, whose number is bounded
     step = F.floor(F.log2("n") * 64).cast("int")
@@ -105,7 +105,8 @@ def vocabulary(counts: DataFrame, common: int = COMMON) -> Vocabulary:
         if held > common:
             break
         least = row.least
-    table = counts.filter(F.col("n") >= least).toArrow() if least is not None else None
+    # words that occur once are rare: they tell how likely an unknown word is
+    table = counts.filter(F.col("n") >= max(least, 2)).toArrow() if least is not None else None
     pairs = dict(zip(table["word"].to_pylist(), table["n"].to_pylist())) if table else {}
     end = pairs.pop(END, 0)
     if not end and sums.distinct:

@@ -129,12 +129,12 @@ def test_class_scores_on_whole_texts(spark):
     from lurewatch.llm.brown import tokens
 
     counts: Counter = Counter()
-    docs = table("documents")
+    docs = table("documents", FOLDER)
     for d in docs:
         if zlib.crc32(str(d["doc_id"]).encode()) % 7 != 2:
             counts.update(tokens(d["text"]))
     total, kinds = sum(counts.values()), len(counts)
-    found = {r["doc_id"]: r for r in result(spark, "op3_brown")}
+    found = {r["doc_id"]: r for r in result(spark, "op3_brown", FOLDER)}
     for d in docs:
         words, row = tokens(d["text"]), found[d["doc_id"]]
         base = sum(np.log10((counts[w] + 1) / (total + kinds + 1)) for w in words)
