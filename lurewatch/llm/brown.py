@@ -1,12 +1,14 @@
 """Language-model scores by Brown's class-based bigrams.
 
-Words of the training documents are counted by Spark; the most frequent ones are
-put into classes by exchange: each word in turn moves to the class where the
-bigram likelihood is greatest, until none moves. Less frequent words form classes
-by frequency, and all others, known or not, one class of rare words. A text's
-probability is the product of class transitions and of words given their class.
-
-Counts of common words go to every task, up to a fixed number of words; those of
+Words of the training documents are counted by Spark; every word seen twice gets a
+class by exchange, that where the bigram likelihood is greatest. The most frequent
+ones are exchanged one after another until none moves. Then, in passes over the
+text, Spark counts what classes stand before and after each other word, and all
+words move at once, half of them in turn. Words seen once, and unknown ones, form
+one class of rare words. A text's probability is the product of class transitions
+and of words given their class.
+
+Tasks hold a hash, a count and a class of each word seen twice; counts of
 rare words are joined to the documents that hold them.
 """
 
@@ -18,24 +20,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lurewatch.llm.common import once, scratch
+from lurewatch.llm.common import once, scratch, slices
 from lurewatch.llm.simhash import LOWER
 
 #: The end of a text, as a token; no word holds white space.
 END = "\n"
-#: Words that are put into classes by exchange, and the number of these classes.
+#: Words that are exchanged one after another, the most frequent ones; the others follow them.
 EXCHANGED = 1024
+#: Classes, at least; they grow with the square root of the number of words.
 CLASSES = 64
 PASSES = 8
-#: Common words, whose counts every task holds, at most.
+#: Passes over the other words end when fewer than this share of them move.
+SETTLED = 0.01
+#: Words whose place a task remembers by name, at most; no result depends on it.
 COMMON = 300_000
-#: Classes by frequency, of common words that are not exchanged.
-BANDS = 8
 #: Weight of the class's own frequency in a transition.
 SMOOTH = 5.0
 HELD = 300_000
+#: Tokens and table cells that are worked on at once.
+AT_ONCE = 1 << 21
 
 
 def tokens(text: str | None) -> list[str]:
@@ -71,80 +77,103 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The common words by falling count, the end first; their counts; sums over all words."""
+    """The words seen twice by falling count, the end first: their hashes and counts; sums over all words."""
 
-    words: list[str]
+    hashes: np.ndarray
     counts: np.ndarray
     #: Tokens and distinct tokens of the training documents.
     total: int
     distinct: int
-    key: str
-
-    @property
-    def symbols(self) -> np.ndarray:
-        """Of each common word: its own, or that of its band; the last symbol stands for rare words."""
-        own = min(EXCHANGED, len(self.words))
-        place = np.arange(len(self.words))
-        band = np.floor(np.log2(np.maximum(place, own) / max(own, 1))).astype(np.int64)
-        return np.where(place < own, place, own + np.minimum(band, BANDS - 1))
 
     @property
-    def size(self) -> int:
-        return min(EXCHANGED, len(self.words)) + BANDS + 1
+    def key(self) -> str:
+        return f"{self.total}-{self.distinct}-{xxhash.xxh64_hexdigest(self.hashes.tobytes())}"
 
 
-def vocabulary(counts: DataFrame, common: int = COMMON) -> Vocabulary:
-    """The common words: all that occur at least twice, and so often that no more than `common` do."""
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """All words that occur at least twice, and the end."""
     sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    # the least count is found on a scale of 64 steps per power of two, whose number is bounded
-    step = F.floor(F.log2("n") * 64).cast("int")
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect()
-    held, least = 0, None
-    for row in sorted(steps, key=lambda r: -r.step):
-        held += row.k
-        if held > common:
-            break
-        least = row.least
     # words that occur once are rare: they tell how likely an unknown word is
-    table = counts.filter(F.col("n") >= max(least, 2)).toArrow() if least is not None else None
-    pairs = dict(zip(table["word"].to_pylist(), table["n"].to_pylist())) if table else {}
-    end = pairs.pop(END, 0)
-    if not end and sums.distinct:
-        end = counts.filter(F.col("word") == END).first().n
-    words = sorted(pairs, key=lambda w: (-pairs[w], w))
-    listed = [END, *words] if sums.distinct else []
-    numbers = np.array([end, *[pairs[w] for w in words]] if listed else [], np.int64)
-    return Vocabulary(listed, numbers, int(sums.total or 0), int(sums.distinct), f"{sums.total}-{len(listed)}-{hash(tuple(listed))}")
+    named = counts.filter((F.col("n") >= 2) | (F.col("word") == END))
+    table = named.select(F.xxhash64("word").alias("hash"), "n").toArrow()
+    hashes, numbers = table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.lexsort((hashes, -numbers, hashes != hash_of(END)))
+    return Vocabulary(hashes[order], numbers[order], int(sums.total or 0), int(sums.distinct))
+
+
+def hash_of(word: str) -> int:
+    """As Spark's xxhash64."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+class Index:
+    """Places of words in the vocabulary, -1 for rare ones."""
+
+    def __init__(self, known: Vocabulary, room: int):
+        self.order = np.argsort(known.hashes)
+        self.sorted = known.hashes[self.order]
+        self.room = room
+        self.memo: dict[str, int] = {}
 
+    def of(self, words: list[str]) -> np.ndarray:
+        found = [self.memo.get(w, -2) for w in words]
+        fresh = list({w for w, i in zip(words, found) if i == -2})
+        if fresh and len(self.sorted):
+            hashes = np.fromiter(map(hash_of, fresh), np.uint64, len(fresh))
+            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+            places = np.where(self.sorted[at] == hashes, self.order[at], -1)
+            new = dict(zip(fresh, places.tolist()))
+            found = [new[w] if i == -2 else i for w, i in zip(words, found)]
+            if len(self.memo) + len(new) > self.room:
+                self.memo.clear()
+            if len(new) <= self.room:
+                self.memo.update(new)
+        return np.maximum(np.array(found, np.int64), -1)
 
-def _index(known: Vocabulary) -> tuple[dict[str, int], np.ndarray]:
-    return once("vocabulary", known.key, lambda: ({w: i for i, w in enumerate(known.words)}, known.symbols))
 
+def _index(known: Vocabulary, room: int) -> Index:
+    return once("vocabulary", (known.key, room), lambda: Index(known, room))
 
-def transitions(docs: DataFrame, known: Vocabulary, text: str = "text") -> np.ndarray:
-    """How often one symbol follows another; a text begins after an end. A matrix of fixed size."""
+
+def encoded(docs: DataFrame, known: Vocabulary, common: int, text: str = "text") -> DataFrame:
+    """(ids): places of each text's words; written once, and read by each pass."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, symbols = _index(sent.value)
-        size = sent.value.size
-        place = np.append(symbols, size - 1)
+        index = _index(sent.value, common)
+        for batch in slices(batches):
+            found = [index.of(tokens(t)).astype(np.int32) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["ids"])
+
+    return scratch(docs.select(text).mapInArrow(run, "ids array<int>"), "brown-ids")
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The ids of a task's texts one after another, some at a time; a text begins after an end."""
+    last = np.zeros(1, np.int64)
+    for batch in batches:
+        ids = batch.column(0).flatten().to_numpy()
+        for at in range(0, len(ids), AT_ONCE):
+            held = np.concatenate((last, ids[at : at + AT_ONCE]))
+            yield held
+            last = held[-1:]
+
+
+def transitions(ids: DataFrame, places: np.ndarray, size: int) -> np.ndarray:
+    """How often one class follows another, as a matrix; places: of each word its class, at last that of rare words."""
+    sent = ids.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            ids: list[int] = [0]
-            for value in batch.column(0):
-                ids.extend(index.get(w, -1) for w in tokens(value.as_py()))
-                if len(ids) > 1 << 20:
-                    total += _pairs(place[np.array(ids)], size)
-                    ids = ids[-1:]
-            total += _pairs(place[np.array(ids)], size)
+        for some in _streams(batches):
+            total += _pairs(sent.value[some], size)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.zeros(known.size * known.size)
+    counted = ids.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros(size * size)
     matrix[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    return matrix.reshape(known.size, known.size)
+    return matrix.reshape(size, size)
 
 
 def _pairs(symbols: np.ndarray, size: int) -> np.ndarray:
@@ -202,32 +231,165 @@ def exchange(pairs: np.ndarray, own: int, classes: int = CLASSES, passes: int =
     return of
 
 
+def gains(after: np.ndarray, before: np.ndarray, self_: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What likelihood each word (a row) gives to each class it may join, taken out of its old one.
+
+    after, before: how often classes stand next to it, itself left out; self_: how
+    often it follows itself; table: class transitions, the last class is that of rare words.
+    """
+    own = len(table) - 1
+    inside = np.flatnonzero(old < own)
+    gain = np.zeros((len(old), own))
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-300))
+
+    for counts, other, cells in ((after, before, table), (before, after, table.T)):
+        row, d = np.nonzero(counts)
+        if not len(row):
+            continue
+        n = counts[row, d]
+        # the table without the word
+        base = cells[:own, d].T.copy()
+        same = d == old[row]
+        base[same] -= other[row[same], :own]
+        e = np.flatnonzero(old[row] < own)
+        base[e, old[row[e]]] -= n[e] + self_[row[e]] * same[e]
+        more = f(base + n[:, None]) - f(base)
+        e = np.flatnonzero(d < own)
+        more[e, d[e]] = 0
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        gain[row[first]] += np.add.reduceat(more, first)
+    cross = np.tile(np.diag(table)[:own], (len(old), 1))
+    cross[inside, old[inside]] -= after[inside, old[inside]] + before[inside, old[inside]] + self_[inside]
+    gain += f(cross + after[:, :own] + before[:, :own] + self_[:, None]) - f(cross)
+    for counts, sums in ((after, table.sum(axis=1)), (before, table.sum(axis=0))):
+        mass = counts.sum(axis=1) + self_
+        others = np.tile(sums[:own], (len(old), 1))
+        others[inside, old[inside]] -= mass[inside]
+        gain -= f(others + mass[:, None]) - f(others)
+    return gain
+
+
+def better(word: np.ndarray, cell: np.ndarray, n: np.ndarray, of: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that move, and where to. A word's cells: classes after it, classes before it, itself."""
+    size, own = len(table), len(table) - 1
+    width = 2 * size + 1
+    keys, where = np.unique(word.astype(np.int64) * width + cell, return_inverse=True)
+    n = np.bincount(where, n)
+    word, cell = keys // width, keys % width
+    ids, first = np.unique(word, return_index=True)
+    ends = np.append(first[1:], len(word))
+    moved, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step, at = max(1, AT_ONCE // size), 0
+    while at < len(ids):
+        end = max(at + 1, int(np.searchsorted(ends, first[at] + step, "right")))
+        part = slice(first[at], ends[end - 1])
+        table_of = np.zeros((end - at, width))
+        table_of[np.repeat(np.arange(end - at), ends[at:end] - first[at:end]), cell[part]] = n[part]
+        old = of[ids[at:end]].astype(np.int64)
+        gain = gains(table_of[:, :size], table_of[:, size : 2 * size], table_of[:, 2 * size], old, table)
+        new = np.argmax(gain, axis=1)
+        row = np.arange(end - at)
+        moves = (old == own) | (gain[row, new] > gain[row, np.minimum(old, own - 1)] + 1e-6)
+        moved.append(ids[at:end][moves])
+        to.append(new[moves])
+        at = end
+    return np.concatenate(moved), np.concatenate(to)
+
+
+def follow(ids: DataFrame, of: np.ndarray, fixed: int, passes: int = PASSES) -> np.ndarray:
+    """Classes of all words by exchange, the first `fixed` staying where they are; at last that of rare words.
+
+    The others come from the class of rare words. In the first pass all of them get a
+    class; later ones let every second word move, so that words of a kind do not swap places.
+    """
+    spark, size, of = ids.sparkSession, int(of[-1]) + 1, of.copy()
+    others = len(of) - 1 - fixed
+    moved = [others]
+    for turn in range(passes if others > 0 and size > 1 else 0):
+        table = transitions(ids, of, size)
+        sent = spark.sparkContext.broadcast((of, table))
+
+        def count(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
+            of = sent.value[0]
+            width = 2 * size + 1
+
+            def rows(parts: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+                cells, where = np.unique(np.concatenate(parts), return_inverse=True)
+                return cells, np.bincount(where, np.concatenate(numbers), len(cells)).astype(np.int64)
+
+            def batch_of(cells: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+                columns = [pa.array(cells // width), pa.array((cells % width).astype(np.int32)), pa.array(numbers)]
+                return pa.RecordBatch.from_arrays(columns, names=["word", "cell", "n"])
+
+            held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for some in _streams(batches):
+                some = some.astype(np.int64)
+                left, right = some[:-1], some[1:]
+                self_ = left == right
+                for word, next_, shift in ((left, right, 0), (right, left, size)):
+                    mine = (word >= fixed) & ((turn == 0) | ((word + turn) % 2 == 0))
+                    apart = mine & ~self_
+                    held.append(word[apart] * width + shift + of[next_[apart]])
+                    if not shift:
+                        held.append(word[mine & self_] * width + 2 * size)
+                numbers += [np.ones(len(x), np.int64) for x in held[len(numbers) :]]
+                if sum(map(len, held)) > AT_ONCE:
+                    cells, n = rows(held, numbers)
+                    held, numbers = [cells], [n]
+                    if len(cells) > AT_ONCE // 2:
+                        yield batch_of(cells, n)
+                        held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            yield batch_of(*rows(held, numbers))
+
+        def move(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+            if parts:
+                found = better(*[np.concatenate(x) for x in zip(*parts)], *sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["word", "to"])
+
+        cells = ids.mapInArrow(count, "word bigint, cell int, n bigint").repartition("word")
+        found = cells.mapInArrow(move, "word bigint, to bigint").toArrow()
+        of[found["word"].to_numpy()] = found["to"].to_numpy()
+        moved.append(found.num_rows)
+        # the halves of two passes together are all words
+        if turn > 1 and moved[-1] + moved[-2] < SETTLED * others:
+            break
+    return of
+
+
 @dataclass
 class Model:
     known: Vocabulary
-    #: log10 probabilities: of a class after a class, of each common word in its class.
+    #: log10 probabilities: of a class after a class, of each known word in its class.
     after: np.ndarray
     emitted: np.ndarray
-    #: Class of each common word, then of rare words.
+    #: Class of each known word, then of rare words.
     classes: np.ndarray
     #: Tokens of rare words, one more for each kind, and one for all that are unknown.
     rare: int
 
 
-def fit(known: Vocabulary, pairs: np.ndarray) -> Model:
-    of = exchange(pairs, min(EXCHANGED, len(known.words)))
-    count = int(of.max()) + 1
-    member = np.zeros((len(pairs), count))
-    member[np.arange(len(pairs)), of] = 1
-    table = member.T @ pairs @ member
+def train(docs: DataFrame, counts: DataFrame, text: str = "text", common: int = COMMON) -> Model:
+    """A model of the documents and their word counts."""
+    known = vocabulary(counts)
+    ids = encoded(docs, known, common, text)
+    words = len(known.hashes)
+    first = min(EXCHANGED, words)
+    pairs = transitions(ids, np.minimum(np.arange(words + 1), first), first + 1)
+    of = exchange(pairs, first, max(CLASSES, int(np.sqrt(words)) // 8))
+    of = follow(ids, of[np.minimum(np.arange(words + 1), first)].astype(np.int32), first)
+    return fit(known, of, transitions(ids, of, int(of[-1]) + 1))
+
+
+def fit(known: Vocabulary, classes: np.ndarray, table: np.ndarray) -> Model:
+    count = len(table)
     frequency = (table.sum(axis=0) + 1) / (table.sum() + count)
     after = (table + SMOOTH * frequency) / (table.sum(axis=1, keepdims=True) + SMOOTH)
-    symbols = known.symbols
-    classes = np.append(of[symbols], of[-1])
-    sizes = np.bincount(classes[:-1], known.counts, count) if len(symbols) else np.zeros(count)
-    emitted = np.log10(known.counts / sizes[classes[:-1]]) if len(symbols) else np.zeros(0)
-    common = int(known.counts.sum())
-    rare = known.total - common + known.distinct - len(known.words) + 1
+    sizes = np.bincount(classes[:-1], known.counts, count)
+    emitted = np.log10(known.counts / sizes[classes[:-1]])
+    rare = known.total - int(known.counts.sum()) + known.distinct - len(known.hashes) + 1
     return Model(known, np.log10(after), emitted, classes, rare)
 
 
@@ -247,13 +409,13 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
     unknown. Extra columns are ignored; rows come back as often as they are there.
     """
     counts = scratch(word_counts(training, text), "brown-counts")
-    known = vocabulary(counts, common)
-    model = fit(known, transitions(training, known, text))
+    model = train(training, counts, text, common)
+    known = model.known
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        index, _ = _index(model.known)
+        index = _index(model.known, common)
         logs = np.log10(model.known.counts + 1.0)
         for batch in batches:
             rows = [_measure(t.as_py(), index, model, logs) for t in batch.column(1)]
@@ -281,13 +443,13 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
     )
 
 
-def _measure(text: str | None, index: dict[str, int], model: Model, logs: np.ndarray):
-    """Tokens, common ones, and both scores as far as they don't need the counts of rare words; rare words and their counts."""
+def _measure(text: str | None, index: Index, model: Model, logs: np.ndarray):
+    """Tokens, known ones, and both scores as far as they don't need the counts of rare words; rare words and their counts."""
     words = tokens(text)
-    ids = np.array([index.get(w, -1) for w in words])
+    ids = index.of(words)
     usual = ids >= 0
     places = model.classes[ids]
-    first = model.classes[0] if model.known.words else model.classes[-1]
+    first = model.classes[0]
     score = float(model.after[np.concatenate(([first], places[:-1])), places].sum() + model.emitted[ids[usual]].sum())
     rare = Counter(w for w, i in zip(words, ids.tolist()) if i < 0) if not usual.all() else {}
     score -= float(np.log10(model.rare)) * (len(words) - int(usual.sum()))

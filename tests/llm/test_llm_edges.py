@@ -176,3 +176,14 @@ def test_nearest(spark):
     assert mih.nearest(table.limit(0)).count() == 0
     chunks = mih.nearest(table, every=1, query_bytes=16).orderBy("query_id", "rank").collect()
     assert {r.query_id for r in chunks} == {0, 1, 2, 9}
+
+
+def test_every_word_seen_twice_is_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(brown, "EXCHANGED", 8)
+    texts = [f"the n{i} runs" for i in range(60)] * 2 + [f"to v{i} it" for i in range(60)] * 2
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model = brown.train(docs, brown.word_counts(docs))
+    index = brown.Index(model.known, 1000)
+    nouns, verbs = ({int(model.classes[i]) for i in index.of([f"{kind}{i}" for i in range(60)])} for kind in "nv")
+    assert len(model.known.hashes) == 125 and model.classes[-1] not in nouns | verbs
+    assert not nouns & verbs

@@ -220,3 +220,22 @@ def test_folding_and_exceptions():
     assert toxicity.measure(built, "trashy alowe") == (0.0, 2)
     assert toxicity.measure(built, "") == (0.0, 0)
     assert toxicity.automaton(toxicity.Lexicon({}, (), None)) is None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gains_are_what_moves_add_to_the_likelihood(seed):
+    rng = np.random.default_rng(seed)
+    pairs = np.floor(rng.random((14, 14)) ** 6 * 50)
+    of = np.concatenate((rng.permutation(np.arange(12) % 4), [3, 3]))  # some are still in the class of rare words, 3
+    member = np.eye(4)[of]
+    self_ = np.diag(pairs).copy()
+    apart = pairs - np.diag(self_)
+    found = brown.gains(apart @ member, apart.T @ member, self_, of, member.T @ pairs @ member)
+    for word in range(14):
+        likelihoods = []
+        for to in range(3):
+            other = of.copy()
+            other[word] = to
+            likelihoods.append(likelihood(pairs, np.append(other, 3)[:14]) if 3 in other else np.nan)
+        likelihoods = np.array(likelihoods)
+        assert np.allclose(np.diff(found[word]), np.diff(likelihoods))
