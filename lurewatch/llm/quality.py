@@ -20,12 +20,12 @@ from lurewatch.llm.common import add_from_text, once, scratch
 from lurewatch.llm.labelled import labelled_sample
 from lurewatch.llm.simhash import LOWER
 
-BITS = 16
+BITS = 18
 #: Rows a model learns from, at most about this many: a bounded sample by a hash of the id.
 MAX_ROWS = 30_000
 #: Fixed number of shards, so that a model does not depend on the cluster.
 SHARDS = 8
-PASSES = 4
+PASSES = 6
 ALPHA, BETA, L1, L2 = 2.0, 0.1, 0.005, 0.01
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 AGAIN = np.uint64(0x5851F42D4C957F2D)

@@ -239,3 +239,8 @@ def test_gains_are_what_moves_add_to_the_likelihood(seed):
             likelihoods.append(likelihood(pairs, np.append(other, 3)[:14]) if 3 in other else np.nan)
         likelihoods = np.array(likelihoods)
         assert np.allclose(np.diff(found[word]), np.diff(likelihoods))
+
+
+def test_few_words_of_a_rich_vocabulary_share_a_coordinate():
+    where, _ = quality.features(" ".join(f"word{i}" for i in range(20_000)))
+    assert len(where) > 0.92 * 40_000 and quality.PASSES >= 6
