@@ -94,16 +94,28 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def _tokens(path: str) -> PieceTable:
-    """Ids of pieces by the tokenizers library; a piece is encoded once as long as it is remembered."""
-    from tokenizers import Tokenizer
+class Tokens:
+    """Ids of texts by the tokenizers library; a piece is encoded once as long as it is remembered."""
 
-    model, letters = Tokenizer.from_file(path).model, _byte_letters()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def encode(pieces: list[bytes]) -> list[list[int]]:
-        return [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+        self.whole, letters = Tokenizer.from_file(path), _byte_letters()
+        model = self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
-    return PieceTable(encode)
+        def encode(pieces: list[bytes]) -> list[list[int]]:
+            return [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+
+        self.table = PieceTable(encode)
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; one that holds an added token is left to the library as a whole."""
+        apart = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        found = self.table.ids_of(["" if i in apart else t for i, t in enumerate(texts)])
+        for i in apart:
+            found[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return found
 
 
 def write_tokens(
@@ -122,7 +134,7 @@ def write_tokens(
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = once("tokenizer", path, lambda: _tokens(path))
+        known = once("tokenizer", path, lambda: Tokens(path))
         last = np.array([end], "<u4")
         held, names, count, block, shard = [], [], 0, 0, 0
 

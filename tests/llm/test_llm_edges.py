@@ -187,3 +187,16 @@ def test_every_word_seen_twice_is_exchanged(spark, monkeypatch):
     nouns, verbs = ({int(model.classes[i]) for i in index.of([f"{kind}{i}" for i in range(60)])} for kind in "nv")
     assert len(model.known.hashes) == 125 and model.classes[-1] not in nouns | verbs
     assert not nouns & verbs
+
+
+def test_token_files_hold_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = bpe.public_path("byte_bpe_50k.json")
+    texts = ["one <|endoftext|> two", "<|endoftext|><|endoftext|>", "no <|endoftext |>", "", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tokenfile.write_tokens(docs, path, str(tmp_path / "t"))
+    rows = tokenfile.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    whole = Tokenizer.from_file(path)
+    assert [r.token_ids[:-1] for r in rows] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in rows[0].token_ids
