@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,16 @@ def test_token_files_hold_added_tokens(spark, tmp_path):
     whole = Tokenizer.from_file(path)
     assert [r.token_ids[:-1] for r in rows] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert 50256 in rows[0].token_ids
+
+
+def test_shuffled_letters_are_rejected_in_small_tables(spark):
+    from zlib import crc32
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rng, ids = np.random.default_rng(0), [i for i in range(10**9, 10**9 + 400) if crc32(str(i).encode()) % 3 == 1]
+    long = [r for r in rows if len(r.text or "") > 300][: len(ids)]
+    noise = [(i, "".join(rng.permutation(list(r.text))), r.lang) for i, r in zip(ids, long)]
+    docs = spark.createDataFrame([*map(tuple, rows), *noise], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_known(docs).select("doc_id").collect()}
+    assert len(noise) > 20 and sum(i in kept for i, _, _ in noise) < 0.05 * len(noise)
+    assert sum(r.doc_id in kept for r in rows) > 0.98 * len(rows)
