@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import bpe, brown, decontaminate, langid, mih, oracle, pii, quality, simhash, tokenfile, toxicity
-from lurewatch.llm.common import documents, remainder
+from lurewatch.llm import align, bpe, brown, decontaminate, langid, mih, oracle, pii, quality, simhash, tokenfile, toxicity
+from lurewatch.llm.common import documents, remainder, scratch
 from lurewatch.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,24 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op11_align(spark: SparkSession, folder: str) -> DataFrame:
+    paths = bpe.public_path("byte_bpe_50k.json"), bpe.public_path("piece_bpe_32k.model")
+    aligned = align.align(documents(spark, folder).select("doc_id", "text"), *paths)
+
+    def ids(group: Column) -> Column:
+        return F.concat(joined_ids(group.a), F.lit("|"), joined_ids(group.b))
+
+    listed = F.sha2(F.array_join(F.transform("groups", ids), ";"), 256)
+    size = F.size("groups").cast("bigint")
+    digest = aligned.select(
+        "doc_id", "n_a", "n_b", size.alias("n_groups"), size.alias("n_links"),
+        F.when(size > 0, listed).otherwise("").alias("groups_sha256"), "pairs", "pair_links",
+    )
+    counted = align.add_link_counts(scratch(digest, "aligned"), align.pair_ids(*paths))
+    return counted.drop("pairs", "pair_links")
+
+
 def queries() -> dict[str, Query]:
     """In the order of the operators' numbers."""
     return dict(sorted(REGISTERED.items(), key=lambda x: int(x[0][2:].split("_")[0])))
