@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import align, bpe, brown, decontaminate, langid, mih, oracle, pii, quality, simhash, tokenfile, toxicity
+from lurewatch.llm import align, bpe, brown, decontaminate, hardneg, langid, mih, oracle, pii, quality, simhash, tokenfile, toxicity
 from lurewatch.llm.common import documents, remainder, scratch
 from lurewatch.session import shared_folder
 
@@ -137,6 +137,13 @@ def op11_align(spark: SparkSession, folder: str) -> DataFrame:
     return counted.drop("pairs", "pair_links")
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    vectors = documents(spark, folder, "embeddings").select("vec_id", label, "embedding")
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     """In the order of the operators' numbers."""
     return dict(sorted(REGISTERED.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -68,4 +68,22 @@ SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _ in _KINDS[:4])
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM body LEFT JOIN listed USING (doc_id)"""
 
-SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_pii": _PII}
+_HARD_NEGATIVES = """WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  pair AS (
+    SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, CAST(list_dot_product(a.e, o.e) AS BIGINT) AS s
+    FROM v a JOIN v o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+  positive AS (
+    SELECT anchor_id, other AS positive_id, s AS positive_score FROM pair WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other AS negative_id, positive_score, s AS negative_score
+FROM positive JOIN pair USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY row_number() OVER best <= 10
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)"""
+
+SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_pii": _PII, "op12_hard_negatives": _HARD_NEGATIVES}

@@ -34,7 +34,7 @@ def result(spark, name, folder=SMALL):
 @pytest.mark.parametrize("name", list(oracle.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     found = con.execute(oracle.SQL[name])
     columns = [c[0] for c in found.description]
