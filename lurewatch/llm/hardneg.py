@@ -132,12 +132,13 @@ def block_bounds(anchors: Rows, block: Rows) -> tuple[np.ndarray, np.ndarray]:
     nearest = np.maximum(np.maximum(a - high, low - a).max(axis=1) - SLACK, 0)
     farthest = np.minimum(np.minimum(a + high, 2 * np.pi - a - low).min(axis=1) + SLACK, np.pi)
     least, most = block.norms.min(), block.norms.max()
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", invalid="ignore"):
         margin = 1 + 1e-9 * anchors.norms * most
         up, down = np.cos(nearest), np.cos(farthest)
         greatest = anchors.norms * np.where(up >= 0, most, least) * up + margin
         smallest = anchors.norms * np.where(down >= 0, least, most) * down - margin
-    return smallest, greatest
+    # beyond the doubles nothing is known
+    return np.where(np.isnan(smallest), -np.inf, smallest), np.where(np.isnan(greatest), np.inf, greatest)
 
 
 def angle_windows(anchors: Rows, block: Rows, cell: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -83,7 +83,7 @@ _HARD_NEGATIVES = """WITH v AS (
 SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other AS negative_id, positive_score, s AS negative_score
 FROM positive JOIN pair USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
-QUALIFY row_number() OVER best <= 10
-WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)"""
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)
+QUALIFY row_number() OVER best <= 10"""
 
 SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_pii": _PII, "op12_hard_negatives": _HARD_NEGATIVES}
