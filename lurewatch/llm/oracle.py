@@ -70,10 +70,10 @@ FROM body LEFT JOIN listed USING (doc_id)"""
 
 _HARD_NEGATIVES = """WITH v AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-      list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
     FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   pair AS (
     SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, CAST(list_dot_product(a.e, o.e) AS BIGINT) AS s
     FROM v a JOIN v o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
