@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lurewatch.llm import align, bpe, brown, decontaminate, hardneg, langid, mih, oracle, pii, quality, simhash, tokenfile, toxicity
+from lurewatch.llm import align, bpe, brown, decontaminate, hardneg, langid, mih, minhash, oracle, pii, quality, simhash, tokenfile, toxicity
 from lurewatch.llm.common import documents, remainder, scratch
 from lurewatch.session import shared_folder
 
@@ -144,6 +144,11 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+@query
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     """In the order of the operators' numbers."""
     return dict(sorted(REGISTERED.items(), key=lambda x: int(x[0][2:].split("_")[0])))
