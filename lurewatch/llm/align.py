@@ -29,7 +29,7 @@ from lurewatch.llm.pieces import PieceTable, grouped
 from lurewatch.llm.tokenfile import _byte_letters
 
 #: Characters of texts that are aligned together, unless one text is longer.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 20
 FIELDS = (
     "n_a bigint, n_b bigint, groups array<struct<a:array<int>,b:array<int>>>, "
     "pairs array<int>, pair_links array<bigint>"
@@ -53,26 +53,49 @@ class ByteTokens:
         model = Tokenizer.from_file(path).model
         self.table = PieceTable(lambda new: [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in new])
 
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return [x.tolist() for x in self.table.ids_of(texts)]
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return self.table.ids_of(texts)
+
+
+def word_starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Like `pieces.starts_of`, for texts that begin with a space: a word starts with all spaces before it."""
+    joined = "".join(texts)
+    begins = np.cumsum([0, *map(len, texts)])
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    start = codes == 32
+    start[1:] &= codes[:-1] != 32
+    start[begins[:-1]] = True
+    return joined, codes, np.flatnonzero(start), begins
 
 
 class PieceTokens:
-    """A sentencepiece model with byte fallback, which adds a leading space itself."""
+    """A sentencepiece model with byte fallback, which adds a leading space itself.
+
+    No piece of it has a space after another sign, so words are encoded one by one, and
+    once as long as they are remembered.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.model = SentencePieceProcessor(model_file=path)
-        ids = range(self.model.get_piece_size())
-        pieces = [self.model.id_to_piece(i) for i in ids]
-        self.bytes = [
-            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)
-        ]
+        model = SentencePieceProcessor(model_file=path)
+        ids = range(model.get_piece_size())
+        pieces = [model.id_to_piece(i) for i in ids]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError(f"{path}: a piece spans words")
+        self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
         self.sizes = np.array(list(map(len, self.bytes)), np.int64)
+        space = [model.piece_to_id("▁")]
 
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        def encode(words: list[bytes]) -> list[list[int]]:
+            found = model.encode([w[1:].decode() for w in words], num_threads=1)
+            return [space if w == b" " else ids for w, ids in zip(words, found)]
+
+        self.table = PieceTable(encode, word_starts)
+
+    def ids_of(self, spaced: list[str]) -> list[np.ndarray]:
+        """The ids of texts that are given with the space the model adds."""
+        return self.table.ids_of(spaced)
 
 
 def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -92,53 +115,52 @@ class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = ByteTokens(byte_path), PieceTokens(piece_path)
         self.codes = possible_pairs(self.a.bytes, self.b.bytes)
+        self.flat = [(np.frombuffer(b"".join(t.bytes), np.uint8), np.cumsum(t.sizes) - t.sizes, t.sizes) for t in (self.a, self.b)]
 
-    def ids_of(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def ids_of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Both id lists of each text; empty where the bytes of either are not those of a space and the text."""
         spaced = [" " + t for t in texts]
-        found = []
-        for text, ids_a, ids_b in zip(spaced, self.a.ids_of(spaced), self.b.ids_of(texts)):
-            raw = text.encode("utf-8", "surrogatepass")
-            same = len(text) > 1 and raw == b"".join(map(self.a.bytes.__getitem__, ids_a))
-            same = same and raw == b"".join(map(self.b.bytes.__getitem__, ids_b))
-            found.append((ids_a, ids_b) if same else ([], []))
-        return found
+        raws = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in spaced]
+        sides = []
+        for tokens, flat in ((self.a, self.flat[0]), (self.b, self.flat[1])):
+            ids = tokens.ids_of(spaced)
+            sides.append((ids, [len(raw) > 1 and same_bytes(x, raw, *flat) for x, raw in zip(ids, raws)]))
+        none = np.zeros(0, np.uint32)
+        return [(x, y) if good and right else (none, none) for x, y, good, right in zip(sides[0][0], sides[1][0], sides[0][1], sides[1][1])]
 
     def rows(self, texts: list[str]) -> list[pa.Array]:
         """The FIELDS of each text."""
-        ids_a, ids_b, cuts_a, cuts_b = [], [], [], []
-        groups, pairs, links, distinct = [0], [], [], [0]
-        ends_a, ends_b = [0], [0]
-        for one, other in self.ids_of(texts):
-            one, other = np.array(one, np.int32), np.array(other, np.int32)
-            last_a, last_b = cuts(np.cumsum(self.a.sizes[one]).tolist(), np.cumsum(self.b.sizes[other]).tolist())
-            codes = one[last_a - 1].astype(np.int64) * len(self.b.bytes) + other[last_b - 1]
-            kinds, times = np.unique(np.searchsorted(self.codes, codes), return_counts=True)
-            cuts_a.append(last_a + ends_a[-1])
-            cuts_b.append(last_b + ends_b[-1])
-            ends_a.append(ends_a[-1] + len(one))
-            ends_b.append(ends_b[-1] + len(other))
-            ids_a.append(one)
-            ids_b.append(other)
-            groups.append(groups[-1] + len(last_a))
-            pairs.append(kinds)
-            links.append(times)
-            distinct.append(distinct[-1] + len(kinds))
-
-        def lists(ids: list[np.ndarray], ends: list[np.ndarray]) -> pa.Array:
-            offsets = np.concatenate([np.zeros(1, np.int64), *ends]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-
-        both = pa.StructArray.from_arrays([lists(ids_a, cuts_a), lists(ids_b, cuts_b)], names=["a", "b"])
-        offsets = pa.array(np.array(distinct, np.int32))
+        both = self.ids_of(texts)
+        ids, ends = zip(*((np.concatenate([b[k] for b in both]), np.cumsum([len(b[k]) for b in both])) for k in (0, 1)))
+        lasts = [cuts(*(np.cumsum(t.sizes[x]).tolist() for t, x in zip((self.a, self.b), b))) for b in both]
+        before = [e - np.diff(e, prepend=0) for e in ends]
+        cut = [np.concatenate([last[k] + at for last, at in zip(lasts, before[k].tolist())]) for k in (0, 1)]
+        n_groups = np.array([len(last[0]) for last in lasts])
+        linked = ids[0][cut[0] - 1].astype(np.int64) * len(self.b.bytes) + ids[1][cut[1] - 1]
+        row = np.repeat(np.arange(len(texts)), n_groups) * len(self.codes)
+        distinct, times = np.unique(row + np.searchsorted(self.codes, linked), return_counts=True)
+        offsets = pa.array(np.searchsorted(distinct, np.arange(len(texts) + 1) * len(self.codes)).astype(np.int32))
+        starts = np.concatenate(([0], np.cumsum(n_groups))).astype(np.int32)
+        sides = [
+            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], c)).astype(np.int32)), pa.array(x.view(np.int32)))
+            for c, x in zip(cut, ids)
+        ]
         return [
-            pa.array(np.diff(ends_a), pa.int64()), pa.array(np.diff(ends_b), pa.int64()),
-            pa.ListArray.from_arrays(pa.array(np.array(groups, np.int32)), both),
-            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs).astype(np.int32))),
-            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(links).astype(np.int64))),
+            *[pa.array(np.diff(e, prepend=0), pa.int64()) for e in ends],
+            pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(sides, names=["a", "b"])),
+            pa.ListArray.from_arrays(offsets, pa.array((distinct % len(self.codes)).astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
         ]
 
 
+def same_bytes(ids: np.ndarray, raw: np.ndarray, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the tokens' bytes, joined, are `raw`."""
+    size = sizes[ids]
+    if int(size.sum()) != len(raw):
+        return False
+    return bool(np.array_equal(flat[np.arange(len(raw)) + np.repeat(begins[ids] - (np.cumsum(size) - size), size)], raw))
+
+
 def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of each list end at or before each common end."""
     at_a, at_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
