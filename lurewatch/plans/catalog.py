@@ -29,6 +29,7 @@ from lurewatch.rules import RuleSet, rule_table
 from lurewatch.session import shared_folder
 from lurewatch.sources import derived, eml, store
 from lurewatch.sources.derived import table
+from lurewatch.sources.mailfiles import open_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = RuleSet.builtin()
@@ -83,9 +84,12 @@ def _found(rows: DataFrame, finding: Column, *keys: str) -> DataFrame:
 
 @query
 def mail_scan(spark, folder):
-    """The scan's rows, in path order."""
-    raw = derived.raw_mail(spark, folder)
-    return raw.select("path", eml.file_name(F.col("path")).alias("name"), "length").orderBy("path")
+    """The mails as files, listed and read in tasks; in path order."""
+    target = derived.dropped_mail(spark, folder)
+    scanned = eml.scan_mail(spark, target)
+    path = F.substring("path", len(open_store(target)[1]) + 2, 1 << 20)
+    rows = scanned.select(path.alias("path"), F.octet_length("content").cast("bigint").alias("length"))
+    return rows.select("path", eml.file_name(F.col("path")).alias("name"), "length").orderBy("path")
 
 
 @query
@@ -211,19 +215,15 @@ def analysis_detail(spark, folder):
 
 @query
 def mail_stream(spark, folder):
-    """The documents as a stream: analyzed batch by batch, stored, read back."""
-    from lurewatch.streaming.dropfolder import store_stream
+    """The mails as dropped files: analyzed batch by batch, stored, read back."""
+    from lurewatch.streaming.dropfolder import watch_drop_folder
 
     target = shared_folder(spark, "stream")
-    schema = table(spark, folder, "documents").schema
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-    )
-
-    mail = derived.mail_of(arriving, table(spark, folder, "pages"))
-    stored = store.to_stored(_with_filename(corpus.analyze_mail(mail)))
-    store_stream(stored, target, f"{target}-checkpoint").awaitTermination()
-    return _summary_text(store.read_analyses(spark, target))
+    watch_drop_folder(spark, derived.dropped_mail(spark, folder), target, f"{target}-checkpoint").awaitTermination()
+    kept = _summary_text(store.read_analyses(spark, target))
+    # a dropped file is known by its content; the tables know a mail by its number
+    number = F.regexp_extract("filename", "[0-9]+", 0)
+    return kept.withColumn("id", store.analysis_id(number, F.col("filename")))
 
 
 # --- links and URLs ---------------------------------------------------------

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lurewatch.functions.urls import base64_url_id
 from lurewatch.schema import ANCHOR, FILE, HOP
+from lurewatch.session import shared_folder
+from lurewatch.sources.mailfiles import write_files
 
 # Columns of `mail` over `documents`.
 MAIL_SQL = {
@@ -235,6 +237,13 @@ def raw_mail(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def dropped_mail(spark: SparkSession, folder: str) -> str:
+    """The same mails as files below a new shared folder, which is returned."""
+    target = shared_folder(spark, "mails")
+    write_files(raw_mail(spark, folder), target)
+    return target
+
+
 def mail_path(email_id: Column) -> Column:
     return F.concat(F.lit("maildrop/"), email_id % 16, F.lit("/m"), email_id, F.lit(".eml"))
 
