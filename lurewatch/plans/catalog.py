@@ -182,9 +182,12 @@ def _summary_text(stored: DataFrame) -> DataFrame:
 
 @query
 def analysis_sink(spark, folder):
-    """Store all analyses, then read the table back."""
+    """Store all analyses in batches, compact them, then read the table back."""
     target = shared_folder(spark, "analyses")
-    store.store_analyses(_stored(spark, folder), target, "documents")
+    stored = _stored(spark, folder)
+    for part in range(3):
+        store.store_analyses(stored.filter(F.col("email_id") % 3 == part), target, part)
+    store.compact(spark, target)
     back = store.read_analyses(spark, target)
     return back.select(
         *store.SUMMARY_COLUMNS[:-1],
@@ -193,9 +196,18 @@ def analysis_sink(spark, folder):
     )
 
 
+def _store(spark: SparkSession, folder: str) -> str:
+    """A store of all analyses; its folder."""
+    target = shared_folder(spark, "analyses")
+    stored = _stored(spark, folder)
+    store.store_analyses(stored, target, "documents")
+    return target
+
+
 @query
 def analysis_history(spark, folder):
-    return store.analysis_history(_stored(spark, folder))
+    """The first page, from the newest days of the store."""
+    return store.analysis_history(spark, _store(spark, folder))
 
 
 @query
@@ -204,7 +216,7 @@ def analysis_detail(spark, folder):
     events = table(spark, folder, "events").select("user_id").distinct()
     email_id, name = F.col("user_id"), eml.file_name(derived.mail_path(F.col("user_id")))
     wanted = events.select(store.analysis_id(email_id, name).alias("id"))
-    found = store.analysis_details(_stored(spark, folder), wanted)
+    found = store.analysis_details(spark, _store(spark, folder), wanted)
     return found.select(
         "id", "found", "subject", "from_address", "risk_score", "risk_level", "created_at",
         F.array_join(F.transform("findings", lambda f: f["title"]), " | ").alias("titles"),

@@ -113,17 +113,6 @@ def test_hot_hash_is_split(skewed):
     assert judged.count() == 20000
 
 
-def test_few_ids_do_not_shuffle_the_store(spark, tmp_path):
-    stored = spark.range(0, 1000, 1, 4).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("subject"))
-    stored.write.parquet(str(tmp_path / "s"))
-    found = store.analysis_details(
-        spark.read.parquet(str(tmp_path / "s")), spark.createDataFrame([("3",), ("none",)], "id string")
-    )
-    p = plan(found)
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p
-    assert sorted((r.id, r.found) for r in found.collect()) == [("3", True), ("none", False)]
-
-
 def test_samples_are_chosen_before_the_analysis(spark):
     p = plan(catalog.queries()["sample_analysis"](spark, SMALL))
     assert "LeftSemi" in p

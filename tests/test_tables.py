@@ -90,14 +90,15 @@ def test_store_history_and_detail(spark, tmp_path):
         store.store_analyses(stored, folder, 7)
     back = store.read_analyses(spark, folder)
     assert back.count() == len(MAILS)
-    page = store.analysis_history(back, limit=5, offset=2).collect()
+    first = store.analysis_history(spark, folder, limit=2).collect()
+    page = store.analysis_history(spark, folder, limit=5, after=(first[-1].created_at, first[-1].id)).collect()
     counts = sorted((o[0] for o in OUTCOMES.values()), reverse=True)
-    assert [r.created_at.minute for r in page] == counts[2:7]
+    assert [r.created_at.minute for r in [*first, *page]] == counts[:7]
     wanted = page[0].id
-    detail = store.analysis_detail(back, wanted).collect()
+    detail = store.analysis_detail(spark, folder, wanted).collect()
     assert len(detail) == 1 and detail[0].findings and detail[0].email.subject == page[0].subject
-    assert store.analysis_detail(back, "none").count() == 0
-    both = store.analysis_details(back, spark.createDataFrame([(wanted,), ("none",)], "id string"))
+    assert store.analysis_detail(spark, folder, "none").count() == 0
+    both = store.analysis_details(spark, folder, spark.createDataFrame([(wanted,), ("none",)], "id string"))
     assert {r.id: r.found for r in both.collect()} == {wanted: True, "none": False}
 
 
