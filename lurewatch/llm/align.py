@@ -25,15 +25,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lurewatch.llm.common import drop_clashing, once, slices
-from lurewatch.llm.pieces import PieceTable, grouped
+from lurewatch.llm.pieces import PieceTable, grouped, word_starts
 from lurewatch.llm.tokenfile import _byte_letters
 
 #: Characters of texts that are aligned together, unless one text is longer.
 TOGETHER = 1 << 20
-FIELDS = (
-    "n_a bigint, n_b bigint, groups array<struct<a:array<int>,b:array<int>>>, "
-    "pairs array<int>, pair_links array<bigint>"
-)
+FIELDS = "n_a bigint, n_b bigint, n_groups bigint, groups {groups}, pairs array<int>, pair_links array<bigint>"
+GROUPS = {False: "array<struct<a:array<int>,b:array<int>>>", True: "string"}
 
 
 class ByteTokens:
@@ -57,17 +55,6 @@ class ByteTokens:
         return self.table.ids_of(texts)
 
 
-def word_starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """Like `pieces.starts_of`, for texts that begin with a space: a word starts with all spaces before it."""
-    joined = "".join(texts)
-    begins = np.cumsum([0, *map(len, texts)])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    start = codes == 32
-    start[1:] &= codes[:-1] != 32
-    start[begins[:-1]] = True
-    return joined, codes, np.flatnonzero(start), begins
-
-
 class PieceTokens:
     """A sentencepiece model with byte fallback, which adds a leading space itself.
 
@@ -128,8 +115,8 @@ class Aligner:
         none = np.zeros(0, np.uint32)
         return [(x, y) if good and right else (none, none) for x, y, good, right in zip(sides[0][0], sides[1][0], sides[0][1], sides[1][1])]
 
-    def rows(self, texts: list[str]) -> list[pa.Array]:
-        """The FIELDS of each text."""
+    def rows(self, texts: list[str], written: bool = False) -> list[pa.Array]:
+        """The FIELDS of each text, groups as lists or written out."""
         both = self.ids_of(texts)
         ids, ends = zip(*((np.concatenate([b[k] for b in both]), np.cumsum([len(b[k]) for b in both])) for k in (0, 1)))
         lasts = [cuts(*(np.cumsum(t.sizes[x]).tolist() for t, x in zip((self.a, self.b), b))) for b in both]
@@ -141,18 +128,56 @@ class Aligner:
         distinct, times = np.unique(row + np.searchsorted(self.codes, linked), return_counts=True)
         offsets = pa.array(np.searchsorted(distinct, np.arange(len(texts) + 1) * len(self.codes)).astype(np.int32))
         starts = np.concatenate(([0], np.cumsum(n_groups))).astype(np.int32)
-        sides = [
-            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], c)).astype(np.int32)), pa.array(x.view(np.int32)))
-            for c, x in zip(cut, ids)
-        ]
+        if written:
+            groups = written_groups(ids, cut, np.stack(ends), max(len(self.a.bytes), len(self.b.bytes)))
+        else:
+            sides = [
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], c)).astype(np.int32)), pa.array(x.view(np.int32)))
+                for c, x in zip(cut, ids)
+            ]
+            groups = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(sides, names=["a", "b"]))
         return [
-            *[pa.array(np.diff(e, prepend=0), pa.int64()) for e in ends],
-            pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(sides, names=["a", "b"])),
+            *[pa.array(np.diff(e, prepend=0), pa.int64()) for e in ends], pa.array(n_groups, pa.int64()), groups,
             pa.ListArray.from_arrays(offsets, pa.array((distinct % len(self.codes)).astype(np.int32))),
             pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
         ]
 
 
+def written_groups(ids: list[np.ndarray], cut: list[np.ndarray], ends: np.ndarray, size: int) -> pa.Array:
+    """The groups of each text as `a1,a2|b1;a3|b2,b3`.
+
+    ids: of all texts, per side, below `size`; cut: where each group ends in them; ends: where each text does.
+    """
+    sizes = [np.diff(c, prepend=0) for c in cut]
+    if not len(cut[0]):
+        return pa.array([""] * ends.shape[1])
+    total = len(ids[0]) + len(ids[1])
+    order, after = np.empty(total, np.int64), np.full(total, ord(","), np.uint8)
+    # the ids of a side stand behind all earlier groups of the other; those of b behind their own group's a too
+    places = (
+        np.arange(len(ids[0])) + np.repeat(cut[1] - sizes[1], sizes[0]), np.arange(len(ids[1])) + np.repeat(cut[0], sizes[1]),
+    )
+    for place, x, c, sign in zip(places, ids, cut, "|;"):
+        order[place] = x
+        after[place[c - 1]] = ord(sign)
+    digits, begins, widths = once("decimals", size, lambda: _decimals(size))
+    width = widths[order] + 1  # and the sign
+    last = np.cumsum(width)
+    held = digits[np.arange(int(last[-1])) + np.repeat(begins[order] - (last - width), width)]
+    held[last - 1] = after
+    bounds = np.concatenate(([0], last))[np.concatenate(([0], ends.sum(axis=0)))]
+    # without the sign after a text's last id
+    raw = held.tobytes()
+    return pa.array([raw[a : b - 1].decode() if b > a else "" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+
+
+def _decimals(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The digits of the numbers below `size`, each with room for a sign; where they begin, and how many they are."""
+    texts = [b"%d " % i for i in range(size)]
+    widths = np.array(list(map(len, texts)))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(widths) - widths, widths - 1
+
+
 def same_bytes(ids: np.ndarray, raw: np.ndarray, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> bool:
     """Whether the tokens' bytes, joined, are `raw`."""
     size = sizes[ids]
@@ -168,11 +193,12 @@ def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(list(map(at.__getitem__, common)), np.int64) for at in (at_a, at_b))
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text") -> DataFrame:
+def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", written: bool = False) -> DataFrame:
     """The documents with both tokenizers' tokens of their text, in groups that end together.
 
-    Adds `n_a` and `n_b`, the number of tokens; `groups`, the ids of each group, those
-    of the byte-level tokenizer (a) and of the piece tokenizer (b); `pairs`, the numbers
+    Adds `n_a` and `n_b`, the number of tokens; `n_groups`; `groups`, the ids of each group, those
+    of the byte-level tokenizer (a) and of the piece tokenizer (b), or with `written` as
+    text, `a1,a2|b1;a3|b2,b3`; `pairs`, the numbers
     of the id pairs linked in the text (see `pair_ids`), and `pair_links`, how often each is.
     The last ids of a group are its link: every token has bytes, so no other two tokens
     of a group end together.
@@ -182,7 +208,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text")
     encoded whole, however long; a text that repeats is counted as often as it is
     there. An empty table gives no rows. A column with the name of a result is replaced.
     """
-    added = T._parse_datatype_string(FIELDS)
+    added = T._parse_datatype_string(FIELDS.format(groups=GROUPS[written]))
     kept = drop_clashing(docs, [n for n in added.names if n.lower() != text.lower()])
     column = next(i for i, c in enumerate(kept.columns) if c.lower() == text.lower())
     names = [*kept.columns, *added.names]
@@ -194,7 +220,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text")
             for some in grouped(batch.column(column).to_pylist(), TOGETHER):
                 rows = batch.slice(at, len(some))
                 at += len(some)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *aligner.rows(some)], names=names)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *aligner.rows(some, written)], names=names)
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
 

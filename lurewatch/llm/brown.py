@@ -2,14 +2,17 @@
 
 Words of the training documents are counted by Spark; every word seen twice gets a
 class by exchange, that where the bigram likelihood is greatest. The most frequent
-ones are exchanged one after another until none moves. Then, in passes over the
-text, Spark counts what classes stand before and after each other word, and all
-words move at once, half of them in turn. Words seen once, and unknown ones, form
-one class of rare words. A text's probability is the product of class transitions
-and of words given their class.
-
-Tasks hold a hash, a count and a class of each word seen twice; counts of
-rare words are joined to the documents that hold them.
+ones are exchanged one after another until none moves. The others move at once, half
+of them in turn: which words stand before and after each of them is counted once, dealt
+out by words, and kept in packed blocks. A pass reads the blocks beside the classes,
+without an exchange of rows, and hands back the words that move. A pass that lowers the
+likelihood is taken back. Words seen once, and unknown ones, form one class of rare
+words. A text's probability is the product of class transitions and of words given
+their class.
+
+Texts are cut into words twice: to count them, and to store their places in the
+vocabulary, which all else reads. Tasks hold a hash, a count and a class of each word
+seen twice; counts of rare words are joined to the documents that hold them.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lurewatch.llm.common import once, scratch, slices
+from lurewatch.llm.pieces import PieceTable, grouped, word_starts
 from lurewatch.llm.simhash import LOWER
 
 #: The end of a text, as a token; no word holds white space.
@@ -32,45 +36,56 @@ END = "\n"
 EXCHANGED = 1024
 #: Classes, at least; they grow with the square root of the number of words.
 CLASSES = 64
-PASSES = 8
+PASSES = 6
 #: Passes over the other words end when fewer than this share of them move.
 SETTLED = 0.01
-#: Words whose place a task remembers by name, at most; no result depends on it.
-COMMON = 300_000
 #: Weight of the class's own frequency in a transition.
 SMOOTH = 5.0
 HELD = 300_000
-#: Tokens and table cells that are worked on at once.
+#: Tokens and table cells that are worked on at once; neighbours of words in a block, about.
 AT_ONCE = 1 << 21
+BLOCK = 1 << 18
+#: Counts up to this have their steps in the likelihood looked up.
+LOOKED_UP = 16
 
 
 def tokens(text: str | None) -> list[str]:
     """Lower-case words and the end."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass")
-    # str.split would also divide at white space beyond ASCII
-    return [w for w in raw.translate(_BLANKS).split(" ") if w] + [END]
+    return [*spaced(text).split(" ")[1:], END]
 
 
-_BLANKS = dict.fromkeys(range(9, 14), " ")
+def spaced(text: str | None) -> str:
+    """The lower-case words, each after one space."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+    # bytes divide at ASCII white space only
+    return b"".join(b" " + w for w in raw.split()).decode("utf-8", "surrogatepass")
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents; a task adds up its own first, HELD words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: dict[bytes, int] = {}
+        table = PieceTable(lambda new: [[held.setdefault(w, len(held))] for w in new], word_starts)
+        counts, ends = np.zeros(0, np.int64), 0
 
         def rows() -> pa.RecordBatch:
-            columns = [pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())]
+            columns = [pa.array([*(w[1:].decode() for w in held), END], pa.string()), pa.array(np.append(counts, ends))]
             return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
-        for batch in batches:
-            for value in batch.column(0):
-                held.update(tokens(value.as_py()))
+        for batch in slices(batches):
+            for some in grouped([spaced(t) for t in batch.column(0).to_pylist()]):
+                found = np.concatenate(table.ids_of(some))
+                more = np.bincount(found, minlength=len(held))
+                more[: len(counts)] += counts
+                counts, ends = more, ends + len(some)
                 if len(held) > HELD:
                     yield rows()
                     held.clear()
-        yield rows()
+                    table.clear()
+                    counts, ends = np.zeros(0, np.int64), 0
+        if ends:
+            yield rows()
 
     return docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -109,43 +124,64 @@ def hash_of(word: str) -> int:
 class Index:
     """Places of words in the vocabulary, -1 for rare ones."""
 
-    def __init__(self, known: Vocabulary, room: int):
+    def __init__(self, known: Vocabulary):
         self.order = np.argsort(known.hashes)
         self.sorted = known.hashes[self.order]
-        self.room = room
-        self.memo: dict[str, int] = {}
+        self.table = PieceTable(self._places, word_starts)
 
     def of(self, words: list[str]) -> np.ndarray:
-        found = [self.memo.get(w, -2) for w in words]
-        fresh = list({w for w, i in zip(words, found) if i == -2})
-        if fresh and len(self.sorted):
-            hashes = np.fromiter(map(hash_of, fresh), np.uint64, len(fresh))
-            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-            places = np.where(self.sorted[at] == hashes, self.order[at], -1)
-            new = dict(zip(fresh, places.tolist()))
-            found = [new[w] if i == -2 else i for w, i in zip(words, found)]
-            if len(self.memo) + len(new) > self.room:
-                self.memo.clear()
-            if len(new) <= self.room:
-                self.memo.update(new)
-        return np.maximum(np.array(found, np.int64), -1)
-
-
-def _index(known: Vocabulary, room: int) -> Index:
-    return once("vocabulary", (known.key, room), lambda: Index(known, room))
-
-
-def encoded(docs: DataFrame, known: Vocabulary, common: int, text: str = "text") -> DataFrame:
-    """(ids): places of each text's words; written once, and read by each pass."""
+        hashes = np.fromiter(map(hash_of, words), np.uint64, len(words))
+        if not len(self.sorted):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
+
+    def _places(self, words: list[bytes]) -> list[list[int]]:
+        # as unsigned numbers of 32 bits
+        return [[p & 0xFFFFFFFF] for p in self.of([w[1:].decode() for w in words]).tolist()]
+
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Places of each `spaced` text's words, and of the end."""
+        end = self.of([END]).astype(np.int32)
+        return [np.concatenate((x.view(np.int32), end)) for x in self.table.ids_of(texts)]
+
+
+def _index(known: Vocabulary) -> Index:
+    return once("vocabulary", known.key, lambda: Index(known))
+
+
+ENCODED = "doc_id bigint, taught boolean, ids array<int>, rare_words array<string>, rare_counts array<bigint>"
+
+
+def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """(doc_id, taught, text) with the text as `ids`, places of its words, and its rare words; written once, read by all else."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(sent.value, common)
+        index = _index(sent.value)
         for batch in slices(batches):
-            found = [index.of(tokens(t)).astype(np.int32) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["ids"])
-
-    return scratch(docs.select(text).mapInArrow(run, "ids array<int>"), "brown-ids")
+            at = 0
+            for some in grouped([spaced(t) for t in batch.column(2).to_pylist()]):
+                found = index.of_texts(some)
+                rare = [_rare(text, ids) for text, ids in zip(some, found)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                columns = [
+                    batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
+                    pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+                ]
+                at += len(some)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "taught", "ids", "rare_words", "rare_counts"])
+
+    return scratch(docs.select("doc_id", "taught", "text").mapInArrow(run, ENCODED), "brown-ids")
+
+
+def _rare(text: str, ids: np.ndarray) -> Counter:
+    places = np.flatnonzero(ids[:-1] < 0).tolist()
+    if not places:
+        return Counter()
+    words = text.split(" ")
+    return Counter(words[i + 1] for i in places)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -170,7 +206,7 @@ def transitions(ids: DataFrame, places: np.ndarray, size: int) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    counted = ids.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = ids.select("ids").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(size * size)
     matrix[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     return matrix.reshape(size, size)
@@ -231,48 +267,91 @@ def exchange(pairs: np.ndarray, own: int, classes: int = CLASSES, passes: int =
     return of
 
 
-def gains(after: np.ndarray, before: np.ndarray, self_: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+class Steps:
+    """What adding 1, 2, ... to each cell of a table gives: computed once, looked up for every word."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, own = table, len(table) - 1
+        more = np.arange(1, LOOKED_UP + 1)[:, None, None]
+        # rows: direction, count, other class; columns: the class a word may join
+        sides = [_f(cells[:own].T + more) - _f(cells[:own].T) for cells in (table, table.T)]
+        self.steps = np.concatenate([x.reshape(-1, own) for x in sides])
+
+    def of(self, side: int, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """One row per count and other class."""
+        size = len(self.table)
+        few = np.minimum(n, LOOKED_UP).astype(np.int64)
+        found = self.steps[(side * LOOKED_UP + few - 1) * size + other]
+        many = np.flatnonzero(n > LOOKED_UP)
+        if len(many):
+            base = (self.table, self.table.T)[side][:-1, other[many]].T
+            found[many] = _f(base + n[many, None]) - _f(base)
+        return found
+
+
+def gains(
+    after: np.ndarray, before: np.ndarray, self_: np.ndarray, old: np.ndarray, table: np.ndarray, steps: Steps | None = None
+) -> np.ndarray:
     """What likelihood each word (a row) gives to each class it may join, taken out of its old one.
 
     after, before: how often classes stand next to it, itself left out; self_: how
     often it follows itself; table: class transitions, the last class is that of rare words.
     """
-    own = len(table) - 1
-    inside = np.flatnonzero(old < own)
+    steps = steps or Steps(table)
+    own, rows = len(table) - 1, np.arange(len(old))
     gain = np.zeros((len(old), own))
-
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
-    for counts, other, cells in ((after, before, table), (before, after, table.T)):
+    for side, counts in enumerate((after, before)):
         row, d = np.nonzero(counts)
-        if not len(row):
-            continue
-        n = counts[row, d]
-        # the table without the word
-        base = cells[:own, d].T.copy()
-        same = d == old[row]
-        base[same] -= other[row[same], :own]
-        e = np.flatnonzero(old[row] < own)
-        base[e, old[row[e]]] -= n[e] + self_[row[e]] * same[e]
-        more = f(base + n[:, None]) - f(base)
-        e = np.flatnonzero(d < own)
-        more[e, d[e]] = 0
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        gain[row[first]] += np.add.reduceat(more, first)
-    cross = np.tile(np.diag(table)[:own], (len(old), 1))
-    cross[inside, old[inside]] -= after[inside, old[inside]] + before[inside, old[inside]] + self_[inside]
-    gain += f(cross + after[:, :own] + before[:, :own] + self_[:, None]) - f(cross)
+        for at in range(0, len(row), BLOCK // 4):
+            part = slice(at, at + BLOCK // 4)
+            first = np.flatnonzero(np.diff(row[part], prepend=-1))
+            if len(first):
+                gain[row[part][first]] += np.add.reduceat(steps.of(side, counts[row[part], d[part]], d[part]), first)
+    # the table still holds the word: in the old class's column and row other words' counts are too high
+    for counts, other, cells in ((after, before, table), (before, after, table.T)):
+        row, c = np.nonzero((counts[rows, old] > 0)[:, None] & (other[:, :own] > 0))
+        n, gone, cell = counts[row, old[row]], other[row, c], cells[c, old[row]]
+        gain[row, c] += _f(cell - gone + n) - _f(cell - gone) - _f(cell + n) + _f(cell)
+    # a class beside itself: both sides and the word's own pairs go to one cell
+    a, b, diagonal = after[:, :own], before[:, :own], np.diag(table)[:own]
+    row, c = np.nonzero(((a > 0) & (b > 0)) | (self_ > 0)[:, None])
+    cell, x, y = diagonal[c], a[row, c], b[row, c]
+    gain[row, c] += _f(cell + x + y + self_[row]) - _f(cell + x) - _f(cell + y) + _f(cell)
     for counts, sums in ((after, table.sum(axis=1)), (before, table.sum(axis=0))):
-        mass = counts.sum(axis=1) + self_
-        others = np.tile(sums[:own], (len(old), 1))
-        others[inside, old[inside]] -= mass[inside]
-        gain -= f(others + mass[:, None]) - f(others)
+        mass = (counts.sum(axis=1) + self_)[:, None]
+        gain -= _f(sums[:own] + mass) - _f(sums[:own])
+    # staying: the old class's cells with the word against those without it
+    inside = rows[old < own]
+    mine = old[inside]
+    if len(inside):
+        stay = np.zeros(len(inside))
+        x, y, s = after[inside], before[inside], self_[inside]
+        for counts, cells in ((x, table[mine]), (y, table.T[mine])):
+            apart = counts.copy()
+            apart[np.arange(len(mine)), mine] = 0
+            row, d = np.nonzero(apart)
+            cell = cells[row, d]
+            stay += np.bincount(row, _f(cell) - _f(cell - apart[row, d]), len(mine))
+            mass, sums = counts.sum(axis=1) + s, cells.sum(axis=1)
+            stay -= _f(sums) - _f(sums - mass)
+        cell = np.diag(table)[mine]
+        stay += _f(cell) - _f(cell - x[np.arange(len(mine)), mine] - y[np.arange(len(mine)), mine] - s)
+        gain[inside, mine] = stay
     return gain
 
 
-def better(word: np.ndarray, cell: np.ndarray, n: np.ndarray, of: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likelihood(table: np.ndarray) -> float:
+    """Of the transitions, as far as it depends on the classes."""
+    return float(_f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum())
+
+
+def better(word: np.ndarray, cell: np.ndarray, n: np.ndarray, of: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
     """The words that move, and where to. A word's cells: classes after it, classes before it, itself."""
+    table = steps.table
     size, own = len(table), len(table) - 1
     width = 2 * size + 1
     keys, where = np.unique(word.astype(np.int64) * width + cell, return_inverse=True)
@@ -281,82 +360,142 @@ def better(word: np.ndarray, cell: np.ndarray, n: np.ndarray, of: np.ndarray, ta
     ids, first = np.unique(word, return_index=True)
     ends = np.append(first[1:], len(word))
     moved, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step, at = max(1, AT_ONCE // size), 0
-    while at < len(ids):
-        end = max(at + 1, int(np.searchsorted(ends, first[at] + step, "right")))
+    step = max(1, AT_ONCE // (4 * size))
+    for at in range(0, len(ids), step):
+        end = min(at + step, len(ids))
         part = slice(first[at], ends[end - 1])
         table_of = np.zeros((end - at, width))
         table_of[np.repeat(np.arange(end - at), ends[at:end] - first[at:end]), cell[part]] = n[part]
         old = of[ids[at:end]].astype(np.int64)
-        gain = gains(table_of[:, :size], table_of[:, size : 2 * size], table_of[:, 2 * size], old, table)
+        gain = gains(table_of[:, :size], table_of[:, size : 2 * size], table_of[:, 2 * size], old, table, steps)
         new = np.argmax(gain, axis=1)
         row = np.arange(end - at)
         moves = (old == own) | (gain[row, new] > gain[row, np.minimum(old, own - 1)] + 1e-6)
         moved.append(ids[at:end][moves])
         to.append(new[moves])
-        at = end
     return np.concatenate(moved), np.concatenate(to)
 
 
-def follow(ids: DataFrame, of: np.ndarray, fixed: int, passes: int = PASSES) -> np.ndarray:
-    """Classes of all words by exchange, the first `fixed` staying where they are; at last that of rare words.
+def neighbours(ids: DataFrame, fixed: int, words: int, tokens: int) -> DataFrame:
+    """What stands beside each word from `fixed` on, in blocks (keys, n): counted once, sorted by word.
+
+    A key is (word * (words + 1) + other) * 2, and one more where the other stands before; the
+    place of rare words is `words`. A task adds up its own pairs first and packs them by the
+    remainder of the word, so that few rows are dealt out and no range is hot.
+    """
+    ranges = max(1, -(-tokens // AT_ONCE) * 4)
+
+    def packed(keys: np.ndarray, n: np.ndarray, number: int) -> pa.RecordBatch:
+        deltas = np.diff(keys, prepend=0)
+        columns = [pa.array([number], pa.int32()), pa.array([deltas.tobytes()], pa.binary()), pa.array([n.astype(np.int32).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["range", "keys", "n"])
+
+    def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return found, np.bincount(where, np.concatenate(n), len(found)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            keys, n = summed(held, numbers)
+            part = keys // (2 * (words + 1)) % ranges
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(ranges + 1))
+            for r in range(ranges):
+                some = order[bounds[r] : bounds[r + 1]]
+                if len(some):
+                    yield packed(keys[some], n[some], r)
+
+        for some in _streams(batches):
+            some = np.where(some < 0, words, some).astype(np.int64)
+            left, right = some[:-1], some[1:]
+            for word, other, side in ((left, right, 0), (right, left, 1)):
+                # a word beside itself counts once
+                mine = (word >= fixed) & (word < words) & ((side == 0) | (word != other))
+                held.append((word[mine] * (words + 1) + other[mine]) * 2 + side)
+                numbers.append(np.ones(len(held[-1]), np.int64))
+            if sum(map(len, held)) > AT_ONCE:
+                yield from dealt()
+                held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        yield from dealt()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, numbers, current = [], [], None
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            keys, n = summed(held, numbers)
+            word = keys // (2 * (words + 1))
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            # a block ends where a word does
+            cuts = [0]
+            while cuts[-1] < len(keys):
+                later = starts[np.searchsorted(starts, cuts[-1] + BLOCK) :]
+                cuts.append(int(later[0]) if len(later) else len(keys))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield packed(keys[a:b], n[a:b], current)
+
+        for batch in batches:
+            for number, keys, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if number != current and held:
+                    yield from blocks()
+                    held, numbers = [], []
+                current = number
+                held.append(np.cumsum(np.frombuffer(keys.as_buffer(), np.int64)))
+                numbers.append(np.frombuffer(n.as_buffer(), np.int32))
+        if held:
+            yield from blocks()
+
+    fields = "range int, keys binary, n binary"
+    rows = ids.select("ids").mapInArrow(count, fields).repartition(ranges, "range").sortWithinPartitions("range")
+    return scratch(rows.mapInArrow(merge, fields).select("keys", "n"), "brown-neighbours")
+
+
+def follow(ids: DataFrame, of: np.ndarray, fixed: int, tokens: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words by exchange, the first `fixed` staying where they are, at last that of rare words; and the transitions.
 
     The others come from the class of rare words. In the first pass all of them get a
-    class; later ones let every second word move, so that words of a kind do not swap places.
+    class; later ones let every second word move, so that words of a kind do not swap
+    places, and count only if the likelihood rises.
     """
     spark, size, of = ids.sparkSession, int(of[-1]) + 1, of.copy()
-    others = len(of) - 1 - fixed
-    moved = [others]
-    for turn in range(passes if others > 0 and size > 1 else 0):
-        table = transitions(ids, of, size)
+    words = len(of) - 1
+    table = transitions(ids, of, size)
+    if words <= fixed or size < 2:
+        return of, table
+    beside = neighbours(ids, fixed, words, tokens)
+    share = 1.0
+    for turn in range(passes):
         sent = spark.sparkContext.broadcast((of, table))
 
-        def count(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
-            of = sent.value[0]
-            width = 2 * size + 1
-
-            def rows(parts: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-                cells, where = np.unique(np.concatenate(parts), return_inverse=True)
-                return cells, np.bincount(where, np.concatenate(numbers), len(cells)).astype(np.int64)
-
-            def batch_of(cells: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-                columns = [pa.array(cells // width), pa.array((cells % width).astype(np.int32)), pa.array(numbers)]
-                return pa.RecordBatch.from_arrays(columns, names=["word", "cell", "n"])
-
-            held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for some in _streams(batches):
-                some = some.astype(np.int64)
-                left, right = some[:-1], some[1:]
-                self_ = left == right
-                for word, next_, shift in ((left, right, 0), (right, left, size)):
-                    mine = (word >= fixed) & ((turn == 0) | ((word + turn) % 2 == 0))
-                    apart = mine & ~self_
-                    held.append(word[apart] * width + shift + of[next_[apart]])
-                    if not shift:
-                        held.append(word[mine & self_] * width + 2 * size)
-                numbers += [np.ones(len(x), np.int64) for x in held[len(numbers) :]]
-                if sum(map(len, held)) > AT_ONCE:
-                    cells, n = rows(held, numbers)
-                    held, numbers = [cells], [n]
-                    if len(cells) > AT_ONCE // 2:
-                        yield batch_of(cells, n)
-                        held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            yield batch_of(*rows(held, numbers))
-
-        def move(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-            if parts:
-                found = better(*[np.concatenate(x) for x in zip(*parts)], *sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["word", "to"])
-
-        cells = ids.mapInArrow(count, "word bigint, cell int, n bigint").repartition("word")
-        found = cells.mapInArrow(move, "word bigint, to bigint").toArrow()
-        of[found["word"].to_numpy()] = found["to"].to_numpy()
-        moved.append(found.num_rows)
+        def move(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
+            of, table = sent.value
+            steps = Steps(table)
+            for batch in batches:
+                for keys, n in zip(batch.column(0), batch.column(1)):
+                    keys = np.cumsum(np.frombuffer(keys.as_buffer(), np.int64))
+                    n = np.frombuffer(n.as_buffer(), np.int32)
+                    word, other, side = keys // (2 * (words + 1)), keys // 2 % (words + 1), keys % 2
+                    if turn:
+                        mine = (word // 2 + turn) % 2 == 0
+                        word, other, side, n = word[mine], other[mine], side[mine], n[mine]
+                    cell = np.where(word == other, 2 * size, of[other] + size * side)
+                    found = better(word, cell, n, of, steps)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["word", "to"])
+
+        found = beside.mapInArrow(move, "word bigint, to bigint").toArrow()
+        new = of.copy()
+        new[found["word"].to_numpy()] = found["to"].to_numpy()
+        after = transitions(ids, new, size)
+        if turn and likelihood(after) <= likelihood(table):
+            break
+        of, table = new, after
+        moved = found.num_rows / (words - fixed)
         # the halves of two passes together are all words
-        if turn > 1 and moved[-1] + moved[-2] < SETTLED * others:
+        if turn > 1 and moved + share < SETTLED:
             break
-    return of
+        share = moved
+    return of, table
 
 
 @dataclass
@@ -371,16 +510,21 @@ class Model:
     rare: int
 
 
-def train(docs: DataFrame, counts: DataFrame, text: str = "text", common: int = COMMON) -> Model:
+def train(docs: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     """A model of the documents and their word counts."""
     known = vocabulary(counts)
-    ids = encoded(docs, known, common, text)
+    named = docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(True).alias("taught"), F.col(text).alias("text"))
+    return learn(known, encoded(named, known))
+
+
+def learn(known: Vocabulary, ids: DataFrame) -> Model:
+    """A model of texts that `encoded` gave."""
     words = len(known.hashes)
     first = min(EXCHANGED, words)
     pairs = transitions(ids, np.minimum(np.arange(words + 1), first), first + 1)
     of = exchange(pairs, first, max(CLASSES, int(np.sqrt(words)) // 8))
-    of = follow(ids, of[np.minimum(np.arange(words + 1), first)].astype(np.int32), first)
-    return fit(known, of, transitions(ids, of, int(of[-1]) + 1))
+    of, table = follow(ids, of[np.minimum(np.arange(words + 1), first)].astype(np.int32), first, known.total)
+    return fit(known, of, table)
 
 
 def fit(known: Vocabulary, classes: np.ndarray, table: np.ndarray) -> Model:
@@ -393,39 +537,43 @@ def fit(known: Vocabulary, classes: np.ndarray, table: np.ndarray) -> Model:
     return Model(known, np.log10(after), emitted, classes, rare)
 
 
-RESULT = (
-    "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, "
-    "rare_words array<string>, rare_counts array<bigint>"
-)
+MEASURED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare_words array<string>, rare_counts array<bigint>"
 
 
-def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, with scores from a model of the training documents.
 
+    `training` is a table, or a condition that tells which of the documents to learn from.
     doc_id; n_tokens, the end included; n_known, those that occur in training;
     train_tokens; base_score, the log10 probability under add-one word frequencies;
     score, that under the class model; perplexity, per token. Null text counts as
-    empty and has one token. With nothing to train on, every word is rare and
-    unknown. Extra columns are ignored; rows come back as often as they are there.
+    empty and has one token; texts are read whole, however long. With nothing to train on,
+    every word is rare and unknown. Extra columns are ignored; rows come back as often as
+    they are there; an empty table gives no rows.
     """
-    counts = scratch(word_counts(training, text), "brown-counts")
-    model = train(training, counts, text, common)
-    known = model.known
+    within = isinstance(training, Column)
+    taught = F.coalesce(training, F.lit(False)) if within else F.lit(False)
+    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), taught.alias("taught"), F.col(text).alias("text"))
+    lessons = named.filter("taught") if within else training.select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.lit(True).alias("taught"), F.col(text).alias("text")
+    )
+    counts = scratch(word_counts(lessons, "text"), "brown-counts")
+    known = vocabulary(counts)
+    ids = encoded(named, known)
+    model = learn(known, ids.filter("taught") if within else encoded(lessons, known))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        index = _index(model.known, common)
         logs = np.log10(model.known.counts + 1.0)
         for batch in batches:
-            rows = [_measure(t.as_py(), index, model, logs) for t in batch.column(1)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            flat, sizes = batch.column(1).flatten().to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+            columns = [pa.array(x) for x in _measure(flat, sizes, model, logs)]
             names = ["n_tokens", "n_known", "base_score", "score", "rare_words", "rare_counts"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2), batch.column(3)], names=["doc_id", *names])
 
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = scratch(named.mapInArrow(run, RESULT).withColumn("row", F.monotonically_increasing_id()), "brown-scores")
+    found = ids.select("doc_id", "ids", "rare_words", "rare_counts").mapInArrow(run, MEASURED)
+    found = scratch(found.withColumn("row", F.monotonically_increasing_id()), "brown-scores")
     rare = found.select("row", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("x"))
     rare = rare.select("row", F.col("x.rare_words").alias("word"), F.col("x.rare_counts").alias("k"))
     # an unknown word adds log10(0 + 1), which is nothing
@@ -443,14 +591,21 @@ def score(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: st
     )
 
 
-def _measure(text: str | None, index: Index, model: Model, logs: np.ndarray):
-    """Tokens, known ones, and both scores as far as they don't need the counts of rare words; rare words and their counts."""
-    words = tokens(text)
-    ids = index.of(words)
-    usual = ids >= 0
-    places = model.classes[ids]
-    first = model.classes[0]
-    score = float(model.after[np.concatenate(([first], places[:-1])), places].sum() + model.emitted[ids[usual]].sum())
-    rare = Counter(w for w, i in zip(words, ids.tolist()) if i < 0) if not usual.all() else {}
-    score -= float(np.log10(model.rare)) * (len(words) - int(usual.sum()))
-    return len(words), int(usual.sum()), float(logs[ids[usual]].sum()), score, list(rare.keys()), list(rare.values())
+def _measure(flat: np.ndarray, sizes: np.ndarray, model: Model, logs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts one after another: tokens, known ones, and both scores as far as they don't need the counts of rare words."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    usual = flat >= 0
+    places = model.classes[flat]
+    left = np.empty_like(places)
+    left[1:] = places[:-1]
+    # a text begins after an end
+    left[begins] = model.classes[0]
+    score = model.after[left, places]
+    score[usual] += model.emitted[flat[usual]]
+    score[~usual] -= np.log10(model.rare)
+    base = np.zeros(len(flat))
+    base[usual] = logs[flat[usual]]
+    # one text at a time: sums of others would take digits away
+    sums = [np.add.reduceat(x, begins) if len(begins) else np.zeros(0) for x in (usual.astype(np.int64), base, score)]
+    return sizes.astype(np.int64), sums[0].astype(np.int64), sums[1].astype(np.float64), sums[2].astype(np.float64)

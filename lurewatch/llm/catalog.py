@@ -43,7 +43,7 @@ def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
 def op3_brown(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     held_out = remainder("doc_id", 7) == 2
-    found = brown.score(docs, docs.filter(~held_out))
+    found = brown.score(docs, ~held_out)
     columns = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
     return found.select("doc_id", held_out.alias("held_out"), *columns[1:])
 
@@ -122,16 +122,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_align(spark: SparkSession, folder: str) -> DataFrame:
     paths = bpe.public_path("byte_bpe_50k.json"), bpe.public_path("piece_bpe_32k.model")
-    aligned = align.align(documents(spark, folder).select("doc_id", "text"), *paths)
-
-    def ids(group: Column) -> Column:
-        return F.concat(joined_ids(group.a), F.lit("|"), joined_ids(group.b))
-
-    listed = F.sha2(F.array_join(F.transform("groups", ids), ";"), 256)
-    size = F.size("groups").cast("bigint")
+    aligned = align.align(documents(spark, folder).select("doc_id", "text"), *paths, written=True)
     digest = aligned.select(
-        "doc_id", "n_a", "n_b", size.alias("n_groups"), size.alias("n_links"),
-        F.when(size > 0, listed).otherwise("").alias("groups_sha256"), "pairs", "pair_links",
+        "doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"),
+        F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "pairs", "pair_links",
     )
     counted = align.add_link_counts(scratch(digest, "aligned"), align.pair_ids(*paths))
     return counted.drop("pairs", "pair_links")

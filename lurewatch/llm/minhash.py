@@ -8,7 +8,8 @@ in all bins of a band meet in a bucket. With 32 bands of 4 bins two sets of
 similarity 0.8 miss every bucket once in 20 million times.
 
 Equal sets collapse first. In a bucket one set is the centre, and only it is paired with
-the others, so a bucket gives as many candidates as it has sets. Every candidate is
+the others, so a bucket gives as many candidates as it has sets. A set
+of which no other has enough shingles cannot link and is left out. Every candidate is
 confirmed on the full sets. What a star cannot see is looked for in rounds: as long as
 a bucket holds more than one component, further sets become centres, of many times
 more each round until all have been, and are paired with the sets of other components only.
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.llm.common import add_from_text, scratch, slices
+from lurewatch.llm.common import add_from_text, id_text, scratch, slices
 from lurewatch.llm.simhash import LOWER, components
 
 BANDS, ROWS = 32, 4
@@ -33,8 +34,9 @@ BINS = BANDS * ROWS
 SEED = 42
 #: Centres of a bucket grow by this factor from round to round.
 MORE = 16
-#: Candidates whose signatures agree in fewer bins are no links: of similarity 0.8, one in 10^15 has so few.
-LEAST_AGREEMENT = BINS // 2
+#: Candidates whose sketches agree in fewer bins are no links: by chance bins agree one time in four, and of the
+#: sketches of sets of similarity 0.8, which agree in 109 bins on average, one in a billion agrees in so few.
+LEAST_AGREEMENT = 82
 SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 EDGES = np.arange(BINS, dtype=np.uint64) << SHIFT
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,36 +87,50 @@ def buckets_of(values: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def add_sets(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
-    """Adds `set_key` (16 bytes, equal for equal sets), `n_shingles`, `buckets`, `signature` (a byte a bin) and `shingles`.
+def add_buckets(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
+    """Adds `set_key` (16 bytes, equal for equal sets), `n_shingles`, `buckets` and `sketch` (two bits a bin).
 
     Null, empty and blank texts have no shingles, and null for the rest.
     """
 
     def compute():
         def work(texts: list[str | None]) -> list[pa.Array]:
-            keys, sizes, numbers, signs, sets = [], [], [], [], []
-            for text in texts:
-                found = shingles(text, words)
+            keys, sizes, numbers, sketches = [], [], [], []
+            for found in (shingles(text, words) for text in texts):
                 sizes.append(len(found))
-                if not len(found):
-                    for listed in (keys, numbers, signs, sets):
-                        listed.append(None)
-                    continue
-                values, raw = signature(found), found.astype("<u8").tobytes()
-                keys.append(xxhash.xxh3_128_digest(raw))
-                numbers.append(buckets_of(values).view(np.int64))
-                signs.append((values & np.uint64(0xFF)).astype(np.uint8).tobytes())
-                sets.append(raw)
-            return [
-                pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.list_(pa.int64())),
-                pa.array(signs, pa.binary()), pa.array(sets, pa.binary()),
-            ]
+                values = signature(found) if len(found) else None
+                keys.append(None if values is None else set_key(found))
+                numbers.append(None if values is None else buckets_of(values).view(np.int64))
+                sketches.append(None if values is None else sketch(values))
+            longs = pa.list_(pa.int64())
+            return [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(numbers, longs), pa.array(sketches, longs)]
+
+        return work
+
+    return add_from_text(docs, text, "set_key binary, n_shingles bigint, buckets array<bigint>, sketch array<bigint>", compute)
+
+
+def add_sets(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
+    """Adds `set_key` and the full set as `shingles`, to texts that have any."""
+
+    def compute():
+        def work(texts: list[str | None]) -> list[pa.Array]:
+            sets = [shingles(text, words) for text in texts]
+            return [pa.array(map(set_key, sets), pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())]
 
         return work
 
-    fields = "set_key binary, n_shingles bigint, buckets array<bigint>, signature binary, shingles binary"
-    return add_from_text(docs, text, fields, compute)
+    return add_from_text(docs, text, "set_key binary, shingles binary", compute)
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each bin, as longs."""
+    pairs = np.stack((values & np.uint64(1), (values >> np.uint64(1)) & np.uint64(1)), axis=1).astype(np.uint8)
+    return np.packbits(pairs.ravel(), bitorder="little").view("<i8")
+
+
+def set_key(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.astype("<u8").tobytes())
 
 
 def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -124,23 +140,8 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(other) - both)
 
 
-def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """A smaller set cannot reach the share alone."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def confirmed(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The candidates (a, b) that are links: first by signatures, the rest by the full sets of `nodes`."""
-
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        left, right = (nodes.select(F.col("set_key").alias(x), F.col(column).alias(f"of_{x}")) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            near = pa.array((one == other).sum(axis=1) >= LEAST_AGREEMENT)
-            yield batch.select(["a", "b"]).filter(near)
+    """The candidates (a, b) that are links by the full sets of `nodes`."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -148,61 +149,87 @@ def confirmed(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             near = pa.array([similar(x, y, percent) for x, y in zip(*sets)], pa.bool_())
             yield batch.select(["a", "b"]).filter(near)
 
-    near = scratch(with_both(edges, "signature").mapInArrow(agree, "a binary, b binary"), "minhash-near")
-    return scratch(with_both(near, "shingles").mapInArrow(check, "a binary, b binary"), "minhash-links")
+    left, right = (nodes.select(F.col("set_key").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    return scratch(both.mapInArrow(check, "a binary, b binary"), "minhash-links")
 
 
-def _members(distinct: DataFrame) -> DataFrame:
-    """(bucket, key, n, turn, size, centre, centre_n) of all sets that share a bucket; the first in turn is the centre."""
-    turn = F.pmod(F.xxhash64("set_key"), F.lit(1 << 30)) / float(1 << 30)
-    rows = distinct.select(F.explode("buckets").alias("bucket"), F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), turn.alias("turn"))
-    rows = scratch(rows, "minhash-rows")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("turn", "key", "n")).alias("c")).filter("size > 1")
-    shared = scratch(shared.select("bucket", "size", F.col("c.key").alias("centre"), F.col("c.n").alias("centre_n")), "minhash-buckets")
-    return scratch(rows.join(shared, "bucket"), "minhash-members")
+def _differ(a: str, b: str) -> Column:
+    """In how many bins two sketches (arrays of longs, two bits a bin) differ."""
+    words = []
+    for i in range(BINS // 32):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        words.append(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    return sum(words[1:], words[0])
 
 
-def _pairs(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _members(distinct: DataFrame) -> DataFrame:
+    """(bucket, key, n, sketch, turn, size) of all sets that share a bucket."""
+    rows = scratch(distinct.select(F.explode("buckets").alias("bucket"), F.col("set_key").alias("key")), "minhash-rows")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    several = scratch(rows.join(scratch(shared, "minhash-buckets"), "bucket"), "minhash-several")
+    turn = F.pmod(F.xxhash64("set_key"), F.lit(1 << 30)) / float(1 << 30)
+    facts = distinct.select(F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), "sketch", turn.alias("turn"))
+    return scratch(several.join(facts, "key"), "minhash-members")
 
 
-def links(distinct: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets that connect all sets of a bucket that are similar."""
-    members = _members(distinct)
-    apart = members.filter(F.col("key") != F.col("centre")).filter(_may_link(F.col("n"), F.col("centre_n"), percent))
-    tried = scratch(apart.select(*_pairs(F.col("key"), F.col("centre"))).distinct(), "minhash-tried")
-    found = confirmed(tried, nodes, percent)
-    state = members.select("bucket", "key", "n", "turn", "size", (F.col("key") == F.col("centre")).alias("done"))
-    many = 1
-    while True:
-        many *= MORE
-        state = _open_buckets(state, found)
-        if state.filter("NOT done").isEmpty():
-            return found
-        # centres of this round: the set with the most links, and a growing share by turn
+    state = _alive(members, nodes, percent).withColumns({"done": F.lit(False), "root": F.col("key"), "degree": F.lit(0).cast("bigint")})
+    found = tried = None
+    many = 0
+    while not state.filter("NOT done").isEmpty():
+        # centres of this round: the set with the most links, and later a growing share by turn
         rest = state.filter("NOT done")
-        top = rest.groupBy("bucket").agg(F.max(F.struct("degree", "turn", "key")).alias("c")).select("bucket", F.col("c.key").alias("key"))
-        due = rest.filter(F.col("turn") * F.col("size") < many).select("bucket", "key").unionAll(top).distinct()
-        chosen = scratch(due.withColumn("now", F.lit(True)), "minhash-centres")
-        state = scratch(
-            state.join(chosen, ["bucket", "key"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "minhash-state"
-        )
-        centre = state.filter("now").select("bucket", F.col("key").alias("c_key"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))
+        top = rest.groupBy("bucket").agg(F.max(F.struct("degree", "turn", "key")).alias("c")).select("bucket", F.col("c.key").alias("top"))
+        now = ~F.col("done") & ((F.col("turn") * F.col("size") < many) | (F.col("key") == F.col("top")))
+        state = scratch(state.join(top, "bucket", "left").withColumn("now", F.coalesce(now, F.lit(False))).drop("top"), "minhash-state")
+        centre = state.filter("now").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("key", "n", "own", "root", "sketch")])
         # two centres of a round meet once; centres of earlier rounds have met all
-        other = state.filter("NOT done").join(centre, "bucket").filter("root <> c_root AND (NOT now OR key < c_key)")
-        other = other.filter(_may_link(F.col("n"), F.col("c_n"), percent))
-        edges = other.select(*_pairs(F.col("key"), F.col("c_key"))).distinct().join(tried, ["a", "b"], "left_anti")
-        edges = scratch(edges, "minhash-tried")
-        tried = tried.unionAll(edges)
-        if not edges.isEmpty():
-            found = found.unionAll(confirmed(edges, nodes, percent))
-        state = state.withColumn("done", F.col("done") | F.col("now")).drop("now", "root", "degree")
+        apart = "root <> c_root AND (NOT now OR key < c_key)"
+        # no more can be common than is not a set's own
+        common = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
+        may = 100 * common >= percent * (F.col("n") + F.col("c_n") - common)
+        near = _differ("sketch", "c_sketch") <= BINS - LEAST_AGREEMENT
+        other = state.filter("NOT done").join(centre, "bucket").filter(apart).filter(may & near)
+        edges = other.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b")).distinct()
+        edges = scratch(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"), "minhash-tried")
+        tried = edges if tried is None else tried.unionAll(edges)
+        new = confirmed(edges, nodes, percent)
+        found = new if found is None else found.unionAll(new)
+        state = state.withColumn("done", F.col("done") | F.col("now")).drop("now")
+        if many == 0 or not new.isEmpty():
+            state = _open_buckets(state.drop("root", "degree"), found)
+        many = max(many, 1) * MORE
+    return members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0) if found is None else found
+
+
+def _alive(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The members that can have a link, with `own`: how many of their shingles no other node has.
+
+    Documents that share a passage and nothing else, and copies with many changes of
+    their own, would fill buckets that never close; they end here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(1)]
+            rows = np.repeat(batch.column(0).to_numpy(), list(map(len, sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(rows)], names=["shingle", "node"])
+
+    node = F.xxhash64("set_key").alias("node")
+    rows = nodes.select(node, "shingles").mapInArrow(run, "shingle bigint, node bigint")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    own = scratch(alone.groupBy("node").agg(F.count("*").alias("own")), "minhash-own")
+    counted = members.withColumn("node", F.xxhash64("key")).join(own, "node", "left").drop("node")
+    counted = counted.withColumn("own", F.coalesce("own", F.lit(0)))
+    return scratch(counted.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-alive")
 
 
 def _open_buckets(state: DataFrame, found: DataFrame) -> DataFrame:
     """The members of buckets with more than one component, with `root` and `degree` (number of links)."""
     degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-    roots = scratch(components(found).withColumnRenamed("node", "key").join(degree, "key"), "minhash-roots")
+    roots = components(found).withColumnRenamed("node", "key").join(degree, "key")
     rooted = state.join(roots, "key", "left").withColumns({"root": F.coalesce("root", "key"), "degree": F.coalesce("degree", F.lit(0))})
     rooted = scratch(rooted, "minhash-rooted")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
@@ -220,19 +247,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is null if no row they reach has one, and then they are kept. Texts
     are read whole, however long. Extra columns are ignored; an empty table gives no rows.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = scratch(add_sets(named, "text", words).drop("text"), "minhash-sets")
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    sets = scratch(add_buckets(named, "text", words).drop("text"), "minhash-sets")
     full = sets.filter("set_key IS NOT NULL")
-    distinct = full.groupBy("set_key").agg(
-        F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets")
-    )
-    distinct = scratch(distinct, "minhash-distinct")
-    found = links(distinct.select("set_key", "n_shingles", "buckets"), _nodes(full, distinct), percent)
+    # one document stands for all of its set: that of the smallest id
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    distinct = full.groupBy("set_key").agg(first, *[F.first(c).alias(c) for c in ("n_shingles", "buckets", "sketch")])
+    distinct = scratch(distinct.select("set_key", "first.doc_id", "first.text_hash", "n_shingles", "buckets", "sketch"), "minhash-distinct")
+    members = _members(distinct)
+    found = links(members, _nodes(named, distinct, members, words), percent)
     roots = components(found).select(F.col("node").alias("set_key"), "root")
     rooted = scratch(
-        distinct.join(roots, "set_key", "left").select("set_key", "least_id", F.coalesce("root", "set_key").alias("root")), "minhash-rooted"
+        distinct.join(roots, "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root")), "minhash-rooted"
     )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     whole = scratch(rooted.join(least, "root").select("set_key", "component_id"), "minhash-groups")
     columns = ("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     some = full.join(whole, "set_key").select(*columns)
@@ -240,10 +268,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return some.unionAll(none)
 
 
-def _nodes(full: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(set_key, signature, shingles): each distinct set that shares a bucket, once."""
-    rows = distinct.select("set_key", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    wanted = scratch(rows.join(shared, "bucket", "left_semi").select("set_key").distinct(), "minhash-wanted")
-    several = full.select("set_key", "signature", "shingles").join(wanted, "set_key", "left_semi")
-    return scratch(several.groupBy("set_key").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles")), "minhash-nodes")
+def _nodes(named: DataFrame, distinct: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(set_key, shingles): each distinct set that shares a bucket, once.
+
+    Only the documents that stand for them are gone through once more; other sets are never kept.
+    """
+    wanted = distinct.join(members.select(F.col("key").alias("set_key")).distinct(), "set_key", "left_semi")
+    wanted = scratch(wanted.select(id_text("doc_id").alias("__id"), "text_hash"), "minhash-wanted")
+    texts = named.withColumn("__id", id_text("doc_id")).join(wanted, ["__id", "text_hash"], "left_semi")
+    rows = add_sets(texts.select("text"), "text", words)
+    return scratch(rows.groupBy("set_key").agg(F.first("shingles").alias("shingles")), "minhash-nodes")

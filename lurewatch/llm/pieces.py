@@ -77,6 +77,17 @@ def starts_of(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     return joined, codes, np.flatnonzero(start), begins
 
 
+def word_starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Like `starts_of`, for texts that are empty or begin with a space: a word starts with all spaces before it."""
+    joined = "".join(texts)
+    begins = np.cumsum([0, *map(len, texts)])
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    start = codes == 32
+    start[1:] &= codes[:-1] != 32
+    start[begins[begins < len(codes)]] = True
+    return joined, codes, np.flatnonzero(start), begins
+
+
 def cut(text: str) -> list[str]:
     """The pieces of one text."""
     joined, _, starts, begins = starts_of([text])

@@ -9,6 +9,7 @@ ones hold an entry. The sum of weights, taken by length, gives a calibrated scor
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -19,21 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.llm.common import add_from_text, once
+from lurewatch.llm.common import add_from_text, once, scratch
 from lurewatch.llm.labelled import labelled_sample
 from lurewatch.llm.quality import sigmoid
 
 #: Rows a lexicon is learned from and calibrated on, at most about this many: a bounded sample by a hash of the id.
 MAX_ROWS = 30_000
-#: Entries a lexicon holds at most: the most significant ones.
-MAX_ENTRIES = 4000
 STEMS = (4, 5, 6)
-#: An entry occurs in so many toxic documents of the sample, and in this share of them, at least.
+#: An entry occurs in so many toxic documents of the sample at least.
 LEAST_DOCUMENTS = 4
-LEAST_SHARE = 0.01
 LEAST_WEIGHT = 1.5
-#: Least log-likelihood ratio of an entry against one that does not depend on the label.
-LEAST_EVIDENCE = 15.0
+#: Share of the entries that may be there by chance: sets how much evidence an entry needs, by how many were tested.
+CHANCE = 0.03
+#: Parts of the sample; each is measured for the calibration with a lexicon of the others.
+FOLDS = 8
 #: A beginning of words says nothing of its own if one word makes up this share of it.
 ONE_WORD = 0.8
 
@@ -151,31 +151,68 @@ def entries_of(text: str | None) -> set[str]:
 
 
 def entry_counts(sample: DataFrame) -> DataFrame:
-    """(entry, toxic, clean): in how many documents of each label an entry occurs, summed per task first."""
+    """(entry, toxic_0, clean_0, toxic_1, ...): in how many documents of each label and fold an entry occurs, summed per task first."""
+    names = [f"{kind}_{fold}" for fold in range(FOLDS) for kind in ("toxic", "clean")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = Counter(), Counter()
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[label].update(entries_of(text))
-            names = list(counts[0].keys() | counts[1].keys())
-            arrays = [pa.array(names, pa.string()), *[pa.array([counts[k][e] for e in names], pa.int64()) for k in (1, 0)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["entry", "toxic", "clean"])
+            counts = [Counter() for _ in names]
+            for label, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                counts[2 * fold + 1 - label].update(entries_of(text))
+            found = list(set().union(*counts))
+            arrays = [pa.array(found, pa.string()), *[pa.array([c[e] for e in found], pa.int64()) for c in counts]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["entry", *names])
 
-    counted = sample.select("label", "text").mapInArrow(run, "entry string, toxic bigint, clean bigint")
-    return counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    fields = ", ".join(["entry string", *[f"{n} bigint" for n in names]])
+    counted = sample.select("label", "fold", "text").mapInArrow(run, fields)
+    return counted.groupBy("entry").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def evidence(toxic: int, clean: int, share: float) -> float:
+    """Log-likelihood ratio of an entry against one that does not depend on the label; `share` of documents are toxic."""
+    both = toxic + clean
+    return 2 * sum(n * math.log(n / (both * s)) for n, s in ((toxic, share), (clean, 1 - share)) if n)
+
+
+def select(counts: dict[str, tuple[int, int]], tested: int, toxic: int, clean: int) -> dict[str, float]:
+    """The entries and their weights: as many as keep the share that is there by chance (Benjamini and Hochberg).
+
+    counts: documents of each label that hold an entry; tested: how many entries were looked at.
+    """
+    if not toxic or not clean:
+        return {}
+    found = []
+    for entry, (n, other) in counts.items():
+        weight = math.log((n + 0.5) / (toxic + 1)) - math.log((other + 0.5) / (clean + 1))
+        if n >= LEAST_DOCUMENTS and weight > 0:
+            found.append((evidence(n, other, toxic / (toxic + clean)), entry, weight, n))
+    found.sort(key=lambda x: (-x[0], x[1]))
+    kept = max((k for k, x in enumerate(found, 1) if by_chance(x[0]) * tested <= CHANCE * k), default=0)
+    return without_single_words({e: (w, n) for _, e, w, n in found[:kept] if w >= LEAST_WEIGHT})
+
+
+def by_chance(ratio: float) -> float:
+    """How likely so much evidence is without any dependence."""
+    return math.erfc(math.sqrt(max(ratio, 0.0) / 2))
 
 
 def fit(rows: list[tuple[float, float, int]]) -> tuple[float, float, float]:
-    """Logistic regression of the label on both inputs, by Newton's method with a little shrinkage."""
+    """Logistic regression of the label on both inputs, by Newton's method with a little shrinkage.
+
+    More weight never lowers a score: an input whose slope would be negative is left out.
+    """
     x = np.array([(1.0, a, b) for a, b, _ in rows])
     y = np.array([label for *_, label in rows], float)
+    for used in ([0, 1, 2], [0, 1], [0, 2], [0]):
+        some, found = x[:, used], np.zeros(len(used))
+        shrink = np.diag([(1e-3, 0.1, 0.1)[i] for i in used])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(some @ found, -35, 35)))
+            found += np.linalg.solve((some * (p * (1 - p))[:, None]).T @ some + shrink, some.T @ (y - p) - shrink @ found)
+        if (found[1:] >= 0).all():
+            break
     weights = np.zeros(3)
-    shrink = np.diag([1e-3, 0.1, 0.1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -35, 35)))
-        slope = x.T @ (y - p) - shrink @ weights
-        weights += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + shrink, slope)
+    weights[used] = found
     return tuple(float(w) for w in weights)
 
 
@@ -189,53 +226,74 @@ def without_single_words(found: dict[str, tuple[float, int]]) -> dict[str, float
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, label: str, allowed: Column, max_rows: int = MAX_ROWS,
-    max_entries: int = MAX_ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS,
+    docs: DataFrame, labels: DataFrame, label: str, allowed: Column, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS
 ) -> Lexicon:
     """A lexicon from labelled documents that `allowed` lets in (a condition on doc_id).
 
-    Three quarters of the sample give the entries, the last quarter calibrates.
-    Without labelled rows the lexicon is empty and every score is 0.
+    The whole sample gives the entries. The calibration sees each document as it is
+    measured by a lexicon of the other folds. Without labelled rows the lexicon is empty
+    and every score is 0; with rows of one label only it has no entries. Null and empty
+    texts teach that nothing is in them; texts are read whole, however long.
     """
     sample = labelled_sample(docs, labels, label, allowed, max_rows)
-    last = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
-    teach, rest = sample.filter(~last), sample.filter(last)
-    n = {r.label: r.n for r in teach.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    weights: dict[str, float] = {}
-    if n.get(1) and n.get(0):
-        weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-        both, share = F.col("toxic") + F.col("clean"), n[1] / (n[0] + n[1])
-        evidence = 2 * (
-            F.col("toxic") * F.log(F.col("toxic") / (both * share))
-            + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0)
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int"))
+    n = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    sizes = np.array([[n.get((fold, kind), 0) for kind in (1, 0)] for fold in range(FOLDS)])
+    toxic, clean = sizes.sum(axis=0).tolist()
+    counts: dict[str, np.ndarray] = {}
+    tested = 0
+    if toxic and clean:
+        sums = [sum((F.col(f"{kind}_{fold}") for fold in range(FOLDS)), F.lit(0)) for kind in ("toxic", "clean")]
+        both = sums[0] + sums[1]
+        expected = both * toxic / (toxic + clean)
+        ratio = 2 * (
+            sums[0] * F.log(sums[0] / expected)
+            + F.when(sums[1] > 0, sums[1] * F.log(sums[1] / (both - expected))).otherwise(0.0)
         )
-        often = F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n[1])
-        found = entry_counts(teach).filter(often).select("entry", "toxic", weight.alias("w"), evidence.alias("e"))
-        found = found.filter((F.col("w") >= LEAST_WEIGHT) & (F.col("e") >= LEAST_EVIDENCE))
-        chosen = found.orderBy(F.desc("e"), "entry").limit(max_entries).collect()
-        weights = without_single_words({r.entry: (r.w, r.toxic) for r in chosen})
-    lexicon = Lexicon(weights, exceptions, None)
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+        often = scratch(entry_counts(sample).filter(sums[0] >= LEAST_DOCUMENTS).withColumn("ratio", ratio), "toxicity-entries")
+        tested = often.count()
+        # no more can be chosen than have evidence for one; the sample bounds their number
+        likely = often.filter((sums[0] > expected) & (F.col("ratio") >= least_evidence()))
+        counts = {r[0]: np.array(r[1:-1], np.int64).reshape(FOLDS, 2) for r in likely.collect()}
+    whole = {e: c.sum(axis=0) for e, c in counts.items()}
+    lexicon = Lexicon(select({e: tuple(c.tolist()) for e, c in whole.items()}, tested, toxic, clean), exceptions, None)
+    parts = []
+    for fold in range(FOLDS):
+        rest = {e: tuple((whole[e] - c[fold]).tolist()) for e, c in counts.items()}
+        left = (np.array([toxic, clean]) - sizes[fold]).tolist()
+        parts.append(Lexicon(select(rest, tested, *left), exceptions, None))
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(sent.value)
+        built = [automaton(x) for x in sent.value]
         for batch in batches:
-            rows = [inputs(*measure(built, t)) for t in batch.column(1).to_pylist()]
+            rows = [inputs(*measure(built[fold], t)) for fold, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             arrays = [pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column(0)], names=["a", "b", "label"])
 
-    rows = [(r.a, r.b, r.label) for r in rest.select("label", "text").mapInArrow(run, "a double, b double, label int").collect()]
-    rows.sort()
+    seen = sample.select("label", "fold", "text").mapInArrow(run, "a double, b double, label int")
+    rows = sorted((r.a, r.b, r.label) for r in seen.collect())
     if rows:
         lexicon.calibration = fit(rows)
     return lexicon
 
 
+def least_evidence() -> float:
+    """Evidence that is there by chance in a share CHANCE of all entries: what any chosen one has at least."""
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if by_chance(middle) > CHANCE else (low, middle)
+    return low
+
+
 def add_score(docs: DataFrame, lexicon: Lexicon, text: str = "text", output: str = "score") -> DataFrame:
     """Adds the probability that a text is toxic.
 
-    Null, empty and wordless texts have the score of a text without any entry. A
-    column of the same name is replaced; rows come back as often as they are there.
+    Null, empty and wordless texts have the score of a text without any entry. Texts are
+    read whole, however long. Of entries that begin at the same place the weightiest counts, of
+    equal ones the later in the lexicon. A column of the same name is replaced; rows come
+    back as often as they are there; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 

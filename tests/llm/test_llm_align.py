@@ -140,5 +140,6 @@ def test_any_text_has_the_groups_of_its_offsets(texts):
         assert (list(one), list(other)) == tuple([i for i, _ in side] for side in want)
     if texts:
         rows = own.rows(texts)
-        for text, groups in zip(texts, rows[2].to_pylist()):
+        assert own.rows(texts, written=True)[3].to_pylist() == [plain.groups(t) for t in texts]
+        for text, groups in zip(texts, rows[3].to_pylist()):
             assert ";".join("|".join(",".join(map(str, g[k])) for k in "ab") for g in groups) == plain.groups(text)
