@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lurewatch.functions.arrays import present
 from lurewatch.operators import attachments, authentication, content, domains, headers, links, sender
@@ -102,6 +103,53 @@ DEFAULT_ANALYZERS = (
 )
 
 
+#: A user's own analyzer: findings of each mail of a batch, as dicts with some of the fields of FINDING.
+BatchFunction = Callable[[pa.RecordBatch], list[list[dict]]]
+FINDING_TYPE = pa.list_(
+    pa.struct([
+        *[(n, pa.string()) for n in ("title", "category", "severity", "description", "evidence", "recommendation", "location")],
+        ("confidence", pa.float64()), ("tags", pa.list_(pa.string())),
+    ])
+)
+
+
+def batch_analyzer(fields: Sequence[str], *functions: BatchFunction, name: str = "python") -> Analyzer:
+    """Analyzers written as Python functions over Arrow batches of mails, as one of the chain.
+
+    The functions see the columns `fields`; all of them share one crossing into
+    Python, and nothing is shuffled. Their findings come in the order of the functions.
+    What a finding leaves out is empty, its confidence 1; a `title` and a
+    `severity` that exists are needed, or the job fails.
+    """
+
+    def checked(found: dict) -> dict:
+        unknown = set(found) - {f.name for f in FINDING_TYPE.value_type}
+        if unknown or not found.get("title"):
+            raise ValueError(f"not a finding: {found!r}")
+        if found.get("severity") not in SEVERITY_POINTS:
+            raise ValueError(f"unknown severity: {found.get('severity')!r}")
+        empty = {f.name: "" for f in FINDING_TYPE.value_type} | {"confidence": 1.0, "tags": [], "category": name}
+        return empty | found
+
+    def apply(mail: DataFrame, rules: RuleSet) -> DataFrame:
+        seen = [mail.columns.index(f) for f in fields]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shown = pa.RecordBatch.from_arrays([batch.column(i) for i in seen], names=list(fields))
+                results = [f(shown) for f in functions]
+                if any(len(r) != batch.num_rows for r in results):
+                    raise ValueError("one list of findings per mail is needed")
+                rows = [[checked(x) for found in per_mail for x in found] for per_mail in zip(*results)] if results else [[]] * batch.num_rows
+                arrays = [*batch.columns, pa.array(rows, FINDING_TYPE)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, f"findings_{name}"])
+
+        added = T.StructType.fromDDL(f"findings_{name} array<{FINDING}>")
+        return mail.mapInArrow(run, T.StructType([*mail.schema.fields, *added.fields]))
+
+    return Analyzer(name, apply)
+
+
 def run_analysis(
     mail: DataFrame,
     rules: RuleSet | None = None,

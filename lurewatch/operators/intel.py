@@ -19,6 +19,7 @@ from lurewatch.rules.fixed import (
     SUSPICIOUS_MALICIOUS_MIN,
     SUSPICIOUS_VOTES_MIN,
 )
+from lurewatch.session import shared_folder
 
 VOTES = ("malicious", "suspicious", "harmless", "undetected")
 
@@ -124,3 +125,37 @@ def _distinct_hrefs(mail: DataFrame) -> DataFrame:
         .filter("url <> ''")
         .distinct()
     )
+
+
+#: Fixed by the services: URLs a call takes, seconds between calls, and calls a day.
+URLS_PER_CALL, CALL_SECONDS, CALLS_PER_DAY = 500, 15, 500
+
+
+def url_calls(
+    urls: DataFrame, per_call: int = URLS_PER_CALL, seconds: int = CALL_SECONDS, per_day: int = CALLS_PER_DAY
+) -> DataFrame:
+    """(url, call, place, day, second): which call asks for each distinct URL, and when it may be made.
+
+    Calls are full but the last, in order of URL; `second` counts from the start of `day`, both from 0.
+    URLs are numbered without a gap by counts per sorted part: the driver sees one number a
+    part, and no task sees more than its own.
+    """
+    spark = urls.sparkSession
+    target = shared_folder(spark, "urls")
+    ordered = urls.select("url").filter("url <> ''").distinct().repartitionByRange("url").sortWithinPartitions("url")
+    # the id holds the part in its high bits and the place within it in the low 33
+    ordered.withColumn("at", F.monotonically_increasing_id()).write.parquet(target)
+    numbered = spark.read.schema("url string, at bigint").parquet(target).withColumn("part", F.shiftright("at", 33))
+    counts = {r.part: r.n for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for part in sorted(counts):
+        offsets.append((part, before))
+        before += counts[part]
+    starts = spark.createDataFrame(offsets, "part bigint, before bigint")
+    number = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    called = numbered.join(F.broadcast(starts), "part").select("url", number.alias("n"))
+    call = F.floor(F.col("n") / per_call)
+    return called.select(
+        "url", call.alias("call"), (F.col("n") % per_call).cast("int").alias("place"),
+        F.floor(call / per_day).alias("day"), ((call % per_day) * seconds).cast("int").alias("second"),
+    )

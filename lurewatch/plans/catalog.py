@@ -13,6 +13,7 @@ from lurewatch.operators import (
     analysis,
     attachments,
     authentication,
+    brandbook,
     content,
     domains,
     headers,
@@ -20,6 +21,7 @@ from lurewatch.operators import (
     links,
     listing,
     mailfacts,
+    phrasebook,
     reports,
     sender,
     training,
@@ -30,6 +32,7 @@ from lurewatch.session import shared_folder
 from lurewatch.sources import derived, eml, store
 from lurewatch.sources.derived import table
 from lurewatch.sources.mailfiles import open_store
+from lurewatch.streaming.quiz import read_scores, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = RuleSet.builtin()
@@ -437,6 +440,17 @@ def dom_brand_match(spark, folder):
     )
 
 
+@query
+def dom_brand_table(spark, folder):
+    """The same from a table of brands, by variants of labels."""
+    found = brandbook.brand_hits(_checked(spark, folder), brandbook.brand_table(spark, RULES)).filter("hit IS NOT NULL")
+    near = domains.is_typosquat(F.col("hit"))
+    return found.select(
+        "domain", F.col("hit.name").alias("brand"),
+        F.when(near, "typosquatting").otherwise("brand-keyword").alias("rule"), F.when(near, F.col("hit.distance")).alias("distance"),
+    )
+
+
 # --- attachments and content ------------------------------------------------
 
 
@@ -487,6 +501,14 @@ def txt_signals(spark, folder):
     )
 
 
+@query
+def txt_signals_table(spark, folder):
+    """The same from a table of phrases, by their rarest pieces."""
+    mail = phrasebook.with_signals(derived.mail(spark, folder), phrasebook.phrase_table(spark, RULES))
+    rows = rows_of(mail, "email_id", item="signals", name="s").withColumn("signal", F.col("s.key"))
+    return _found(rows, content.signal_finding(F.col("s")), "email_id", "signal")
+
+
 @query
 def txt_multi_signal(spark, folder):
     mail = _signal_mail(spark, folder)
@@ -584,6 +606,28 @@ def analysis_summary(spark, folder):
     return _summary_text(store.to_stored(_analyzed(spark, folder)))
 
 
+def _shouting(batch):
+    """A user's own analyzer: three exclamation marks or more."""
+    counts = [t.count("!") for t in batch.column("searched").to_pylist()]
+    return [[{"title": "Shouting", "severity": "low", "evidence": str(n)}] if n >= 3 else [] for n in counts]
+
+
+def _unsigned(batch):
+    """Another one: no message id, and no name shown."""
+    rows = zip(batch.column("message_id").to_pylist(), batch.column("from_display_name").to_pylist())
+    return [[{"title": "Unsigned", "severity": "info", "confidence": 0.5}] if not (i or n) else [] for i, n in rows]
+
+
+@query
+def findings_own(spark, folder):
+    """Two analyzers in Python behind the seven, in one crossing."""
+    mail = derived.mail(spark, folder).withColumn("searched", F.concat_ws("\n", "subject", "text_body"))
+    own = analysis.batch_analyzer(["searched", "message_id", "from_display_name"], _shouting, _unsigned)
+    found = corpus.analyze_mail(mail, RULES, [*analysis.DEFAULT_ANALYZERS, own])
+    rows = rows_of(found, "email_id", "risk_score", item="findings", name="f").filter("f.category = 'python'")
+    return rows.select("email_id", "f.ordinal", "f.title", "f.severity", "f.evidence", "f.confidence")
+
+
 # --- reports ----------------------------------------------------------------
 
 
@@ -619,6 +663,17 @@ def quiz_score(spark, folder):
     return training.quiz_score_with_total(_graded(spark, folder), "user_id").drop("of_all")
 
 
+@query
+def quiz_score_stream(spark, folder):
+    """Per user, from answers as they arrive."""
+    target = shared_folder(spark, "quiz")
+    schema = table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    answers = derived.answers_of(events, table(spark, folder, "documents").count())
+    score_stream(answers, derived.samples(spark, folder), target, f"{target}-checkpoint").awaitTermination()
+    return read_scores(spark, target)
+
+
 @query
 def quiz_verdict(spark, folder):
     scores = training.quiz_score(_graded(spark, folder), "user_id")
@@ -708,6 +763,14 @@ def intel_url_join(spark, folder):
     )
 
 
+@query
+def intel_url_calls(spark, folder):
+    """All URLs of pages and links in calls of 500, with their time."""
+    pages = table(spark, folder, "pages").select("url")
+    links = _links(spark, folder).select(F.col("l.href").alias("url"))
+    return intel.url_calls(pages.unionByName(links))
+
+
 @query
 def intel_url_id(spark, folder):
     pages = table(spark, folder, "pages")

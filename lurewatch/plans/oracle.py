@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from lurewatch.operators import reports
+from lurewatch.operators.intel import CALL_SECONDS, CALLS_PER_DAY, URLS_PER_CALL
 from lurewatch.rules import RuleSet, fixed
 from lurewatch.rules.messages import MESSAGES, SIGNAL_MESSAGES
 from lurewatch.sources import derived
@@ -770,13 +771,25 @@ QUERIES: dict[str, str] = {
     "text_normalize": r"""SELECT 'document' AS kind, doc_id AS id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM documents
       UNION ALL SELECT 'page', page_id, regexp_replace(html, '<[^>]+>', '', 'g') FROM pages""",
 }
+QUERIES["dom_brand_table"] = QUERIES["dom_brand_match"]
+QUERIES["quiz_score_stream"] = QUERIES["quiz_score"] + " WHERE user_id IS NOT NULL"
+QUERIES["intel_url_calls"] = f"""SELECT url, n // {URLS_PER_CALL} AS call, CAST(n % {URLS_PER_CALL} AS INTEGER) AS place,
+    n // {URLS_PER_CALL} // {CALLS_PER_DAY} AS day, CAST(n // {URLS_PER_CALL} % {CALLS_PER_DAY} * {CALL_SECONDS} AS INTEGER) AS second
+  FROM (SELECT url, row_number() OVER (ORDER BY url) - 1 AS n FROM (SELECT url FROM pages WHERE url <> '' UNION SELECT url FROM href))"""
+QUERIES["findings_own"] = """SELECT email_id, CAST(row_number() OVER (PARTITION BY email_id ORDER BY title)
+    + (SELECT count(*) FROM finding f WHERE f.email_id = own.email_id) AS INTEGER) AS ordinal, title, severity, evidence, confidence
+  FROM (SELECT email_id, 'Shouting' AS title, 'low' AS severity, CAST(n AS VARCHAR) AS evidence, CAST(1 AS DOUBLE) AS confidence
+        FROM (SELECT email_id, length(said) - length(replace(said, '!', '')) AS n
+              FROM (SELECT email_id, concat(subject, text_body) AS said FROM mail)) WHERE n >= 3
+        UNION ALL SELECT email_id, 'Unsigned', 'info', '', 0.5 FROM mail WHERE message_id = '' AND from_display_name = '') own"""
 for _name, _, _ in FINDING_RULES:
     QUERIES[_name] = _rule_select(_name).replace("SELECT email_id, pos,", "SELECT email_id, CAST(pos AS INTEGER) AS pos,")
 
 
 def oracle_sql() -> dict[str, str]:
     """Each query with just the intermediate tables it uses."""
-    return {name: _with(sql) for name, sql in QUERIES.items()}
+    same = {"txt_signals_table": "txt_signals"}
+    return {name: _with(sql) for name, sql in (QUERIES | {n: QUERIES[o] for n, o in same.items()}).items()}
 
 
 def _with(sql: str) -> str:

@@ -333,8 +333,14 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
 def quiz_answers(spark: SparkSession, folder: str) -> DataFrame:
     """One answer per event; half of the sample ids exist nowhere."""
     n = table(spark, folder, "documents").select(F.count(F.lit(1))).scalar()
-    return table(spark, folder, "events").select(
+    return answers_of(table(spark, folder, "events"), n).drop("ts")
+
+
+def answers_of(events: DataFrame, n: Column | int) -> DataFrame:
+    """The same of given events, also of a stream, with their time; `n` is the number of documents."""
+    return events.select(
         "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
         ((F.col("event_id") * 7) % (n * 2)).alias("sample_id"),
         (F.col("event_id") % 3 == 0).alias("user_answer"),
