@@ -32,6 +32,8 @@ from lurewatch.llm.simhash import LOWER, components
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 SEED = 42
+#: Bits of the map that tells tasks which rows to hand on: 8 MB.
+BITMAP = 1 << 26
 #: Centres of a bucket grow by this factor from round to round.
 MORE = 16
 #: Candidates whose sketches agree in fewer bins are no links: by chance bins agree one time in four, and of the
@@ -140,6 +142,25 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(other) - both)
 
 
+def likely(rows: DataFrame, number: Column, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose `number` may be in a column of longs: all that are, and few others while that is short.
+
+    A bitmap of BITMAP bits goes to the tasks, 8 MB whatever the tables hold; what it lets
+    through is to be joined. So rows that are not wanted are not dealt out.
+    """
+
+    def place(value: Column) -> Column:
+        return F.pmod(value, F.lit(BITMAP))
+
+    blocks = wanted.select(place(F.col(column)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__block"))
+    blocks = scratch(blocks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits")), "minhash-bitmap")
+    marked = rows.withColumn("__p", place(number)).withColumn("__block", F.bitmap_bucket_number("__p"))
+    position = F.bitmap_bit_position("__p")
+    byte = F.conv(F.hex(F.substr("__bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("getbit", byte, (position % 8).cast("int")) == 1
+    return marked.join(F.broadcast(blocks), "__block").filter(held).drop("__p", "__block", "__bits")
+
+
 def confirmed(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The candidates (a, b) that are links by the full sets of `nodes`."""
 
@@ -149,6 +170,8 @@ def confirmed(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             near = pa.array([similar(x, y, percent) for x, y in zip(*sets)], pa.bool_())
             yield batch.select(["a", "b"]).filter(near)
 
+    ends = edges.select(F.explode(F.array("a", "b")).alias("set_key")).select(F.xxhash64("set_key").alias("node"))
+    nodes = likely(nodes, F.xxhash64("set_key"), ends, "node")
     left, right = (nodes.select(F.col("set_key").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     both = edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
     return scratch(both.mapInArrow(check, "a binary, b binary"), "minhash-links")
@@ -275,6 +298,7 @@ def _nodes(named: DataFrame, distinct: DataFrame, members: DataFrame, words: int
     """
     wanted = distinct.join(members.select(F.col("key").alias("set_key")).distinct(), "set_key", "left_semi")
     wanted = scratch(wanted.select(id_text("doc_id").alias("__id"), "text_hash"), "minhash-wanted")
-    texts = named.withColumn("__id", id_text("doc_id")).join(wanted, ["__id", "text_hash"], "left_semi")
+    texts = likely(named.withColumn("__id", id_text("doc_id")), F.col("text_hash"), wanted, "text_hash")
+    texts = texts.join(wanted, ["__id", "text_hash"], "left_semi")
     rows = add_sets(texts.select("text"), "text", words)
     return scratch(rows.groupBy("set_key").agg(F.first("shingles").alias("shingles")), "minhash-nodes")
