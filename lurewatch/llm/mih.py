@@ -8,6 +8,10 @@ by each of them. If codes are within radius r, then in some of m substrings they
 are within r // m; those buckets are probed, what they hold is verified on the
 whole code, and all within the radius are reranked by their inner products.
 
+Every query has a radius of its own: that of its nearest rows in a small sample, and
+some bits more. A query in a cluster probes little, an isolated one far. Queries that
+find too few rows ask again, round by round with a larger radius, up to all bits.
+
 Queries go to all tasks in chunks of bounded size; each task keeps its best, and
 the best of all tasks are ranked once more.
 """
@@ -27,10 +31,12 @@ from lurewatch.llm.common import scratch
 BITS = 64
 #: Vectors the rotation and the radius are learned from, at most about this many: a bounded sample by a hash of the id.
 SAMPLE = 20_000
-#: Share of the sample's true neighbours that the radius must take in.
-WANTED = 0.97
-#: Queries of the sample for the radius.
-TRIALS = 400
+#: Vectors that tell how far a query must look, at most; nearest ones of them it must take in; and bits more.
+GAUGE = 2000
+GAUGE_NEAREST = 8
+MORE_BITS = 1
+#: Bits by which a query that found too little looks farther.
+FARTHER = 8
 TURNS = 30
 #: Bytes of query vectors that go to the tasks at once; rows indexed and queries asked together.
 QUERY_BYTES = 16 * 1024 * 1024
@@ -53,7 +59,6 @@ class Coder:
     mean: np.ndarray
     turn: np.ndarray
     norm: float
-    radius: int
 
     @property
     def bytes(self) -> int:
@@ -67,8 +72,8 @@ class Coder:
         return np.packbits((filled - self.mean) @ self.turn > 0, axis=1)
 
 
-def learn(sample: np.ndarray, norm: float, neighbours: int, bits: int = BITS) -> Coder:
-    """The rotation, and the radius that takes in the wanted share of true neighbours in the sample."""
+def learn(sample: np.ndarray, norm: float, bits: int = BITS) -> Coder:
+    """The rotation."""
     scaled = sample / norm
     filled = np.column_stack((scaled, np.sqrt(np.clip(1 - (scaled**2).sum(axis=1), 0, None))))
     mean = filled.mean(axis=0)
@@ -81,40 +86,59 @@ def learn(sample: np.ndarray, norm: float, neighbours: int, bits: int = BITS) ->
         signs = np.where(flat @ turn > 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(signs.T @ flat)
         turn = (left @ right).T
-    coder = Coder(mean, directions @ turn, norm, 0)
-    stored, asked = coder.codes(sample, False), coder.codes(sample[:TRIALS], True)
-    found = []
-    for i in range(len(asked)):
-        scores = sample @ sample[i]
-        scores[i] = -np.inf
-        best = np.argsort(-scores, kind="stable")[: min(neighbours, len(sample) - 1)]
-        found.append(np.bitwise_count(stored[best] ^ asked[i]).sum(axis=1))
-    every = np.sort(np.concatenate(found)) if found else np.zeros(0)
-    coder.radius = int(every[min(len(every) - 1, int(np.ceil(WANTED * len(every))))]) if len(every) else 8 * coder.bytes
-    return coder
-
-
-def within(asked: np.ndarray, stored: np.ndarray, radius: int) -> np.ndarray:
-    """For all queries and a block of rows, whether the codes are within the radius, by probing the substrings' buckets."""
-    parts = stored.shape[1]
-    found = np.zeros((len(asked), len(stored)), bool)
-    asked_words, stored_words = _words(asked), _words(stored)
-    least, more = divmod(radius, parts)
+    return Coder(mean, directions @ turn, norm)
+
+
+def radii(coder: Coder, gauge: np.ndarray, gauge_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """How far each query looks: as far as its nearest vectors of the gauge, and a little more."""
+    stored = _words(coder.codes(gauge, False))
+    found = np.full(len(asked), 8 * coder.bytes)
+    for at in range(0, len(asked), ASKED):
+        part = slice(at, at + ASKED)
+        scores = asked[part] @ gauge.T
+        own = ids[part][:, None] == gauge_ids
+        scores[own] = -np.inf
+        count = min(GAUGE_NEAREST, scores.shape[1])
+        if not count:
+            continue
+        best = np.argpartition(-scores, count - 1, axis=1)[:, :count]
+        apart = sum(np.bitwise_count(a[:, None] ^ b[best]) for a, b in zip(_words(coder.codes(asked[part], True)), stored))
+        # what is no candidate tells nothing
+        apart = np.where(np.isfinite(np.take_along_axis(scores, best, axis=1)), apart, 0)
+        found[part] = np.minimum(apart.max(axis=1) + MORE_BITS, 8 * coder.bytes)
+    return found
+
+
+class Index:
+    """A block of codes: for each substring its rows by key."""
+
+    def __init__(self, stored: np.ndarray):
+        self.size, self.words = len(stored), _words(stored)
+        self.orders = [np.argsort(column, kind="stable") for column in stored.T]
+        self.begins = [np.searchsorted(column[order], np.arange(257)) for column, order in zip(stored.T, self.orders)]
+
+
+def within(asked: np.ndarray, index: Index, radius: np.ndarray) -> np.ndarray:
+    """For all queries and a block of rows, whether codes are within each query's radius, by probing the substrings' buckets."""
+    parts = asked.shape[1]
+    found = np.zeros((len(asked), index.size), bool)
+    words = _words(asked)
+    least, more = np.divmod(radius, parts)
     for j in range(parts):
+        order, begins = index.orders[j], index.begins[j]
         # the first substrings are probed to radius // parts, the others to one less: that takes in every code
-        reach = least if j <= more else least - 1
-        if reach < 0:
-            continue
-        order = np.argsort(stored[:, j], kind="stable")
-        begins = np.searchsorted(stored[order, j], np.arange(257))
-        for key in np.unique(asked[:, j]):
-            near = np.flatnonzero(DISTANCE[key] <= reach)
+        reach = np.where(j <= more, least, least - 1)
+        for probe in np.unique(reach * 256 + asked[:, j].astype(np.int64)).tolist():
+            far, key = divmod(probe, 256)
+            if far < 0:
+                continue
+            near = np.flatnonzero(DISTANCE[key] <= far)
             rows = np.concatenate([order[begins[k] : begins[k + 1]] for k in near])
             if not len(rows):
                 continue
-            who = np.flatnonzero(asked[:, j] == key)
-            apart = sum(np.bitwise_count(a[who][:, None] ^ b[rows]) for a, b in zip(asked_words, stored_words))
-            q, r = np.nonzero(apart <= radius)
+            who = np.flatnonzero((asked[:, j] == key) & (reach == far))
+            apart = sum(np.bitwise_count(a[who][:, None] ^ b[rows]) for a, b in zip(words, index.words))
+            q, r = np.nonzero(apart <= radius[who][:, None])
             found[who[q], rows[r]] = True
     return found
 
@@ -145,8 +169,8 @@ def nearest(
     id is no candidate. Rows without an id, and vectors that are null, zero, of
     another dimension than most, or hold null or non-finite components, take no part. Of
     several rows with a query's id one is asked; a repeated candidate is listed as
-    often as it is there. Queries with fewer candidates than `neighbours` list all
-    within the radius, and all there are if the table is no larger.
+    often as it is there. Every query lists `neighbours` rows, or all candidates if
+    there are fewer. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
@@ -158,10 +182,10 @@ def nearest(
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     steps = 1 << 20
     share = steps if facts.n <= sample_rows else max(1, steps * sample_rows // facts.n)
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(steps)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").toArrow()
-    coder = learn(_matrix(sample["embedding"].combine_chunks(), facts.d), facts.norm, neighbours)
-    if facts.n <= neighbours + 1:
-        coder.radius = 8 * coder.bytes
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(steps)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").toArrow()
+    learnt = _matrix(sample["embedding"].combine_chunks(), facts.d)
+    coder = learn(learnt, facts.norm)
+    gauge, gauge_ids = learnt[:GAUGE], sample["vec_id"].to_numpy()[:GAUGE]
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = scratch(queries, "mih-queries")
     chunks = -(-queries.count() * facts.d * 8 // query_bytes) or 1
@@ -171,13 +195,27 @@ def nearest(
         table = part.toArrow()
         ids = table["vec_id"].to_numpy()
         asked = _matrix(table["embedding"].combine_chunks(), facts.d)
-        order = np.argsort(ids)
-        sent = spark.sparkContext.broadcast((coder, ids[order], asked[order]))
-        best = rows.mapInArrow(_search(sent, neighbours), schema)
-        found.append(best if chunks == 1 else scratch(best, "mih-found"))
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    every_found = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(ranked))
-    return every_found.filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+        radius = radii(coder, gauge, gauge_ids, asked, ids)
+        while len(ids):
+            sent = spark.sparkContext.broadcast((coder, ids, asked, radius))
+            best = _ranked(rows.mapInArrow(_search(sent, neighbours), schema), neighbours)
+            best = scratch(best, "mih-found")
+            counts = best.groupBy("query_id").agg(F.count("*").alias("n")).toArrow()
+            got = dict(zip(counts["query_id"].to_pylist(), counts["n"].to_pylist()))
+            short = np.array([got.get(i, 0) < neighbours for i in ids.tolist()]) & (radius < 8 * coder.bytes)
+            if short.any():
+                again = spark.createDataFrame([(i,) for i in ids[short].tolist()], "query_id bigint")
+                best = best.join(again, "query_id", "left_anti")
+            found.append(best)
+            ids, asked, radius = ids[short], asked[short], np.minimum(radius[short] + FARTHER, 8 * coder.bytes)
+    none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return reduce(DataFrame.unionByName, found, none)
+
+
+def _ranked(found: DataFrame, count: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _matrix(lists: pa.Array, dimension: int) -> np.ndarray:
@@ -186,7 +224,7 @@ def _matrix(lists: pa.Array, dimension: int) -> np.ndarray:
 
 def _search(sent, neighbours: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, query_ids, queries = sent.value
+        coder, query_ids, queries, radius = sent.value
         if not len(query_ids):
             return
         asked = coder.codes(queries, True)
@@ -194,9 +232,9 @@ def _search(sent, neighbours: int):
         best_scores = [np.zeros(0)] * len(query_ids)
 
         def block(ids: np.ndarray, vectors: np.ndarray) -> None:
-            stored = coder.codes(vectors, False)
+            index = Index(coder.codes(vectors, False))
             for at in range(0, len(query_ids), ASKED):
-                near = within(asked[at : at + ASKED], stored, coder.radius)
+                near = within(asked[at : at + ASKED], index, radius[at : at + ASKED])
                 for i, row in enumerate(near, at):
                     rows = np.flatnonzero(row)
                     rows = rows[ids[rows] != query_ids[i]]

@@ -144,8 +144,11 @@ def test_codes_within_a_radius():
     for parts in (1, 3, 8, 9):
         stored, asked = (rng.integers(0, 256, (n, parts), dtype=np.uint8) for n in (200, 30))
         apart = np.bitwise_count(asked[:, None] ^ stored).sum(axis=2)
+        index = mih.Index(stored)
         for radius in (0, 1, parts, 2 * parts + 1, 4 * parts, 8 * parts):
-            assert (mih.within(asked, stored, radius) == (apart <= radius)).all()
+            assert (mih.within(asked, index, np.full(30, radius)) == (apart <= radius)).all()
+        mixed = rng.integers(0, 8 * parts + 1, 30)
+        assert (mih.within(asked, index, mixed) == (apart <= mixed[:, None])).all()
 
 
 def test_kneser_ney_probabilities_sum_to_one():
