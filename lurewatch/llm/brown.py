@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lurewatch.llm.common import once, scratch, slices
-from lurewatch.llm.pieces import PieceTable, grouped, word_starts
+from lurewatch.llm.pieces import TOGETHER, PieceTable
 from lurewatch.llm.simhash import LOWER
 
 #: The end of a text, as a token; no word holds white space.
@@ -47,18 +47,40 @@ AT_ONCE = 1 << 21
 BLOCK = 1 << 18
 #: Counts up to this have their steps in the likelihood looked up.
 LOOKED_UP = 16
+#: Tables of more classes keep these steps in single precision.
+SINGLE = 32
 
 
 def tokens(text: str | None) -> list[str]:
     """Lower-case words and the end."""
-    return [*spaced(text).split(" ")[1:], END]
+    return [*spaced(text).decode("utf-8", "surrogatepass").split(" ")[1:], END]
 
 
-def spaced(text: str | None) -> str:
+def spaced(text: str | None) -> bytes:
     """The lower-case words, each after one space."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
     # bytes divide at ASCII white space only
-    return b"".join(b" " + w for w in raw.split()).decode("utf-8", "surrogatepass")
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return b" " + b" ".join(words) if words else b""
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Spaced texts in groups of bounded length, one text at least."""
+    some, held = [], 0
+    for text in texts:
+        some.append(spaced(text))
+        held += len(some[-1])
+        if held >= TOGETHER:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+def _looked_up(table: PieceTable, texts: list[bytes]) -> list[np.ndarray]:
+    """Of each spaced text what the table has for its words; a word goes with its space."""
+    raw = b"".join(texts)
+    starts = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    return table.look_up(raw, starts, np.searchsorted(starts, np.cumsum([0, *map(len, texts)])))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -66,7 +88,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
-        table = PieceTable(lambda new: [[held.setdefault(w, len(held))] for w in new], word_starts)
+        table = PieceTable(lambda new: [[held.setdefault(w, len(held))] for w in new])
         counts, ends = np.zeros(0, np.int64), 0
 
         def rows() -> pa.RecordBatch:
@@ -74,8 +96,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
         for batch in slices(batches):
-            for some in grouped([spaced(t) for t in batch.column(0).to_pylist()]):
-                found = np.concatenate(table.ids_of(some))
+            for some in _groups(batch.column(0).to_pylist()):
+                found = np.concatenate(_looked_up(table, some))
                 more = np.bincount(found, minlength=len(held))
                 more[: len(counts)] += counts
                 counts, ends = more, ends + len(some)
@@ -127,10 +149,14 @@ class Index:
     def __init__(self, known: Vocabulary):
         self.order = np.argsort(known.hashes)
         self.sorted = known.hashes[self.order]
-        self.table = PieceTable(self._places, word_starts)
+        self.table = PieceTable(self._places)
 
     def of(self, words: list[str]) -> np.ndarray:
-        hashes = np.fromiter(map(hash_of, words), np.uint64, len(words))
+        return self._of([w.encode("utf-8", "surrogatepass") for w in words])
+
+    def _of(self, words: list[bytes]) -> np.ndarray:
+        digest = xxhash.xxh64_intdigest
+        hashes = np.fromiter((digest(w, 42) for w in words), np.uint64, len(words))
         if not len(self.sorted):
             return np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
@@ -138,12 +164,12 @@ class Index:
 
     def _places(self, words: list[bytes]) -> list[list[int]]:
         # as unsigned numbers of 32 bits
-        return [[p & 0xFFFFFFFF] for p in self.of([w[1:].decode() for w in words]).tolist()]
+        return [[p & 0xFFFFFFFF] for p in self._of([w[1:] for w in words]).tolist()]
 
-    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+    def of_texts(self, texts: list[bytes]) -> list[np.ndarray]:
         """Places of each `spaced` text's words, and of the end."""
         end = self.of([END]).astype(np.int32)
-        return [np.concatenate((x.view(np.int32), end)) for x in self.table.ids_of(texts)]
+        return [np.concatenate((x.view(np.int32), end)) for x in _looked_up(self.table, texts)]
 
 
 def _index(known: Vocabulary) -> Index:
@@ -161,7 +187,7 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
         index = _index(sent.value)
         for batch in slices(batches):
             at = 0
-            for some in grouped([spaced(t) for t in batch.column(2).to_pylist()]):
+            for some in _groups(batch.column(2).to_pylist()):
                 found = index.of_texts(some)
                 rare = [_rare(text, ids) for text, ids in zip(some, found)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -176,12 +202,12 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return scratch(docs.select("doc_id", "taught", "text").mapInArrow(run, ENCODED), "brown-ids")
 
 
-def _rare(text: str, ids: np.ndarray) -> Counter:
+def _rare(text: bytes, ids: np.ndarray) -> Counter:
     places = np.flatnonzero(ids[:-1] < 0).tolist()
     if not places:
         return Counter()
-    words = text.split(" ")
-    return Counter(words[i + 1] for i in places)
+    words = text.split(b" ")
+    return Counter(words[i + 1].decode() for i in places)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -272,7 +298,7 @@ def _f(x: np.ndarray) -> np.ndarray:
 
 
 class Steps:
-    """What adding 1, 2, ... to each cell of a table gives: computed once, looked up for every word."""
+    """What adding 1, 2, ... to each cell of a table gives: computed once, used for every word."""
 
     def __init__(self, table: np.ndarray):
         self.table, own = table, len(table) - 1
@@ -280,6 +306,19 @@ class Steps:
         # rows: direction, count, other class; columns: the class a word may join
         sides = [_f(cells[:own].T + more) - _f(cells[:own].T) for cells in (table, table.T)]
         self.steps = np.concatenate([x.reshape(-1, own) for x in sides])
+        if len(table) > SINGLE:
+            self.steps = self.steps.astype(np.float32)
+
+    def summed(self, side: int, counts: np.ndarray) -> np.ndarray:
+        """For each word (a row of counts of other classes) the sum over its cells, per class it may join."""
+        found = np.zeros((len(counts), len(self.table) - 1))
+        row, d = np.nonzero(counts)
+        n = counts[row, d]
+        for at in range(0, len(row), BLOCK // 4):
+            part = slice(at, at + BLOCK // 4)
+            first = np.flatnonzero(np.diff(row[part], prepend=-1))
+            found[row[part][first]] += np.add.reduceat(self.of(side, n[part], d[part]), first)
+        return found
 
     def of(self, side: int, n: np.ndarray, other: np.ndarray) -> np.ndarray:
         """One row per count and other class."""
@@ -305,12 +344,7 @@ def gains(
     own, rows = len(table) - 1, np.arange(len(old))
     gain = np.zeros((len(old), own))
     for side, counts in enumerate((after, before)):
-        row, d = np.nonzero(counts)
-        for at in range(0, len(row), BLOCK // 4):
-            part = slice(at, at + BLOCK // 4)
-            first = np.flatnonzero(np.diff(row[part], prepend=-1))
-            if len(first):
-                gain[row[part][first]] += np.add.reduceat(steps.of(side, counts[row[part], d[part]], d[part]), first)
+        gain += steps.summed(side, counts)
     # the table still holds the word: in the old class's column and row other words' counts are too high
     for counts, other, cells in ((after, before, table), (before, after, table.T)):
         row, c = np.nonzero((counts[rows, old] > 0)[:, None] & (other[:, :own] > 0))

@@ -202,6 +202,12 @@ class PieceTable:
         if len(raw) > len(codes):
             sizes = 1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)
             starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[starts]
+        return self.look_up(raw, starts, first)
+
+    def look_up(self, raw: bytes, starts: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """The ids of pieces that fill `raw`, by text: first says which piece a text begins with, and where the last one ends."""
+        if not len(starts):
+            return [np.zeros(0, np.uint32) for _ in first[1:]]
         ends = np.append(starts[1:], len(raw))
         padded = np.frombuffer(raw + bytes(INLINE), np.uint8)
         # the eight bytes from each place on
