@@ -7,14 +7,17 @@ random, evenly and alike in all documents (optimal densification). Sets that agr
 in all bins of a band meet in a bucket. With 32 bands of 4 bins two sets of
 similarity 0.8 miss every bucket once in 20 million times.
 
-Equal sets collapse first. In a bucket one set is the centre, and only it is paired with
-the others, so a bucket gives as many candidates as it has sets. A set
-of which no other has enough shingles cannot link and is left out. Every candidate is
-confirmed on the full sets. What a star cannot see is looked for in rounds: as long as
-a bucket holds more than one component, further sets become centres, of many times
-more each round until all have been, and are paired with the sets of other components only.
-First comes the set with the most links, as near copies link to their original.
-So in the end any two sets of a bucket have been compared, or are linked through others.
+Equal sets collapse first. A set of which no other has enough shingles cannot link
+and is left out. In a bucket one set is the hub, and only it is paired with the others, so
+a bucket gives as many candidates as it has sets; all buckets prefer the same hubs. Every
+candidate is confirmed on the full sets.
+
+What a star cannot see is looked for in rounds: as long as a bucket holds more than one
+component, further sets become centres, first those with the most links, then of many
+times more each round until all have been, and are paired with sets of other components.
+What each set lost and gained against its hub bounds what any two can have in common, so
+copies that changed in different places are told apart without being paired. In the
+end any two sets of a bucket have been compared, or cannot link, or are linked through others.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ BINS = BANDS * ROWS
 SEED = 42
 #: Bits of the map that tells tasks which rows to hand on: 8 MB.
 BITMAP = 1 << 26
+#: Bits of the map of shingles that a set has not but its hub has.
+LOST_BITS = 256
 #: Centres of a bucket grow by this factor from round to round.
 MORE = 16
 #: Candidates whose sketches agree in fewer bins are no links: by chance bins agree one time in four, and of the
@@ -161,6 +166,14 @@ def likely(rows: DataFrame, number: Column, wanted: DataFrame, column: str) -> D
     return marked.join(F.broadcast(blocks), "__block").filter(held).drop("__p", "__block", "__bits")
 
 
+def _with_sets(pairs: DataFrame, nodes: DataFrame, one: str, other: str) -> DataFrame:
+    """Pairs of keys with the full sets of both."""
+    ends = pairs.select(F.explode(F.array(one, other)).alias("set_key")).select(F.xxhash64("set_key").alias("node"))
+    nodes = likely(nodes, F.xxhash64("set_key"), ends, "node")
+    left, right = (nodes.select(F.col("set_key").alias(x), F.col("shingles").alias(f"of_{x}")) for x in (one, other))
+    return pairs.join(left, one).join(right, other).select(one, other, f"of_{one}", f"of_{other}")
+
+
 def confirmed(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The candidates (a, b) that are links by the full sets of `nodes`."""
 
@@ -170,11 +183,7 @@ def confirmed(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             near = pa.array([similar(x, y, percent) for x, y in zip(*sets)], pa.bool_())
             yield batch.select(["a", "b"]).filter(near)
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("set_key")).select(F.xxhash64("set_key").alias("node"))
-    nodes = likely(nodes, F.xxhash64("set_key"), ends, "node")
-    left, right = (nodes.select(F.col("set_key").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    both = edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return scratch(both.mapInArrow(check, "a binary, b binary"), "minhash-links")
+    return scratch(_with_sets(edges, nodes, "a", "b").mapInArrow(check, "a binary, b binary"), "minhash-links")
 
 
 def _differ(a: str, b: str) -> Column:
@@ -196,35 +205,84 @@ def _members(distinct: DataFrame) -> DataFrame:
     return scratch(several.join(facts, "key"), "minhash-members")
 
 
+def compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of sets and their hubs (key, hub): whether they are `linked`; how many of the hub's shingles a set has `lost`,
+    how many others it has `gained`, and in `bits` a map of the lost ones by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            linked, lost, gained, bits = [], [], [], []
+            for x, h in zip(*([np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(i)] for i in (2, 3))):
+                place = np.minimum(np.searchsorted(x, h), len(x) - 1)
+                gone = h[x[place] != h]
+                both = len(h) - len(gone)
+                linked.append(100 * both >= percent * (len(x) + len(gone)))
+                lost.append(len(gone))
+                gained.append(len(x) - both)
+                held = np.zeros(LOST_BITS, np.uint8)
+                held[(gone * MIX >> np.uint64(32)) % np.uint64(LOST_BITS)] = 1
+                bits.append(np.packbits(held, bitorder="little").view("<i8"))
+            longs = [pa.array(v, pa.int64()) for v in (lost, gained)]
+            columns = [*batch.columns[:2], pa.array(linked, pa.bool_()), *longs, pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "hub", "linked", "lost", "gained", "bits"])
+
+    fields = "key binary, hub binary, linked boolean, lost bigint, gained bigint, bits array<bigint>"
+    return scratch(_with_sets(pairs, nodes, "key", "hub").mapInArrow(run, fields), "minhash-compared")
+
+
+def _shared_lost() -> Column:
+    """At most how many shingles of their hub two sets both lack: bits they share, and what shares a bit within either."""
+    bit = lambda side: sum((F.bit_count(F.col(side)[i]) for i in range(1, LOST_BITS // 64)), F.bit_count(F.col(side)[0]))
+    both = [F.bit_count(F.col("bits")[i].bitwiseAND(F.col("c_bits")[i])) for i in range(LOST_BITS // 64)]
+    doubled = F.least(F.col("lost") - bit("bits"), F.col("c_lost") - bit("c_bits"))
+    return F.least(F.col("lost"), F.col("c_lost"), sum(both[1:], both[0]) + doubled)
+
+
 def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets that connect all sets of a bucket that are similar."""
-    state = _alive(members, nodes, percent).withColumns({"done": F.lit(False), "root": F.col("key"), "degree": F.lit(0).cast("bigint")})
-    found = tried = None
-    many = 0
+    alive = _alive(members, nodes, percent)
+    hubs = alive.groupBy("bucket").agg(F.max(F.struct("turn", "key", "n", "own", "sketch")).alias("h"))
+    hubs = hubs.select("bucket", F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"c_{c}") for c in ("n", "own", "sketch")])
+    state = scratch(alive.join(hubs, "bucket"), "minhash-state")
+    # no more can be common than is not a set's own
+    common = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
+    alike = lambda both: 100 * both >= percent * (F.col("n") + F.col("c_n") - both)
+    near = _differ("sketch", "c_sketch") <= BINS - LEAST_AGREEMENT
+    pairs = state.filter("key <> hub").filter(alike(common) & near).select("key", "hub").distinct()
+    facts = compared(scratch(pairs, "minhash-pairs"), nodes, percent)
+    ends = [F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")]
+    tried, found = facts.select(*ends), facts.filter("linked").select(*ends)
+    state = state.withColumn("hub_n", F.col("c_n")).drop("c_n", "c_own", "c_sketch")
+    state = _open_buckets(state.withColumn("done", F.col("key") == F.col("hub")), found)
+    state = state.join(facts.drop("linked"), ["key", "hub"], "left")
+    nothing = {"lost": F.lit(0), "gained": F.lit(0), "bits": F.array(*[F.lit(0).cast("bigint")] * (LOST_BITS // 64))}
+    state = state.withColumns({c: F.when(F.col("key") == F.col("hub"), v).otherwise(F.col(c)) for c, v in nothing.items()})
+    # of its hub each has what it has not lost, and of the rest two sets share no more than either has beside its own
+    rest = F.least(F.col("gained") - F.col("own"), F.col("c_gained") - F.col("c_own"))
+    known = F.col("hub_n") - F.col("lost") - F.col("c_lost") + _shared_lost() + rest
+    both = F.least(common, F.coalesce(known, common))
+    many = MORE
     while not state.filter("NOT done").isEmpty():
-        # centres of this round: the set with the most links, and later a growing share by turn
-        rest = state.filter("NOT done")
-        top = rest.groupBy("bucket").agg(F.max(F.struct("degree", "turn", "key")).alias("c")).select("bucket", F.col("c.key").alias("top"))
+        # centres of this round: the set with the most links, and a growing share by turn
+        left = state.filter("NOT done")
+        top = left.groupBy("bucket").agg(F.max(F.struct("degree", "turn", "key")).alias("c")).select("bucket", F.col("c.key").alias("top"))
         now = ~F.col("done") & ((F.col("turn") * F.col("size") < many) | (F.col("key") == F.col("top")))
         state = scratch(state.join(top, "bucket", "left").withColumn("now", F.coalesce(now, F.lit(False))).drop("top"), "minhash-state")
-        centre = state.filter("now").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("key", "n", "own", "root", "sketch")])
+        facts = ("key", "n", "own", "root", "sketch", "lost", "gained", "bits")
+        centre = state.filter("now").select("bucket", *[F.col(c).alias(f"c_{c}") for c in facts])
         # two centres of a round meet once; centres of earlier rounds have met all
         apart = "root <> c_root AND (NOT now OR key < c_key)"
-        # no more can be common than is not a set's own
-        common = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
-        may = 100 * common >= percent * (F.col("n") + F.col("c_n") - common)
-        near = _differ("sketch", "c_sketch") <= BINS - LEAST_AGREEMENT
-        other = state.filter("NOT done").join(centre, "bucket").filter(apart).filter(may & near)
+        other = state.filter("NOT done").join(centre, "bucket").filter(apart).filter(alike(both) & near)
         edges = other.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b")).distinct()
-        edges = scratch(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"), "minhash-tried")
-        tried = edges if tried is None else tried.unionAll(edges)
+        edges = scratch(edges.join(tried, ["a", "b"], "left_anti"), "minhash-tried")
+        tried = tried.unionAll(edges)
         new = confirmed(edges, nodes, percent)
-        found = new if found is None else found.unionAll(new)
+        found = found.unionAll(new)
         state = state.withColumn("done", F.col("done") | F.col("now")).drop("now")
-        if many == 0 or not new.isEmpty():
+        if not new.isEmpty():
             state = _open_buckets(state.drop("root", "degree"), found)
-        many = max(many, 1) * MORE
-    return members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0) if found is None else found
+        many *= MORE
+    return found
 
 
 def _alive(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
