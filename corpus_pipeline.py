@@ -17,29 +17,51 @@ from lurewatch.session import shared_folder
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# In every stage rows keep all their columns, also such with names the operators use, and
+# repeated rows are treated alike. Texts are read whole, however long. An empty table
+# gives an empty table.
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the models know; those that are rejected go."""
+    """Documents in a language the models know; those that are rejected go.
+
+    Null, empty and letterless texts are rejected. Of languages that fit equally well
+    the first in order counts. Without any labelled text to learn from all stay.
+    """
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Null, empty and blank texts are alike and leave one. Of rows with the same id, and of
+    those without one, the smallest hash of the text decides; rows without an id
+    stay only where no row of the group has one. Repeated rows leave one.
+    """
     return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by test items."""
+    """Documents that are not contaminated by test items.
+
+    Null, empty and wordless texts are clean. At exactly one word in twenty a document is
+    contaminated. Without items all stay; repeated items count once.
+    """
     return decontaminate.drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked; `n_chars` is that of the masked text."""
+    """Documents with personal data masked; `n_chars` is that of the masked text.
+
+    A null text stays null with its `n_chars`, an empty one stays empty. Spans that
+    overlap become one, named by the one that begins first, of equal ones the shorter.
+    """
     masked = pii.mask_personal_data(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as token ids, with the text that these decode to."""
+    """Documents as token ids, with the text that these decode to; null and empty texts have none."""
     return bpe.add_tokens(docs, bpe.public_path("byte_bpe_multi_50k.tiktoken"))
 
 

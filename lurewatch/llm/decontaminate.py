@@ -127,7 +127,8 @@ def find_benchmark(
     `window` consecutive words of an item; an item of fewer words is one window;
     one without words has none. Null text has no words. An item without an id is
     searched for, but not listed. With no items, nothing is hit. Repeated items
-    and rows count as themselves. Columns of these names are replaced.
+    and rows count as themselves. Texts are read whole, however long; an empty table gives
+    no rows. Columns of these names are replaced.
 
     Items are sent to the tasks, up to `block_bytes` of text at a time. A larger
     benchmark takes a round for each block: hits of the blocks are then joined.

@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int
 
     The vectors of the sample are dealt out to the shards once. In each pass every shard starts
     from the same model; what comes back is one average per coordinate, whose number
-    is fixed. Without labelled rows the model is empty and every score is 0.5.
+    is fixed. Null and empty texts teach the constant; a document with several labels counts
+    once for each. Without labelled rows the model is empty and every score is 0.5.
     """
     sample = labelled_sample(docs, labels, label, allowed, max_rows)
 
@@ -188,8 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int
 def add_score(docs: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
     """Adds the probability of label 1, from the whole text.
 
-    Null and empty texts have the score of the constant alone. A column of the
-    same name is replaced; rows come back as often as they are there.
+    Null and empty texts have the score of the constant alone. Texts are read whole,
+    however long. A column of the same name is replaced; rows come back as often as they
+    are there; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.weights().astype(np.float32))
 

@@ -214,3 +214,49 @@ def test_shuffled_letters_are_rejected_in_small_tables(spark):
     kept = {r.doc_id for r in langid.keep_known(docs).select("doc_id").collect()}
     assert len(noise) > 20 and sum(i in kept for i, _, _ in noise) < 0.05 * len(noise)
     assert sum(r.doc_id in kept for r in rows) > 0.98 * len(rows)
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    """The rows above, with clashing columns, and an empty table, through all stages."""
+    import corpus_pipeline
+
+    named = docs.withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("bigint")})
+    lessons = [(i, "the words of this text are plain and not long at all " * 3, "en") for i in range(100, 130)]
+    taught = spark.createDataFrame(lessons, "doc_id bigint, text string, lang string")
+    named = named.unionByName(taught, allowMissingColumns=True)
+    for rows, folder in ((named, "some"), (named.limit(0), "none")):
+        here = str(tmp_path / folder)
+        rows.write.parquet(f"{here}/documents.parquet")
+        items = spark.createDataFrame([(1, "mail a b example org now"), (2, None), (3, "")], "item_id bigint, text string")
+        items.write.parquet(f"{here}/benchmark.parquet")
+        state = spark.read.parquet(f"{here}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, state, here).write.parquet(f"{here}/{name}")
+            state = spark.read.parquet(f"{here}/{name}")
+            if name != "bpe":
+                assert state.columns == rows.columns
+        found = state.select("doc_id", "text", "root", "decoded").collect()
+        if folder == "none":
+            assert found == []
+            continue
+        ids = [r.doc_id for r in found]
+        # null, empty and blank texts go, copies leave one, the contaminated one goes
+        assert not {2, 3, 4, 6, 8} & set(ids) and 100 in ids and len(ids) == len(set(ids))
+        assert all(r.root in ("kept", None) and bytes(r.decoded).decode() == r.text for r in found)
+
+
+def test_personal_data_in_long_texts_with_many_matches(spark):
+    """Sixteen times the matches take about sixteen times as long, not its square."""
+    import time
+
+    def took(n):
+        text = " ".join(f"u{i}@x.org 10.0.{i % 256}.{i % 250}" for i in range(n))
+        frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        start = time.time()
+        assert frame.transform(pii.add_personal_data).select(F.size("pii")).first()[0] == 2 * n
+        masked = pii.mask_personal_data(frame).first().text
+        assert masked == " ".join(["<EMAIL> <IP>"] * n)
+        return time.time() - start
+
+    took(100)
+    assert took(16_000) < 5 + 40 * took(1000)
