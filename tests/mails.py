@@ -35,9 +35,9 @@ def _alert(sender: str, mailer: str, ip: str, short: str) -> bytes:
     return compose(
         {
             "From": f"Microsoft Security <security@{sender}>",
-            "To": "victim@example.com",
+            "To": "someone@lagoon.example",
             "Subject": "Urgent notice about your account",
-            "Date": "Thu, 18 Jan 2024 09:00:00 +0000",
+            "Date": "Fri, 07 Mar 2025 06:20:00 +0000",
             "Message-ID": f"<n1@{sender}>",
             "Reply-To": f"security@{sender}",
             "Return-Path": f"<bounce@{mailer}>",
@@ -53,26 +53,26 @@ def _alert(sender: str, mailer: str, ip: str, short: str) -> bytes:
 MAILS: dict[str, bytes] = {
     "simple": compose(
         {
-            "From": "John Doe <john.doe@example.com>",
-            "To": "jane.smith@example.com",
-            "Subject": "Lunch tomorrow",
-            "Date": "Mon, 15 Jan 2024 10:30:00 +0000",
-            "Message-ID": "<abc123@mail.example.com>",
+            "From": "Ines Halvorsen <ines@harbour.example>",
+            "To": "theo@harbour.example",
+            "Subject": "Boat on Sunday",
+            "Date": "Tue, 04 Mar 2025 18:05:00 +0000",
+            "Message-ID": "<h-7@mx.harbour.example>",
         },
-        "Hi Jane,\n\nshall we have lunch?\n",
+        "Hello Theo,\n\nis the boat ready?\n",
     ),
     "multipart": compose(
         {
-            "From": "Newsletter <news@company-example.com>",
-            "To": "reader@example.com",
-            "Subject": "This week",
-            "Date": "Tue, 16 Jan 2024 08:00:00 +0000",
-            "Message-ID": "<w1@company-example.com>",
-            "Reply-To": "noreply@company-example.com",
-            "Return-Path": "<bounce@company-example.com>",
+            "From": "Kiln Club <post@kilnclub.example>",
+            "To": "potter@clay.example",
+            "Subject": "Glaze notes",
+            "Date": "Wed, 05 Mar 2025 07:10:00 +0000",
+            "Message-ID": "<g-3@kilnclub.example>",
+            "Reply-To": "desk@kilnclub.example",
+            "Return-Path": "<back@kilnclub.example>",
         },
-        "News at https://company-example.com/blog\n",
-        '<html><body><h1>This week</h1><a href="https://company-example.com/blog">Our blog</a></body></html>',
+        "News at https://kilnclub.example/glazes\n",
+        '<html><body><h1>Glaze notes</h1><a href="https://kilnclub.example/glazes">All glazes</a></body></html>',
     ),
     "malformed": compose(
         {"From": "broken-sender", "Subject": "=?utf-8?B?not base64?=", "Date": "not-a-real-date"},
@@ -81,11 +81,11 @@ MAILS: dict[str, bytes] = {
     "missing_headers": b'Content-Type: text/plain; charset="utf-8"\n\nThis mail has no headers to speak of.\n',
     "with_attachments": compose(
         {
-            "From": "Sender <sender@example.com>",
-            "To": "recipient@example.com",
+            "From": "Odile Brandt <odile@orchard.example>",
+            "To": "wim@orchard.example",
             "Subject": "A document",
-            "Date": "Wed, 17 Jan 2024 14:00:00 +0000",
-            "Message-ID": "<a1@mail.example.com>",
+            "Date": "Thu, 06 Mar 2025 12:45:00 +0000",
+            "Message-ID": "<o-9@mx.orchard.example>",
         },
         "The document you wanted.\n",
         files=[
@@ -93,88 +93,88 @@ MAILS: dict[str, bytes] = {
             ("invoice.pdf.exe", "application/octet-stream", b"MZ nothing"),
         ],
     ),
-    "phishing_links": _alert("micros0ft-alert.com", "shady-mailer.net", "192.168.1.100", "fake-ms-verify"),
-    "fake-microsoft-alert": _alert("micros0ft-alerts.com", "cheap-mailer.net", "192.168.1.50", "ms-verify-now"),
+    "phishing_links": _alert("micros0ft-desk.com", "postbulk.net", "10.20.30.41", "q7-verify"),
+    "fake-microsoft-alert": _alert("micros0ft-help.com", "manymails.net", "10.20.30.77", "x2-verify"),
     "benign-newsletter": compose(
         {
-            "From": "TechWeekly <newsletter@techweekly-example.com>",
-            "To": "subscriber@example.com",
-            "Subject": "Issue 142",
-            "Date": "Mon, 22 Jan 2024 08:00:00 +0000",
-            "Message-ID": "<i142@mail.techweekly-example.com>",
-            "Reply-To": "newsletter@techweekly-example.com",
-            "Return-Path": "<bounce@techweekly-example.com>",
+            "From": "Pond Letters <letters@pondletters.example>",
+            "To": "heron@marsh.example",
+            "Subject": "Reed bed, part 9",
+            "Date": "Sat, 08 Mar 2025 05:30:00 +0000",
+            "Message-ID": "<r-9@mx.pondletters.example>",
+            "Reply-To": "letters@pondletters.example",
+            "Return-Path": "<back@pondletters.example>",
             "Authentication-Results": auth("pass", "pass", "pass"),
         },
-        "Top stories at https://techweekly-example.com/issue/142\n",
-        '<html><body><a href="https://techweekly-example.com/issue/142">Read on</a>'
-        '<a href="https://techweekly-example.com/unsubscribe">Leave</a></body></html>',
+        "Herons seen at https://pondletters.example/reed/9\n",
+        '<html><body><a href="https://pondletters.example/reed/9">Read on</a>'
+        '<a href="https://pondletters.example/leave">Leave</a></body></html>',
     ),
     "invoice-phish": compose(
         {
-            "From": "Accounting Department <accounting@supplier-invoices.net>",
-            "To": "finance@example.com",
-            "Subject": "Invoice 0891",
-            "Date": "Wed, 24 Jan 2024 09:15:00 +0000",
-            "Message-ID": "<i0891@supplier-invoices.net>",
-            "Reply-To": "payments@supplier-invoices.net",
-            "Return-Path": "<bounce@supplier-invoices.net>",
+            "From": "Accounting Department <desk@quarry-bills.net>",
+            "To": "ledger@bakery.example",
+            "Subject": "Invoice 77-B",
+            "Date": "Sun, 09 Mar 2025 20:40:00 +0000",
+            "Message-ID": "<b77@quarry-bills.net>",
+            "Reply-To": "money@quarry-bills.net",
+            "Return-Path": "<back@quarry-bills.net>",
             "Authentication-Results": auth("softfail", "none", "none"),
         },
         "Please process this payment soon. Questions go to our billing department.\n",
-        files=[("Invoice-0891.xlsm", "application/vnd.ms-excel", b"PK nothing")],
+        files=[("bill-77.xlsm", "application/vnd.ms-excel", b"PK nothing")],
     ),
     "password-reset-legit": compose(
         {
-            "From": "GitHub <noreply@github.com>",
-            "To": "developer@example.com",
-            "Subject": "Reset asked for",
-            "Date": "Thu, 25 Jan 2024 16:45:00 +0000",
-            "Message-ID": "<pw1@github.com>",
-            "Reply-To": "noreply@github.com",
-            "Return-Path": "<noreply@github.com>",
+            "From": "GitHub <hello@github.com>",
+            "To": "coder@workshop.example",
+            "Subject": "You asked to start over",
+            "Date": "Mon, 10 Mar 2025 11:55:00 +0000",
+            "Message-ID": "<s-1@github.com>",
+            "Reply-To": "hello@github.com",
+            "Return-Path": "<hello@github.com>",
             "Authentication-Results": auth("pass", "pass", "pass"),
         },
-        "Choose a new one at\nhttps://github.com/password_reset/confirm?token=abc123example\n",
-        '<html><body><a href="https://github.com/password_reset/confirm?token=abc123example">Go on</a></body></html>',
+        "Choose a new one at\nhttps://github.com/start/confirm?step=2\n",
+        '<html><body><a href="https://github.com/start/confirm?step=2">Go on</a></body></html>',
     ),
     "shipping-notification-phish": compose(
         {
-            "From": "DHL Express <tracking@dhl-delivery-notice.com>",
-            "To": "customer@example.com",
-            "Subject": "Parcel held - Action Required",
-            "Date": "Fri, 26 Jan 2024 11:00:00 +0000",
-            "Message-ID": "<p442@dhl-delivery-notice.com>",
-            "Reply-To": "support@dhl-delivery-notice.com",
-            "Return-Path": "<bounce@mass-mailer.xyz>",
+            "From": "DHL Express <parcels@dhl-depot-north.com>",
+            "To": "neighbour@hill.example",
+            "Subject": "Box at the depot - Action Required",
+            "Date": "Tue, 11 Mar 2025 13:15:00 +0000",
+            "Message-ID": "<d-5@dhl-depot-north.com>",
+            "Reply-To": "boxes@dhl-depot-north.com",
+            "Return-Path": "<back@sendloads.xyz>",
             "Authentication-Results": auth("fail", "none", "fail"),
         },
-        "Click here to have it brought again: https://t.ly/dhl-again\nAnswer within 48 hours.\n",
-        '<html><body><a href="https://t.ly/dhl-again">Bring it again</a></body></html>',
+        "Click here to have it brought again: https://t.ly/box-5\nAnswer within 48 hours.\n",
+        '<html><body><a href="https://t.ly/box-5">Bring it again</a></body></html>',
     ),
     "bank-phish-polish": compose(
         {
-            "From": "mBank Powiadomienia <info@mbank-powiadomienia.pl>",
-            "To": "klient@example.com",
+            "From": "mBank Centrum <biuro@mbank-centrum24.pl>",
+            "To": "sowa@las.example",
             "Subject": "Pilne: konto mBank",
-            "Date": "Sat, 27 Jan 2024 10:00:00 +0000",
-            "Message-ID": "<pl1@mbank-powiadomienia.pl>",
-            "Reply-To": "info@mbank-powiadomienia.pl",
-            "Return-Path": "<bounce@tani-mailer.xyz>",
+            "Date": "Wed, 12 Mar 2025 09:35:00 +0000",
+            "Message-ID": "<c-2@mbank-centrum24.pl>",
+            "Reply-To": "biuro@mbank-centrum24.pl",
+            "Return-Path": "<zwrot@hurtlist.xyz>",
             "Authentication-Results": auth("fail", "none", "fail"),
         },
-        "Twoje konto zostanie zablokowane. Kliknij w link:\nhttp://192.168.10.5/mbank-weryfikacja?sesja=1\n"
+        "Twoje konto zostanie zablokowane. Kliknij w link:\nhttp://10.44.7.9/wejscie?krok=3\n"
         "Weryfikacja konta jest potrzebna natychmiast.\n",
-        '<html><body><a href="http://192.168.10.5/mbank-weryfikacja?sesja=1">https://online.mbank.pl/weryfikacja</a></body></html>',
+        '<html><body><a href="http://10.44.7.9/wejscie?krok=3">https://online.mbank.pl/wejscie</a></body></html>',
     ),
     "gift-card-scam": compose(
         {
-            "From": "CEO John Mitchell <ceo.mitchell@gmail.com>",
-            "To": "assistant@example.com",
-            "Subject": "A favor",
-            "Date": "Sun, 28 Jan 2024 15:30:00 +0000",
-            "Message-ID": "<f1@mail.gmail.com>",
-            "Return-Path": "<ceo.mitchell@gmail.com>",
+            "From": "Uncle Bartholomew <bartholomew.at.sea@gmail.com>",
+            "To": "niece@pier.example",
+            "Subject": "From the boat",
+            "Date": "Thu, 13 Mar 2025 17:25:00 +0000",
+            "Message-ID": "<u-4@mail.gmail.com>",
+            "Return-Path": "<bartholomew.at.sea@gmail.com>",
             "Authentication-Results": auth("pass", "pass", "pass"),
         },
         "I urgently need you to get gift cards. Scratch the back and send me the codes.\n",
