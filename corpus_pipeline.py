@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lurewatch.llm import bpe, decontaminate, langid, pii, simhash
 from lurewatch.llm.common import documents
-from lurewatch.session import shared_folder
+from lurewatch.session import shared_folder, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -79,7 +79,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from `documents`."""
-    docs = documents(spark, sf_dir)
+    docs = documents(ship_package(spark), sf_dir)
     for name, stage in STAGES:
         folder = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)

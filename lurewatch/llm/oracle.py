@@ -86,4 +86,18 @@ WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_s
 WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)
 QUALIFY row_number() OVER best <= 10"""
 
-SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_pii": _PII, "op12_hard_negatives": _HARD_NEGATIVES}
+_MINHASH = rf"""WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+  shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s
+    FROM (SELECT *, least(4, len(w)) AS k, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)),
+  size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+  pair AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+  near AS (
+    SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+  link AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+  reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, y FROM reach r JOIN link ON x = r.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id, n"""
+
+SQL: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op6_pii": _PII, "op12_hard_negatives": _HARD_NEGATIVES, "op13_minhash": _MINHASH}
