@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.llm.common import add_from_text, once, scratch
+from lurewatch.llm.common import add_from_text, once, scratch, slices
 from lurewatch.llm.labelled import labelled_sample
 from lurewatch.llm.quality import sigmoid
 
@@ -155,7 +155,7 @@ def entry_counts(sample: DataFrame) -> DataFrame:
     names = [f"{kind}_{fold}" for fold in range(FOLDS) for kind in ("toxic", "clean")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = [Counter() for _ in names]
             for label, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 counts[2 * fold + 1 - label].update(entries_of(text))
@@ -266,7 +266,7 @@ def learn(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = [automaton(x) for x in sent.value]
-        for batch in batches:
+        for batch in slices(batches):
             rows = [inputs(*measure(built[fold], t)) for fold, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             arrays = [pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column(0)], names=["a", "b", "label"])
