@@ -388,18 +388,20 @@ def better(word: np.ndarray, cell: np.ndarray, n: np.ndarray, of: np.ndarray, st
     table = steps.table
     size, own = len(table), len(table) - 1
     width = 2 * size + 1
-    keys, where = np.unique(word.astype(np.int64) * width + cell, return_inverse=True)
-    n = np.bincount(where, n)
-    word, cell = keys // width, keys % width
-    ids, first = np.unique(word, return_index=True)
+    if (np.diff(word) < 0).any():
+        order = np.argsort(word, kind="stable")
+        word, cell, n = word[order], cell[order], n[order]
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    ids = word[first].astype(np.int64)
     ends = np.append(first[1:], len(word))
     moved, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, AT_ONCE // (4 * size))
     for at in range(0, len(ids), step):
         end = min(at + step, len(ids))
         part = slice(first[at], ends[end - 1])
-        table_of = np.zeros((end - at, width))
-        table_of[np.repeat(np.arange(end - at), ends[at:end] - first[at:end]), cell[part]] = n[part]
+        # counts of a cell add up where they are put, without sorting
+        row = np.repeat(np.arange(end - at), ends[at:end] - first[at:end])
+        table_of = np.bincount(row * width + cell[part], n[part], (end - at) * width).reshape(end - at, width)
         old = of[ids[at:end]].astype(np.int64)
         gain = gains(table_of[:, :size], table_of[:, size : 2 * size], table_of[:, 2 * size], old, table, steps)
         new = np.argmax(gain, axis=1)

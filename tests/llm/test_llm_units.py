@@ -247,3 +247,28 @@ def test_gains_are_what_moves_add_to_the_likelihood(seed):
 def test_few_words_of_a_rich_vocabulary_share_a_coordinate():
     where, _ = quality.features(" ".join(f"word{i}" for i in range(20_000)))
     assert len(where) > 0.92 * 40_000 and quality.PASSES >= 6
+
+
+def test_cells_of_words_add_up_without_sorting(monkeypatch):
+    import numpy as np
+
+    from lurewatch.llm import brown
+
+    rng = np.random.default_rng(3)
+    size, count = 9, 4000
+    table = rng.integers(1, 500, (size, size)).astype(float)
+    of = rng.integers(0, size, 300).astype(np.int32)
+    word, cell, n = np.sort(rng.integers(0, 299, count)), rng.integers(0, 2 * size + 1, count), rng.integers(1, 40, count)
+    keys, where = np.unique(word * (2 * size + 1) + cell, return_inverse=True)
+    sums = np.bincount(where, n)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(brown.np, "unique", refuse)
+    want = brown.better(keys // (2 * size + 1), keys % (2 * size + 1), sums, of, brown.Steps(table))
+    mixed = rng.permutation(count)
+    for order in (np.arange(count), mixed):
+        got = brown.better(word[order], cell[order], n[order], of, brown.Steps(table))
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    assert len(want[0])
