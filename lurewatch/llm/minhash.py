@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lurewatch.llm.common import add_from_text, id_text, scratch, slices
 from lurewatch.llm.simhash import LOWER, components
@@ -233,23 +233,25 @@ def compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return scratch(_with_sets(pairs, nodes, "key", "hub").mapInArrow(run, fields), "minhash-compared")
 
 
+def _ones(bits: str) -> Column:
+    return sum((F.bit_count(F.col(bits)[i]) for i in range(1, LOST_BITS // 64)), F.bit_count(F.col(bits)[0]))
+
+
 def _shared_lost() -> Column:
-    """At most how many shingles of their hub two sets both lack: bits they share, and what shares a bit within either."""
-    bit = lambda side: sum((F.bit_count(F.col(side)[i]) for i in range(1, LOST_BITS // 64)), F.bit_count(F.col(side)[0]))
+    """At most how many shingles of their hub two sets both lack: bits they share, and what shares a bit within either (`twice`)."""
     both = [F.bit_count(F.col("bits")[i].bitwiseAND(F.col("c_bits")[i])) for i in range(LOST_BITS // 64)]
-    doubled = F.least(F.col("lost") - bit("bits"), F.col("c_lost") - bit("c_bits"))
-    return F.least(F.col("lost"), F.col("c_lost"), sum(both[1:], both[0]) + doubled)
+    return F.least(F.col("lost"), F.col("c_lost"), sum(both[1:], both[0]) + F.least("twice", "c_twice"))
 
 
 def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets that connect all sets of a bucket that are similar."""
     alive = _alive(members, nodes, percent)
-    hubs = alive.groupBy("bucket").agg(F.max(F.struct("turn", "key", "n", "own", "sketch")).alias("h"))
+    hubs = alive.groupBy("bucket").agg(F.max(F.struct("reach", "turn", "key", "n", "own", "sketch")).alias("h"))
     hubs = hubs.select("bucket", F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"c_{c}") for c in ("n", "own", "sketch")])
-    state = scratch(alive.join(hubs, "bucket"), "minhash-state")
+    state = scratch(alive.drop("reach").join(hubs, "bucket"), "minhash-state")
     # no more can be common than is not a set's own
     common = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
-    alike = lambda both: 100 * both >= percent * (F.col("n") + F.col("c_n") - both)
+    alike = lambda both: (100 + percent) * both >= percent * (F.col("n") + F.col("c_n"))
     near = _differ("sketch", "c_sketch") <= BINS - LEAST_AGREEMENT
     pairs = state.filter("key <> hub").filter(alike(common) & near).select("key", "hub").distinct()
     facts = compared(scratch(pairs, "minhash-pairs"), nodes, percent)
@@ -261,9 +263,12 @@ def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     nothing = {"lost": F.lit(0), "gained": F.lit(0), "bits": F.array(*[F.lit(0).cast("bigint")] * (LOST_BITS // 64))}
     state = state.withColumns({c: F.when(F.col("key") == F.col("hub"), v).otherwise(F.col(c)) for c, v in nothing.items()})
     # of its hub each has what it has not lost, and of the rest two sets share no more than either has beside its own
-    rest = F.least(F.col("gained") - F.col("own"), F.col("c_gained") - F.col("c_own"))
-    known = F.col("hub_n") - F.col("lost") - F.col("c_lost") + _shared_lost() + rest
-    both = F.least(common, F.coalesce(known, common))
+    most = F.col("hub_n") + F.least("extra", "c_extra")
+    known = most - F.col("lost") - F.col("c_lost") + _shared_lost()
+    # sums of numbers first: they rule out most pairs
+    bounds = [alike(F.least("spare", "c_spare")), *(F.coalesce(alike(x), F.lit(True)) for x in (most - F.greatest("lost", "c_lost"), known))]
+    facts = {"spare": F.col("n") - F.col("own"), "extra": F.col("gained") - F.col("own"), "twice": F.col("lost") - _ones("bits")}
+    kept = ("key", "n", "root", "sketch", "lost", "bits", *facts)
     many = MORE
     while not state.filter("NOT done").isEmpty():
         # centres of this round: the set with the most links, and a growing share by turn
@@ -271,11 +276,12 @@ def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         top = left.groupBy("bucket").agg(F.max(F.struct("degree", "turn", "key")).alias("c")).select("bucket", F.col("c.key").alias("top"))
         now = ~F.col("done") & ((F.col("turn") * F.col("size") < many) | (F.col("key") == F.col("top")))
         state = scratch(state.join(top, "bucket", "left").withColumn("now", F.coalesce(now, F.lit(False))).drop("top"), "minhash-state")
-        facts = ("key", "n", "own", "root", "sketch", "lost", "gained", "bits")
-        centre = state.filter("now").select("bucket", *[F.col(c).alias(f"c_{c}") for c in facts])
+        sides = state.withColumns(facts)
+        centre = sides.filter("now").select("bucket", *[F.col(c).alias(f"c_{c}") for c in kept])
         # two centres of a round meet once; centres of earlier rounds have met all
         apart = "root <> c_root AND (NOT now OR key < c_key)"
-        other = state.filter("NOT done").join(centre, "bucket").filter(apart).filter(alike(both) & near)
+        other = sides.filter("NOT done").select("bucket", "hub_n", "now", *kept).join(centre, "bucket")
+        other = other.filter(bounds[0] & bounds[1] & bounds[2] & near).filter(apart)
         edges = other.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b")).distinct()
         edges = scratch(edges.join(tried, ["a", "b"], "left_anti"), "minhash-tried")
         tried = tried.unionAll(edges)
@@ -290,10 +296,11 @@ def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _alive(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The members that can have a link, with `own`: how many of their shingles no other node has.
+    """The members that can have a link, with `own`, how many of their shingles no other node has, and `reach`.
 
     Documents that share a passage and nothing else, and copies with many changes of
-    their own, would fill buckets that never close; they end here.
+    their own, would fill buckets that never close; they end here. `reach` adds up the sizes
+    of a set's buckets: of the copies of a text it is greatest for those that changed least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +313,11 @@ def _alive(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     rows = nodes.select(node, "shingles").mapInArrow(run, "shingle bigint, node bigint")
     alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
     own = scratch(alone.groupBy("node").agg(F.count("*").alias("own")), "minhash-own")
-    counted = members.withColumn("node", F.xxhash64("key")).join(own, "node", "left").drop("node")
+    counted = members.withColumn("node", F.xxhash64("key")).join(own, "node", "left")
     counted = counted.withColumn("own", F.coalesce("own", F.lit(0)))
-    return scratch(counted.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-alive")
+    counted = counted.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    reach = F.sum("size").over(Window.partitionBy("node"))
+    return scratch(counted.withColumn("reach", reach).drop("node"), "minhash-alive")
 
 
 def _open_buckets(state: DataFrame, found: DataFrame) -> DataFrame:

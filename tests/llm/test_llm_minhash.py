@@ -96,6 +96,26 @@ def test_copies_of_a_base_and_chains(spark, tmp_path):
     assert len({want[i] for i in range(151)}) == 1
 
 
+def test_pairs_of_rounds_grow_with_the_group(spark, tmp_path, monkeypatch):
+    """Copies of one base with few and with many changes: those that changed least are the hubs, and tell the others apart."""
+    rng, copies = random.Random(11), 300
+    base = words(rng, 150)
+    rows = [(i, " ".join(changed(rng, base, 1 + i % 8)), 1, "b") for i in range(copies)]
+    made, written = [], minhash.scratch
+
+    def counted(frame, purpose):
+        found = written(frame, purpose)
+        if purpose == "minhash-tried":
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "scratch", counted)
+    want = check(spark, rows, tmp_path)
+    # one component, and copies with too many changes that link to none
+    assert copies / 10 < len(set(want.values())) < copies * 0.9
+    assert sum(made) < copies, made
+
+
 def test_repeated_rows_and_rows_without_an_id(spark, tmp_path):
     text = "one two three four five six"
     rows = [(7, text), (7, text), (None, text), (9, text.upper()), (None, "alone here"), (None, None), (3, None), (3, None)]
