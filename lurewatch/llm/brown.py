@@ -20,13 +20,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lurewatch.llm.common import once, scratch, slices
+from lurewatch.llm.common import few_rows, forget, once, scratch, slices
 from lurewatch.llm.pieces import TOGETHER, PieceTable
 from lurewatch.llm.simhash import LOWER
 
@@ -42,6 +43,8 @@ SETTLED = 0.01
 #: Weight of the class's own frequency in a transition.
 SMOOTH = 5.0
 HELD = 300_000
+#: Words handed on at once.
+PART = 1 << 15
 #: Tokens and table cells that are worked on at once; neighbours of words in a block, about.
 AT_ONCE = 1 << 21
 BLOCK = 1 << 18
@@ -91,9 +94,12 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         table = PieceTable(lambda new: [[held.setdefault(w, len(held))] for w in new])
         counts, ends = np.zeros(0, np.int64), 0
 
-        def rows() -> pa.RecordBatch:
-            columns = [pa.array([*(w[1:].decode() for w in held), END], pa.string()), pa.array(np.append(counts, ends))]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            words = iter(held)
+            for at in range(0, len(held), PART):
+                some = pa.array([w[1:].decode() for w in islice(words, PART)], pa.string())
+                yield pa.RecordBatch.from_arrays([some, pa.array(counts[at : at + PART])], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends])], names=["word", "n"])
 
         for batch in slices(batches):
             for some in _groups(batch.column(0).to_pylist()):
@@ -102,12 +108,12 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 more[: len(counts)] += counts
                 counts, ends = more, ends + len(some)
                 if len(held) > HELD:
-                    yield rows()
+                    yield from rows()
                     held.clear()
                     table.clear()
                     counts, ends = np.zeros(0, np.int64), 0
         if ends:
-            yield rows()
+            yield from rows()
 
     return docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -226,16 +232,14 @@ def transitions(ids: DataFrame, places: np.ndarray, size: int) -> np.ndarray:
     sent = ids.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("vocabulary")
         total = np.zeros(size * size, np.int64)
         for some in _streams(batches):
             total += _pairs(sent.value[some], size)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    counted = ids.select("ids").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.zeros(size * size)
-    matrix[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    return matrix.reshape(size, size)
+    return _matrix(ids.select("ids").mapInArrow(run, "cell bigint, n bigint"), size)
 
 
 def _pairs(symbols: np.ndarray, size: int) -> np.ndarray:
@@ -427,14 +431,24 @@ def neighbours(ids: DataFrame, fixed: int, words: int, tokens: int) -> DataFrame
         return pa.RecordBatch.from_arrays(columns, names=["range", "keys", "n"])
 
     def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        found, where = np.unique(np.concatenate(keys), return_inverse=True)
-        return found, np.bincount(where, np.concatenate(n), len(found)).astype(np.int64)
+        all_keys = np.concatenate(keys)
+        order = np.argsort(all_keys, kind="stable")
+        all_keys = all_keys[order]
+        first = np.flatnonzero(np.diff(all_keys, prepend=-1))
+        return all_keys[first], np.add.reduceat(np.concatenate(n)[order], first, dtype=np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        forget("vocabulary")
+        held: list[np.ndarray] = []
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            keys, n = summed(held, numbers)
+            keys = np.concatenate([np.zeros(0, np.int64), *held])
+            held.clear()
+            # sorted in place, equal ones beside each other: nothing else as long is made
+            keys.sort()
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            n = np.diff(first, append=len(keys))
+            keys = keys[first]
             part = keys // (2 * (words + 1)) % ranges
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(ranges + 1))
@@ -450,10 +464,8 @@ def neighbours(ids: DataFrame, fixed: int, words: int, tokens: int) -> DataFrame
                 # a word beside itself counts once
                 mine = (word >= fixed) & (word < words) & ((side == 0) | (word != other))
                 held.append((word[mine] * (words + 1) + other[mine]) * 2 + side)
-                numbers.append(np.ones(len(held[-1]), np.int64))
             if sum(map(len, held)) > AT_ONCE:
                 yield from dealt()
-                held, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         yield from dealt()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,16 +499,59 @@ def neighbours(ids: DataFrame, fixed: int, words: int, tokens: int) -> DataFrame
     return scratch(rows.mapInArrow(merge, fields).select("keys", "n"), "brown-neighbours")
 
 
-def follow(ids: DataFrame, of: np.ndarray, fixed: int, tokens: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(keys: pa.Scalar, n: pa.Scalar, words: int) -> tuple[np.ndarray, ...]:
+    """A block's words, what stands beside them, whether it stands before, and how often."""
+    keys = np.cumsum(np.frombuffer(keys.as_buffer(), np.int64))
+    n = np.frombuffer(n.as_buffer(), np.int32)
+    pair = keys >> 1
+    word = pair // (words + 1)
+    return word, pair - word * (words + 1), keys & 1, n
+
+
+def moved_transitions(beside: DataFrame, of: np.ndarray, fixed: int, size: int) -> np.ndarray:
+    """The transitions that a word from `fixed` on takes part in, from the blocks of its neighbours."""
+    sent, words = beside.sparkSession.sparkContext.broadcast(of), len(of) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = sent.value, np.zeros(size * size)
+        for batch in batches:
+            for keys, n in zip(batch.column(0), batch.column(1)):
+                word, other, side, n = _unpacked(keys, n, words)
+                first = side == 0
+                total += np.bincount(of[word[first]] * size + of[other[first]], n[first], size * size)
+                # of two words that both move the first one has the pair
+                last = ~first & ((other < fixed) | (other == words))
+                total += np.bincount(of[other[last]] * size + of[word[last]], n[last], size * size)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], names=["cell", "n"])
+
+    return _matrix(beside.mapInArrow(run, "cell bigint, n bigint"), size)
+
+
+def _matrix(cells: DataFrame, size: int) -> np.ndarray:
+    counted = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros(size * size)
+    matrix[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    return matrix.reshape(size, size)
+
+
+def follow(
+    ids: DataFrame, of: np.ndarray, fixed: int, tokens: int, passes: int = PASSES, apart: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all words by exchange, the first `fixed` staying where they are, at last that of rare words; and the transitions.
 
+    `apart`: the transitions with the words from `fixed` on as a class of their own after that of rare words, if they are known.
+
     The others come from the class of rare words. In the first pass all of them get a
     class; later ones let every second word move, so that words of a kind do not swap
     places, and count only if the likelihood rises.
     """
     spark, size, of = ids.sparkSession, int(of[-1]) + 1, of.copy()
     words = len(of) - 1
-    table = transitions(ids, of, size)
+    if apart is None:
+        apart = transitions(ids, np.concatenate((of[:fixed], np.full(words - fixed, size), of[-1:])).astype(of.dtype), size + 1)
+    staying = apart[:size, :size]
+    table = folded(apart, np.minimum(np.arange(size + 1), size - 1))
     if words <= fixed or size < 2:
         return of, table
     beside = neighbours(ids, fixed, words, tokens)
@@ -509,9 +564,7 @@ def follow(ids: DataFrame, of: np.ndarray, fixed: int, tokens: int, passes: int
             steps = Steps(table)
             for batch in batches:
                 for keys, n in zip(batch.column(0), batch.column(1)):
-                    keys = np.cumsum(np.frombuffer(keys.as_buffer(), np.int64))
-                    n = np.frombuffer(n.as_buffer(), np.int32)
-                    word, other, side = keys // (2 * (words + 1)), keys // 2 % (words + 1), keys % 2
+                    word, other, side, n = _unpacked(keys, n, words)
                     if turn:
                         mine = (word // 2 + turn) % 2 == 0
                         word, other, side, n = word[mine], other[mine], side[mine], n[mine]
@@ -522,7 +575,7 @@ def follow(ids: DataFrame, of: np.ndarray, fixed: int, tokens: int, passes: int
         found = beside.mapInArrow(move, "word bigint, to bigint").toArrow()
         new = of.copy()
         new[found["word"].to_numpy()] = found["to"].to_numpy()
-        after = transitions(ids, new, size)
+        after = staying + moved_transitions(beside, new, fixed, size)
         if turn and likelihood(after) <= likelihood(table):
             break
         of, table = new, after
@@ -557,12 +610,23 @@ def learn(known: Vocabulary, ids: DataFrame) -> Model:
     """A model of texts that `encoded` gave."""
     words = len(known.hashes)
     first = min(EXCHANGED, words)
-    pairs = transitions(ids, np.minimum(np.arange(words + 1), first), first + 1)
-    of = exchange(pairs, first, max(CLASSES, int(np.sqrt(words)) // 8))
-    of, table = follow(ids, of[np.minimum(np.arange(words + 1), first)].astype(np.int32), first, known.total)
+    # the most frequent words, rare ones, and the others
+    kinds = np.where(np.arange(words + 1) < first, np.arange(words + 1), first + 1)
+    kinds[words] = first
+    pairs = transitions(ids, kinds, first + 2)
+    of = exchange(folded(pairs, np.minimum(np.arange(first + 2), first)), first, max(CLASSES, int(np.sqrt(words)) // 8))
+    apart = folded(pairs, np.append(of, of[-1] + 1))
+    of, table = follow(ids, of[np.minimum(np.arange(words + 1), first)].astype(np.int32), first, known.total, apart=apart)
     return fit(known, of, table)
 
 
+def folded(pairs: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A matrix of counts with symbols put together; of: where each symbol goes."""
+    member = np.zeros((len(pairs), int(of.max()) + 1))
+    member[np.arange(len(pairs)), of] = 1
+    return member.T @ pairs @ member
+
+
 def fit(known: Vocabulary, classes: np.ndarray, table: np.ndarray) -> Model:
     count = len(table)
     frequency = (table.sum(axis=0) + 1) / (table.sum() + count)
@@ -593,13 +657,16 @@ def score(docs: DataFrame, training: DataFrame | Column, doc_id: str = "doc_id",
     lessons = named.filter("taught") if within else training.select(
         F.lit(None).cast("bigint").alias("doc_id"), F.lit(True).alias("taught"), F.col(text).alias("text")
     )
-    counts = scratch(word_counts(lessons, "text"), "brown-counts")
-    known = vocabulary(counts)
-    ids = encoded(named, known)
-    model = learn(known, ids.filter("taught") if within else encoded(lessons, known))
+    with few_rows(docs.sparkSession):
+        counts = scratch(word_counts(lessons, "text"), "brown-counts")
+        known = vocabulary(counts)
+        ids = encoded(named, known)
+        taught = ids.filter("taught") if within else encoded(lessons, known)
+    model = learn(known, taught)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("vocabulary")
         model = sent.value
         logs = np.log10(model.known.counts + 1.0)
         for batch in slices(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -21,6 +22,11 @@ def once(kind: str, key: Any, build: Callable[[], Any]) -> Any:
     return _BUILT[kind][1]
 
 
+def forget(kind: str) -> None:
+    """Frees a worker's copy; for tasks of later stages, which the worker may run as well."""
+    _BUILT.pop(kind, None)
+
+
 def scratch(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage, survives lost executors.
 
@@ -38,6 +44,18 @@ def drop_clashing(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.select(*[F.col(f"`{c}`") for c in frame.columns if c.lower() not in taken])
 
 
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Tables of texts that are written meanwhile go to Python in batches of SLICE_ROWS rows, whatever the session says."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(SLICE_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that few texts are Python objects at a time."""
     for batch in batches:
