@@ -9,8 +9,8 @@ similarity 0.8 miss every bucket once in 20 million times.
 
 Equal sets collapse first. A set of which no other has enough shingles cannot link
 and is left out. In a bucket one set is the hub, and only it is paired with the others, so
-a bucket gives as many candidates as it has sets; all buckets prefer the same hubs. Every
-candidate is confirmed on the full sets.
+a bucket gives as many candidates as it has sets; all buckets prefer the same hubs, sets that share
+the most buckets. Every candidate is confirmed on the full sets.
 
 What a star cannot see is looked for in rounds: as long as a bucket holds more than one
 component, further sets become centres, first those with the most links, then of many
