@@ -98,6 +98,22 @@ def test_passes_raise_the_likelihood(spark, few_fixed):
     assert all(b >= a - 1e-6 for a, b in zip(found, found[1:])) and found[-1] > found[0]
 
 
+def test_passes_do_not_read_the_texts_again(spark, few_fixed, monkeypatch):
+    """Transitions after a pass are added up from blocks of neighbours; batches of texts are bounded only while they are read."""
+    texts = sentences(300, seed=5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    read, whole, tables = [], brown.transitions, []
+    monkeypatch.setattr(brown, "transitions", lambda *a: read.append(a[0]) or whole(*a))
+    fit = brown.fit
+    monkeypatch.setattr(brown, "fit", lambda known, of, table: tables.append((of, table)) or fit(known, of, table))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert brown.score(docs, F.lit(True)).count() == len(texts)
+    assert len(read) == 1 and spark.conf.get(key) == before
+    of, table = tables[0]
+    assert np.array_equal(table, whole(read[0], of, len(table)))
+
+
 def plain_measure(weights, exceptions, text):
     """Each word of the folded text by all entries; words inside an exception phrase left out."""
     words = [(m.start(), m.group()) for m in re.finditer(r"\S+", toxicity.fold(text))]
