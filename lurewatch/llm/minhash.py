@@ -201,8 +201,9 @@ def _differ(a: str, b: str) -> Column:
 def _members(distinct: DataFrame) -> DataFrame:
     """(bucket, key, n, sketch, turn, size) of all sets that share a bucket."""
     rows = scratch(distinct.select(F.explode("buckets").alias("bucket"), F.col("set_key").alias("key")), "minhash-rows")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    several = scratch(rows.join(scratch(shared, "minhash-buckets"), "bucket"), "minhash-several")
+    shared = scratch(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "minhash-buckets")
+    # most buckets hold one set: their rows are not dealt out again
+    several = scratch(likely(rows, F.col("bucket"), shared, "bucket").join(shared, "bucket"), "minhash-several")
     turn = F.pmod(F.xxhash64("set_key"), F.lit(1 << 30)) / float(1 << 30)
     facts = distinct.select(F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), "sketch", turn.alias("turn"))
     return scratch(several.join(facts, "key"), "minhash-members")
@@ -246,8 +247,10 @@ def _shared_lost() -> Column:
 def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets that connect all sets of a bucket that are similar."""
     alive = _alive(members, nodes, percent)
-    hubs = alive.groupBy("bucket").agg(F.max(F.struct("reach", "turn", "key", "n", "own", "sketch")).alias("h"))
-    hubs = hubs.select("bucket", F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"c_{c}") for c in ("n", "own", "sketch")])
+    hubs = alive.groupBy("bucket").agg(F.max(F.struct("reach", "turn", "key", "n", "own", "sketch")).alias("h"), F.count("*").alias("left"))
+    hubs = hubs.filter("left > 1").select(
+        "bucket", "left", F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"c_{c}") for c in ("n", "own", "sketch")]
+    )
     state = scratch(alive.drop("reach").join(hubs, "bucket"), "minhash-state")
     # no more can be common than is not a set's own
     common = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"))
@@ -257,7 +260,8 @@ def links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     facts = compared(scratch(pairs, "minhash-pairs"), nodes, percent)
     ends = [F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")]
     tried, found = facts.select(*ends), facts.filter("linked").select(*ends)
-    state = state.withColumn("hub_n", F.col("c_n")).drop("c_n", "c_own", "c_sketch")
+    # of two sets one is the hub: nothing is left to compare
+    state = state.filter("left > 2").withColumn("hub_n", F.col("c_n")).drop("left", "c_n", "c_own", "c_sketch")
     state = _open_buckets(state.withColumn("done", F.col("key") == F.col("hub")), found)
     state = state.join(facts.drop("linked"), ["key", "hub"], "left")
     nothing = {"lost": F.lit(0), "gained": F.lit(0), "bits": F.array(*[F.lit(0).cast("bigint")] * (LOST_BITS // 64))}
@@ -368,8 +372,9 @@ def _nodes(named: DataFrame, distinct: DataFrame, members: DataFrame, words: int
     Only the documents that stand for them are gone through once more; other sets are never kept.
     """
     wanted = distinct.join(members.select(F.col("key").alias("set_key")).distinct(), "set_key", "left_semi")
-    wanted = scratch(wanted.select(id_text("doc_id").alias("__id"), "text_hash"), "minhash-wanted")
-    texts = likely(named.withColumn("__id", id_text("doc_id")), F.col("text_hash"), wanted, "text_hash")
-    texts = texts.join(wanted, ["__id", "text_hash"], "left_semi")
-    rows = add_sets(texts.select("text"), "text", words)
-    return scratch(rows.groupBy("set_key").agg(F.first("shingles").alias("shingles")), "minhash-nodes")
+    row = F.xxhash64(id_text("doc_id"), "text_hash")
+    wanted = scratch(wanted.select("set_key", row.alias("row")), "minhash-wanted")
+    # rows and not texts, of which there may be many copies; others that the map lets through end with their sets
+    texts = likely(named, row, wanted, "row")
+    rows = add_sets(texts.select("text"), "text", words).groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+    return scratch(rows.join(wanted.select("set_key"), "set_key", "left_semi"), "minhash-nodes")

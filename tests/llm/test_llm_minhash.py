@@ -116,6 +116,31 @@ def test_pairs_of_rounds_grow_with_the_group(spark, tmp_path, monkeypatch):
     assert sum(made) < copies, made
 
 
+def test_only_rows_that_can_pair_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Sets alone in their buckets, further copies of a text, and buckets of two sets after their comparison."""
+    rng = random.Random(12)
+    base, shared = words(rng, 120), words(rng, 100)
+    rows = [base] * 40 + [changed(rng, base, 1)] + [words(rng, 50) for _ in range(80)] + [[*words(rng, 30), *shared] for _ in range(2)]
+    seen, written = [], minhash.scratch
+
+    def noted(frame, purpose):
+        found = written(frame, purpose)
+        seen.append((purpose, found))
+        return found
+
+    monkeypatch.setattr(minhash, "scratch", noted)
+    check(spark, [(i, " ".join(r), 1, "b") for i, r in enumerate(rows)], tmp_path)
+    frames = dict(seen)
+    let_through = {tuple(f.columns): f.count() for p, f in seen if p == "minhash-likely"}
+    texts = next(n for columns, n in let_through.items() if "text" in columns)
+    assert texts == frames["minhash-wanted"].count() < 6
+    dealt = next(n for columns, n in let_through.items() if "bucket" in columns)
+    assert frames["minhash-several"].count() <= dealt < 300 < frames["minhash-rows"].count()
+    assert frames["minhash-alive"].count() > 10 and frames["minhash-rooted"].columns and all(
+        f.count() == 0 for p, f in seen if p == "minhash-rooted" and "bucket" in f.columns
+    )
+
+
 def test_repeated_rows_and_rows_without_an_id(spark, tmp_path):
     text = "one two three four five six"
     rows = [(7, text), (7, text), (None, text), (9, text.upper()), (None, "alone here"), (None, None), (3, None), (3, None)]
