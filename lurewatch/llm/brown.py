@@ -18,7 +18,7 @@ seen twice; counts of rare words are joined to the documents that hold them.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -52,6 +52,8 @@ BLOCK = 1 << 18
 LOOKED_UP = 16
 #: Tables of more classes keep these steps in single precision.
 SINGLE = 32
+#: Fewer rows than this are added up one by one.
+FEW_ROWS = 16
 
 
 def tokens(text: str | None) -> list[str]:
@@ -301,6 +303,25 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def _add_rows(found: np.ndarray, row: np.ndarray, values: Callable[[np.ndarray], np.ndarray]) -> None:
+    """Adds to each row of `found` the values of its entries; row: of each entry, ascending.
+
+    First one entry of every row, then the next of those that have more, so that whole tables are added.
+    """
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    count = np.diff(first, append=len(row))
+    order = np.argsort(-count, kind="stable")
+    first, count = first[order], count[order]
+    for k in range(int(count[0]) if len(count) else 0):
+        more = int(np.searchsorted(-count, -k))
+        if more < FEW_ROWS:
+            # what is left of the longest rows
+            for at, n in zip(first[:more].tolist(), count[:more].tolist()):
+                found[row[at]] += values(np.arange(at + k, at + n)).sum(axis=0)
+            break
+        found[row[first[:more]]] += values(first[:more] + k)
+
+
 class Steps:
     """What adding 1, 2, ... to each cell of a table gives: computed once, used for every word."""
 
@@ -308,20 +329,16 @@ class Steps:
         self.table, own = table, len(table) - 1
         more = np.arange(1, LOOKED_UP + 1)[:, None, None]
         # rows: direction, count, other class; columns: the class a word may join
-        sides = [_f(cells[:own].T + more) - _f(cells[:own].T) for cells in (table, table.T)]
+        self.bases = [_f(cells[:own].T) for cells in (table, table.T)]
+        sides = [_f(cells[:own].T + more) - base for cells, base in zip((table, table.T), self.bases)]
         self.steps = np.concatenate([x.reshape(-1, own) for x in sides])
         if len(table) > SINGLE:
             self.steps = self.steps.astype(np.float32)
 
-    def summed(self, side: int, counts: np.ndarray) -> np.ndarray:
-        """For each word (a row of counts of other classes) the sum over its cells, per class it may join."""
-        found = np.zeros((len(counts), len(self.table) - 1))
-        row, d = np.nonzero(counts)
-        n = counts[row, d]
-        for at in range(0, len(row), BLOCK // 4):
-            part = slice(at, at + BLOCK // 4)
-            first = np.flatnonzero(np.diff(row[part], prepend=-1))
-            found[row[part][first]] += np.add.reduceat(self.of(side, n[part], d[part]), first)
+    def summed(self, side: int, row: np.ndarray, d: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+        """For each word (a row) the sum over its cells, per class it may join; of a cell: the word, the other class, how often."""
+        found = np.zeros((rows, len(self.table) - 1), self.steps.dtype)
+        _add_rows(found, row, lambda entry: self.of(side, n[entry], d[entry]))
         return found
 
     def of(self, side: int, n: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -332,10 +349,17 @@ class Steps:
         many = np.flatnonzero(n > LOOKED_UP)
         if len(many):
             base = (self.table, self.table.T)[side][:-1, other[many]].T
-            found[many] = _f(base + n[many, None]) - _f(base)
+            found[many] = _f(base + n[many, None]) - self.bases[side][other[many]]
         return found
 
 
+def _cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of what is not zero."""
+    # of truth values they are found several times as fast as of numbers
+    row, column = np.nonzero(counts != 0)
+    return row, column, counts[row, column]
+
+
 def gains(
     after: np.ndarray, before: np.ndarray, self_: np.ndarray, old: np.ndarray, table: np.ndarray, steps: Steps | None = None
 ) -> np.ndarray:
@@ -343,42 +367,50 @@ def gains(
 
     after, before: how often classes stand next to it, itself left out; self_: how
     often it follows itself; table: class transitions, the last class is that of rare words.
+    Most words stand beside few classes: only the mass of a word goes to all of its row.
     """
     steps = steps or Steps(table)
     own, rows = len(table) - 1, np.arange(len(old))
+    sides = [(*_cells(counts), counts, cells) for counts, cells in ((after, table), (before, table.T))]
     gain = np.zeros((len(old), own))
-    for side, counts in enumerate((after, before)):
-        gain += steps.summed(side, counts)
+    for side, (row, c, n, _, _) in enumerate(sides):
+        gain += steps.summed(side, row, c, n, len(old))
     # the table still holds the word: in the old class's column and row other words' counts are too high
-    for counts, other, cells in ((after, before, table), (before, after, table.T)):
-        row, c = np.nonzero((counts[rows, old] > 0)[:, None] & (other[:, :own] > 0))
-        n, gone, cell = counts[row, old[row]], other[row, c], cells[c, old[row]]
+    for (_, _, _, counts, cells), (row, c, gone, _, _) in (sides, sides[::-1]):
+        held = counts[rows, old]
+        some = (held[row] > 0) & (c < own)
+        row, c, gone = row[some], c[some], gone[some]
+        n, cell = held[row], cells[c, old[row]]
         gain[row, c] += _f(cell - gone + n) - _f(cell - gone) - _f(cell + n) + _f(cell)
     # a class beside itself: both sides and the word's own pairs go to one cell
-    a, b, diagonal = after[:, :own], before[:, :own], np.diag(table)[:own]
-    row, c = np.nonzero(((a > 0) & (b > 0)) | (self_ > 0)[:, None])
-    cell, x, y = diagonal[c], a[row, c], b[row, c]
+    diagonal = np.diag(table)[:own]
+    row, c, x = sides[0][:3]
+    y = before[row, c]
+    both = (y > 0) & (c < own) & (self_[row] == 0)
+    double = np.flatnonzero(self_ > 0)
+    row, c = (np.concatenate(p) for p in ((row[both], np.repeat(double, own)), (c[both], np.tile(np.arange(own), len(double)))))
+    x, y = (np.concatenate((found[both], counts[double, :own].ravel())) for found, counts in ((x, after), (y, before)))
+    cell = diagonal[c]
     gain[row, c] += _f(cell + x + y + self_[row]) - _f(cell + x) - _f(cell + y) + _f(cell)
-    for counts, sums in ((after, table.sum(axis=1)), (before, table.sum(axis=0))):
-        mass = (counts.sum(axis=1) + self_)[:, None]
-        gain -= _f(sums[:own] + mass) - _f(sums[:own])
+    masses = [np.bincount(row, n, len(old)) + self_ for row, _, n, _, _ in sides]
+    totals = table.sum(axis=1), table.sum(axis=0)
+    for mass, sums in zip(masses, totals):
+        # few words have a mass of their own
+        some = np.sort(mass)
+        some = some[np.flatnonzero(np.diff(some, prepend=-1))]
+        gain -= (_f(sums[:own] + some[:, None]) - _f(sums[:own]))[np.searchsorted(some, mass)]
     # staying: the old class's cells with the word against those without it
     inside = rows[old < own]
-    mine = old[inside]
     if len(inside):
-        stay = np.zeros(len(inside))
-        x, y, s = after[inside], before[inside], self_[inside]
-        for counts, cells in ((x, table[mine]), (y, table.T[mine])):
-            apart = counts.copy()
-            apart[np.arange(len(mine)), mine] = 0
-            row, d = np.nonzero(apart)
-            cell = cells[row, d]
-            stay += np.bincount(row, _f(cell) - _f(cell - apart[row, d]), len(mine))
-            mass, sums = counts.sum(axis=1) + s, cells.sum(axis=1)
-            stay -= _f(sums) - _f(sums - mass)
+        mine, stay = old[inside], np.zeros(len(old))
+        for (row, d, n, _, cells), mass, sums in zip(sides, masses, totals):
+            apart = (d != old[row]) & (old[row] < own)
+            row, d, n = row[apart], d[apart], n[apart]
+            cell = cells[old[row], d]
+            stay += np.bincount(row, _f(cell) - _f(cell - n), len(old))
+            stay[inside] -= _f(sums[mine]) - _f(sums[mine] - mass[inside])
         cell = np.diag(table)[mine]
-        stay += _f(cell) - _f(cell - x[np.arange(len(mine)), mine] - y[np.arange(len(mine)), mine] - s)
-        gain[inside, mine] = stay
+        gain[inside, mine] = stay[inside] + _f(cell) - _f(cell - after[inside, mine] - before[inside, mine] - self_[inside])
     return gain
 
 

@@ -272,3 +272,28 @@ def test_cells_of_words_add_up_without_sorting(monkeypatch):
         got = brown.better(word[order], cell[order], n[order], of, brown.Steps(table))
         assert [x.tolist() for x in got] == [x.tolist() for x in want]
     assert len(want[0])
+
+
+def test_gains_take_logarithms_of_cells_and_not_of_all_classes(monkeypatch):
+    """Words beside few classes: the sums over cells are plain sums of steps, and a mass that many words have is worked out once."""
+    rng = np.random.default_rng(6)
+    words, own = 3000, 90
+    table = rng.integers(1, 900, (own + 1, own + 1)).astype(float)
+    after, before = np.zeros((2, words, own + 1))
+    for counts in (after, before):
+        for _ in range(3):
+            counts[np.arange(words), rng.integers(0, own + 1, words)] += rng.integers(1, 3, words)
+    after[0], before[1] = rng.integers(0, 60, (2, own + 1))
+    self_, old = (rng.random(words) < 0.01).astype(float), np.full(words, own)
+    steps = brown.Steps(table)
+    want = np.zeros((words, own))
+    for side, counts in enumerate((after, before)):
+        for w in range(words):
+            d = np.flatnonzero(counts[w])
+            want[w] += steps.of(side, counts[w, d], d).sum(axis=0, dtype=float)
+    found = np.stack([steps.summed(s, *np.nonzero(c), c[np.nonzero(c)], words) for s, c in enumerate((after, before))]).sum(axis=0, dtype=float)
+    assert np.allclose(found, want, rtol=1e-5, atol=1e-4)
+    taken, f = [], brown._f
+    monkeypatch.setattr(brown, "_f", lambda x: taken.append(np.size(x)) or f(x))
+    brown.gains(after, before, self_, old, table, steps)
+    assert sum(taken) < words * own / 2, sum(taken)
